@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, html_text, langid, packing, quality_model, quality_rules, simhash, toxicity
+from pixelweave.llm import decontaminate, html_text, langid, line_dedup, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
 
 TRAINING = fold(parts=3) != 1
@@ -26,6 +26,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, labels).select("doc_id", HELD_OUT, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(TRAINING)
@@ -57,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op9_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op9_decontamination, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
