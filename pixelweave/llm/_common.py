@@ -107,7 +107,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)  # mostly hashes and numbers that differ
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,9 +8,9 @@ Every class of equal sets is reduced to its first line. The words of a set are o
 the counts are taken over all lines into a table of fixed size by hash, which any order may use
 without loss. Sets that are similar share a word in their prefixes, so prefixes meet by word, and a
 pair stays if lengths, positions and a 64-bit parity map of the sets allow the overlap. Each set
-meets the earliest such partner of each word, and Spark joins the words of both to verify the
-Jaccard similarity; only sets whose first partners failed meet all others. Words that are more
-frequent than ``hot`` are counted and their groups cut into tiles, so no group is unbounded.
+meets the ``FEW`` earliest such partners of each word, and Spark joins the words of both to verify
+the Jaccard similarity; only sets whose first partners all failed meet the others. Words that are more
+frequent than ``HOT`` are counted and their groups cut into tiles, so no group is unbounded.
 
 Cases: blank lines have no words and stay; a null text has no lines and stays null; a text whose
 lines all go becomes empty, the row stays; rows without an id come last in the order; rows of equal
@@ -41,9 +41,17 @@ PICK_BITS = 23
 FIELDS = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 ORDER = ["d", "u", "line"]
 EPS = 1e-9
+#: Sets from this size on are compared by maps of so many 64-bit words, as 64 bits tell long sets apart no more.
+LONG, WORDS = 100, 8
+#: Partners of a set that are verified for each word before the question arises whether others are needed.
+FEW = 32
 SPACE = np.zeros(256, np.bool_)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+BYTES = np.where(SPACE, 0, np.arange(1, 257)).astype(np.uint64)
+BASE, REACH = 0x9E3779B97F4A7C15, 1 << 20
+#: Powers of the odd number ``BASE`` modulo 2**64 from its first on, and of its inverse from its zeroth on.
+POWERS = np.cumprod(np.full(REACH, BASE, np.uint64))
+INVERSES = np.append(np.uint64(1), np.cumprod(np.full(REACH - 1, pow(BASE, -1, 1 << 64), np.uint64)))
 
 
 def mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -60,11 +68,12 @@ def words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), starts
-    lengths = np.diff(np.append(starts, len(b)))
-    place = np.arange(starts[0], len(b)) - np.repeat(starts, lengths)
-    value = (b[starts[0] :].astype(np.uint64) + np.uint64(1)) * POWERS[place & 0xFFFF]
-    value[white[starts[0] :]] = 0
-    hashes = mixed(np.add.reduceat(value, starts - starts[0]), 0xBF58476D1CE4E5B9)
+    if len(b) <= REACH:
+        sums = np.add.reduceat(BYTES[b] * POWERS[: len(b)], starts) * INVERSES[starts]
+    else:  # the same, by the place of each byte in its word
+        place = np.arange(len(b)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(b)]])))
+        sums = np.add.reduceat(BYTES[b] * POWERS[place % REACH], starts)
+    hashes = mixed(sums, 0xBF58476D1CE4E5B9)
     return hashes, np.searchsorted(np.flatnonzero(b == 10), starts)
 
 
@@ -112,15 +121,10 @@ def word_levels(rows: DataFrame, by: int = 2, block: int = 1 << 14) -> np.ndarra
     return np.minimum(255, 8 * np.log2(np.maximum(out, 1))).astype(np.uint8)
 
 
-def least_shared(t: float, x, y):
-    """Words that two sets of these sizes must share."""
-    return np.ceil(t / (1 + t) * (x + y) - EPS)
-
-
 def line_sets(rows: DataFrame, levels, threshold: float) -> DataFrame:
     """A row for each line with words: its place (d, u, line), size, hashes of its set, and its prefix as word keys.
 
-    ``hot`` marks prefix words (by their number) of which there may be too many for one group.
+    The key of a word that may be in too many sets for one group is negative. ``wide`` has the map of a long set.
     """
     limit = int(8 * math.log2(HOT))
 
@@ -133,7 +137,17 @@ def line_sets(rows: DataFrame, levels, threshold: float) -> DataFrame:
                     continue
                 n = np.diff(cut)
                 doc = np.searchsorted(first, line, side="right") - 1
-                bit = np.uint64(1) << (mixed(rank, 0xD6E8FEB86659FD93) >> np.uint64(58))
+                spread = mixed(rank, 0xD6E8FEB86659FD93)
+                bit = np.uint64(1) << (spread >> np.uint64(58))
+                wide = np.flatnonzero(n >= LONG * threshold)
+                inside = np.flatnonzero(np.repeat(n >= LONG * threshold, n))
+                maps = np.zeros((len(wide), WORDS), np.uint64)
+                if len(wide):
+                    word, cuts = (spread[inside] >> np.uint64(50)) % np.uint64(WORDS), np.cumsum(n[wide]) - n[wide]
+                    for i in range(WORDS):
+                        maps[:, i] = np.bitwise_xor.reduceat(np.where(word == i, bit[inside], np.uint64(0)), cuts)
+                widths = np.zeros(len(n), np.int64)
+                widths[wide] = WORDS
                 keep = np.where(n < 4, 0, n - np.ceil(threshold * n - EPS).astype(np.int64) + 1)
                 ends = np.cumsum(keep)
                 at = np.arange(ends[-1]) + np.repeat(cut[:-1] - ends + keep, keep)
@@ -144,92 +158,121 @@ def line_sets(rows: DataFrame, levels, threshold: float) -> DataFrame:
                         part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array((line - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
                         pa.array(np.add.reduceat(mixed(rank, 0x94D049BB133111EB), cut[:-1]).view(np.int64)), pa.array(np.bitwise_xor.reduceat(bit, cut[:-1]).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(key)),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, widths.cumsum()).astype(np.int32)), pa.array(maps.ravel().view(np.int64))),
                     ],
-                    names=["d", "u", "line", "n", "s", "bits", "prefix"],
+                    names=["d", "u", "line", "n", "s", "bits", "prefix", "wide"],
                 )
 
-    return rows.mapInArrow(run, "d long, u long, line int, n int, s long, bits long, prefix array<int>")
+    return rows.mapInArrow(run, "d long, u long, line int, n int, s long, bits long, prefix array<int>, wide array<long>")
 
 
-def partners(postings: DataFrame, threshold: float, every: bool = False) -> DataFrame:
-    """Pairs of places (x after y) that a shared prefix word and the filters allow, from rows sorted by group and place.
+def compare(key: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray, opened: np.ndarray, bits: np.ndarray, threshold: float, every: bool) -> pa.Table:
+    """Pairs (x after y) that a shared prefix word and the filters allow; ``bits`` has a row of words for each set.
 
-    For each group and x the earliest y; ``more``: there are others. With ``every`` all of them, for rows marked ``open``.
+    For each word and x the ``FEW`` earliest y, and whether there are ``more``; with ``every`` all of them for the x in ``opened``.
     """
-
-    def compare(c: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        size = len(c["d"])
-        start = np.maximum.accumulate(np.where(c["new"], np.arange(size), 0))
-        n, pos, bits = c["n"], c["pos"], c["bits"]
-        mate, found = np.full(size, -1), np.zeros(size, np.int64)
-        pairs = []
-        live, k = np.arange(size), 0
-        if every:
-            live = live[c["open"]]
-        while len(live := live[live - k - 1 >= start[live]]):
-            k += 1
-            other = live - k
-            a, b = n[live], n[other]
-            need = least_shared(threshold, a, b)
-            ok = (np.minimum(a, b) >= threshold * np.maximum(a, b) - EPS) & (np.minimum(a - pos[live], b - pos[other]) >= need)
-            x, y, need = live[ok], other[ok], need[ok]
-            ok = np.bitwise_count(bits[x] ^ bits[y]) <= n[x] + n[y] - 2 * need
-            x, y = x[ok], y[ok]
-            mate[x] = y
-            found[x] += 1
-            if every and len(x):
-                pairs.append((x, y))
+    order = np.lexsort((ids, key))
+    key, ids, n, pos, bits = (c[order] for c in (key, ids, n.astype(np.int64), pos.astype(np.int64), bits))
+    size = len(key)
+    new = np.ones(size, np.bool_)
+    new[1:] = key[1:] != key[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(size), 0))
+    live, k = np.flatnonzero(opened[order]) if every else np.arange(size), 0
+    count = np.zeros(size, np.int64)
+    found = [np.zeros((2, 0), np.int64)]
+    while len(live := live[live > start[live] + k]):  # against the earliest of the group, the next one, and so on
+        other = start[live] + k
+        k += 1
+        small, large = np.minimum(n[live], n[other]), np.maximum(n[live], n[other])
+        need = np.ceil(threshold / (1 + threshold) * (small + large) - EPS)
+        ok = (small >= threshold * large - EPS) & (np.minimum(n[live] - pos[live], n[other] - pos[other]) >= need)
+        x, y = live[ok], other[ok]
+        ok = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y] - 2 * need[ok]
+        x, y = x[ok], y[ok]
+        if len(x):
+            count[x] += 1
+            found.append(np.stack([x, y])[:, count[x] <= FEW] if not every else np.stack([x, y]))
+            live = live if every else live[count[live] <= FEW]
+    x, y = np.concatenate(found, axis=1)
+    more = (count[x] > FEW) & (not every)
+    return pa.table({"x": ids[x], "y": ids[y], "more": pa.array(more)})
+
+
+PAIR = "x long, y long, more boolean"
+KINDS = {"key": np.int32, "id": np.int64, "n": np.int32, "pos": np.int32, "open": np.bool_, "map": np.uint64}
+
+
+def partners(firsts: DataFrame, threshold: float, hot: int, cells=None, in_range: int = 300_000) -> DataFrame:
+    """Pairs x, y (with ``more``) from the prefixes of ``firsts(id, n, bits, wide, prefix, open)``.
+
+    Words that can't be too frequent travel packed, by ranges of their keys; all others as rows, in tiles.
+    Short and long sets meet apart, sets near the bound in either way. ``cells`` (a bitmap of key buckets)
+    narrows the words; then the ``open`` sets get all their partners.
+    """
+    total = firsts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    ranges, every = max(1, math.ceil(total / in_range)), cells is not None
+
+    def packed(parts: list[pa.RecordBatch]):
+        own = pa.Table.from_batches(parts).combine_chunks()
+        lists, wide = own["prefix"].combine_chunks(), own["wide"].combine_chunks()
+        count, ids, n, opened, bits = np.diff(lists.offsets.to_numpy()), own["id"].to_numpy(), own["n"].to_numpy(), own["open"].to_numpy(), own["bits"].to_numpy().view(np.uint64)
+        key = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(count)), count)
+        pos = (np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        cold = key >= 0
         if every:
-            if not pairs:
-                return None
-            x, y = (np.concatenate(z) for z in zip(*pairs))
-            more = np.zeros(len(x), np.bool_)
-        else:
-            x = np.flatnonzero(found)
-            y, more = mate[x], found[x] > 1
-        if not len(x):
-            return None
-        cols = [pa.array(c[z][i]) for i in (x, y) for z in (*ORDER, "n")]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(more)], names=[*(p + z for p in "xy" for z in (*ORDER, "n")), "more"])
+            cold &= cells.value[key & 0xFFFF]
+        has = np.diff(wide.offsets.to_numpy()) > 0
+        line = np.cumsum(has) - 1
+        maps = wide.flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+        for long_, some in ((False, cold & (n < LONG)[row]), (True, cold & has[row])):
+            k, i, q = key[some], row[some], pos[some]
+            r = (k.astype(np.int64) * ranges) >> 31
+            order = np.argsort(r, kind="stable")
+            cut = np.searchsorted(r[order], np.arange(ranges + 1)).tolist()
+            k, i, q = k[order], i[order], q[order]
+            cols = [k, ids[i], n[i], q, opened[i], maps[line[i]] if long_ else bits[i]]
+            have = [j for j in range(ranges) if cut[j + 1] > cut[j]]
+            numbers = pa.array([j + long_ * ranges for j in have], pa.int32())
+            yield pa.RecordBatch.from_arrays([numbers, *(pa.array([c[cut[j] : cut[j + 1]].tobytes() for j in have], pa.binary()) for c in cols)], names=["r", *KINDS])
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema.names)}
-            c["bits"] = c["bits"].view(np.uint64)
-            if held:
-                c = {f: np.concatenate([held[f], c[f]]) for f in c}
-            new = np.ones(len(c["key"]), np.bool_)
-            new[1:] = (c["key"][1:] != c["key"][:-1]) | (c["tile"][1:] != c["tile"][:-1])
-            last = int(np.flatnonzero(new)[-1])
-            if last:
-                out = compare({f: v[:last] for f, v in c.items()} | {"new": new[:last]})
-                if out:
-                    yield out
-            held = {f: v[last:] for f, v in c.items()}
+            held.append(batch)
+            size += len(batch.column(4).flatten())
+            if size >= 1 << 20:
+                yield from packed(held)
+                held, size = [], 0
         if held:
-            new = np.zeros(len(held["key"]), np.bool_)
-            new[0] = True
-            out = compare(held | {"new": new})
-            if out:
-                yield out
-
-    side = lambda p: f"{p}d long, {p}u long, {p}line int, {p}n int"
-    dealt = postings.repartition("key", "tile").sortWithinPartitions("key", "tile", *ORDER)
-    return dealt.mapInArrow(run, f"{side('x')}, {side('y')}, more boolean")
-
-
-def tiled(postings: DataFrame, hot: int) -> DataFrame:
-    """``postings`` with ``tile``: words that may be too frequent are cut so that any two of their sets share a tile."""
-    cold = postings.filter("key >= 0").withColumn("tile", F.lit(0))
-    frequent = stage(postings.filter("key < 0"), "lines-frequent")
-    sizes = frequent.groupBy("key").count().select("key", F.ceil(F.col("count") / hot).cast("int").alias("m"))
-    own = F.pmod(F.xxhash64(*ORDER), F.col("m")).cast("int")
+            yield from packed(held)
+
+    def met(table: pa.Table) -> pa.Table:
+        c = {k: np.frombuffer(b"".join(table[k].to_pylist()), t) for k, t in KINDS.items()}
+        width = WORDS if table["r"][0].as_py() >= ranges else 1
+        return compare(*(c[k] for k in list(KINDS)[:-1]), c["map"].reshape(-1, width), threshold, every)
+
+    rows = firsts.select("id", "n", "bits", "wide", "prefix", "open")
+    packs = rows.mapInArrow(run, "r int, key binary, id binary, n binary, pos binary, open binary, map binary")
+    return packs.groupBy("r").applyInArrow(met, PAIR).union(in_tiles(rows, threshold, hot, every))
+
+
+def in_tiles(rows: DataFrame, threshold: float, hot: int, every: bool) -> DataFrame:
+    """The pairs that meet by words with negative keys: the sets of a word are cut into tiles any two of which meet."""
+    frequent = rows.filter(F.array_min("prefix") < 0).select("id", "n", "open", "wide", "bits", F.posexplode("prefix").alias("pos", "key")).filter("key < 0")
+    short = frequent.filter(F.col("n") < LONG).select("id", "n", "open", "pos", "key", F.array("bits").alias("map"))
+    both = short.union(frequent.filter(F.size("wide") > 0).select("id", "n", "open", "pos", "key", "wide")).withColumn("width", F.size("map"))
+    postings = stage(both, "lines-tiles")
+    sizes = postings.groupBy("key", "width").count().select("key", "width", F.ceil(F.col("count") / hot).cast("int").alias("m"))
+    own = F.pmod(F.xxhash64("id"), F.col("m")).cast("int")
     tile = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.least("own", j) * F.col("m") + F.greatest("own", j))
-    cut = frequent.join(sizes, "key").withColumn("own", own).withColumn("tile", F.explode(tile)).select(*cold.columns)
-    return cold.union(cut)
+    cut = postings.join(sizes, ["key", "width"]).withColumn("own", own).withColumn("tile", F.explode(tile))
+
+    def met(table: pa.Table) -> pa.Table:
+        c = [table[k].to_numpy() for k in list(KINDS)[:-1]]
+        return compare(*c, np.array(table["map"].combine_chunks().flatten()).view(np.uint64).reshape(table.num_rows, -1), threshold, every)
+
+    return cut.select("key", "width", "tile", "id", "n", "pos", "open", "map").groupBy("key", "width", "tile").applyInArrow(met, PAIR)
 
 
 def picked(places: DataFrame) -> np.ndarray:
@@ -272,32 +315,37 @@ def sets_of(rows: DataFrame, levels, wanted) -> DataFrame:
     return rows.mapInArrow(run, "u long, line int, words array<long>").groupBy("u", "line").agg(F.first("words").alias("words"))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, levels, threshold: float) -> DataFrame:
-    """The pairs whose Jaccard similarity reaches the threshold, as places of x."""
+def verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, levels, threshold: float) -> DataFrame:
+    """Column id: the x of the pairs whose Jaccard similarity reaches the threshold."""
     spark = rows.sparkSession
-    places = pairs.select(F.explode(F.array(F.struct(F.col("xu").alias("u"), F.col("xline").alias("line")), F.struct(F.col("yu").alias("u"), F.col("yline").alias("line")))).alias("p")).select("p.*")
-    words_of = stage(sets_of(rows, levels, spark.sparkContext.broadcast(picked(places))), "lines-words")
-    x = words_of.select(F.col("u").alias("xu"), F.col("line").alias("xline"), F.col("words").alias("xw"))
-    y = words_of.select(F.col("u").alias("yu"), F.col("line").alias("yline"), F.col("words").alias("yw"))
-    both = pairs.join(x, ["xu", "xline"]).join(y, ["yu", "yline"])
-    shared = F.size(F.array_intersect("xw", "yw"))
-    return both.filter(shared * (1 + threshold) >= threshold * (F.col("xn") + F.col("yn")) - EPS).select(*[F.col("x" + c).alias(c) for c in ORDER])
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    places = stage(firsts.select("id", "u", "line", "n").join(ids, "id"), "lines-places")
+    found = sets_of(rows, levels, spark.sparkContext.broadcast(picked(places)))
+    sets = stage(places.join(found, ["u", "line"]).select("id", "n", "words"), "lines-words")
+    x, y = (sets.select(*[F.col(c).alias(p + c) for c in ("id", "n", "words")]) for p in "xy")
+    both = pairs.join(x, pairs.x == F.col("xid")).join(y, pairs.y == F.col("yid"))
+    shared = F.size(F.array_intersect("xwords", "ywords"))
+    near = both.filter(shared * (1 + threshold) >= threshold * (F.col("xn") + F.col("yn")) - EPS)
+    return near.select(F.col("x").alias("id")).distinct()
 
 
 def near_removed(firsts: DataFrame, rows: DataFrame, levels, threshold: float, hot: int) -> DataFrame:
-    """Places of the sets that an earlier, unequal set is similar to."""
-    postings = firsts.select(*ORDER, "n", "bits", F.posexplode("prefix").alias("pos", "key"))
-    sides = [p + c for p in "xy" for c in (*ORDER, "n")]
-    pairs = stage(partners(tiled(postings, hot), threshold).groupBy(*sides).agg(F.max("more").alias("more")), "lines-pairs")
-    closed = stage(verified(pairs, rows, levels, threshold).distinct(), "lines-near")
+    """Column id: the sets that an earlier, unequal set is similar to."""
+    pairs = stage(partners(firsts.withColumn("open", F.lit(True)), threshold, hot).groupBy("x", "y").agg(F.max("more").alias("more")), "lines-pairs")
+    closed = stage(verified(pairs, firsts, rows, levels, threshold), "lines-near")
     # sets whose earliest partners all failed, though others are left
-    open_ = stage(pairs.filter("more").select(*[F.col("x" + c).alias(c) for c in ORDER]).distinct().join(closed, ORDER, "left_anti"), "lines-open")
-    if open_.isEmpty():
+    left = stage(pairs.filter("more").select(F.col("x").alias("id")).distinct().join(closed, "id", "left_anti").withColumn("open", F.lit(True)), "lines-open")
+    if left.isEmpty():
+        return closed
+    marked = firsts.join(left, "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    cells = np.zeros(1 << 16, np.bool_)
+    for (cell,) in firsts.join(left, "id").select(F.explode("prefix").alias("key")).select(F.col("key").bitwiseAND(F.lit(0xFFFF))).distinct().collect():  # 65,536 at most
+        cells[cell] = True
+    rest = partners(marked, threshold, hot, rows.sparkSession.sparkContext.broadcast(cells)).select("x", "y").distinct()
+    rest = stage(rest.join(pairs, ["x", "y"], "left_anti"), "lines-rest")
+    if rest.isEmpty():
         return closed
-    marked = postings.join(open_.withColumn("open", F.lit(True)), ORDER, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    some = marked.join(marked.filter("open").select("key").distinct(), "key", "left_semi").select(*ORDER, "n", "bits", "pos", "key", "open")
-    rest = stage(partners(tiled(some, hot), threshold, every=True).select(*sides).distinct().join(pairs, sides, "left_anti"), "lines-rest")
-    return closed.union(stage(verified(rest, rows, levels, threshold).distinct(), "lines-near"))
+    return closed.union(stage(verified(rest, firsts, rows, levels, threshold), "lines-near")).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -305,11 +353,12 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     rows = keyed(docs, doc_id, text).select("_d", "_u", column(text))
     levels = docs.sparkSession.sparkContext.broadcast(word_levels(rows))
     lines = stage(line_sets(rows, levels, threshold), "lines")
-    firsts = lines.groupBy("s", "n", "bits").agg(F.min(F.struct(*ORDER, "prefix")).alias("f"))
-    firsts = stage(firsts.select("s", "n", "bits", "f.*"), "lines-first")
+    firsts = lines.groupBy("s", "n", "bits").agg(F.min(F.struct(*ORDER, "prefix", "wide")).alias("f"))
+    # numbered in their order
+    firsts = stage(firsts.select("s", "n", "bits", "f.*").orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id()), "lines-first")
     near = near_removed(firsts, rows, levels, threshold, hot)
-    classes = firsts.select("s", "n", "bits", *ORDER).join(near.withColumn("near", F.lit(True)), ORDER, "left").select("s", "n", "bits", F.col("d").alias("fd"), F.col("u").alias("fu"), F.col("line").alias("fl"), "near")
-    gone = lines.drop("prefix").join(classes, ["s", "n", "bits"]).filter("near or d <> fd or u <> fu or line <> fl")
+    classes = firsts.drop("prefix", "wide").join(near.withColumn("near", F.lit(True)), "id", "left").select("s", "n", "bits", F.col("d").alias("fd"), F.col("u").alias("fu"), F.col("line").alias("fl"), "near")
+    gone = lines.drop("prefix", "wide").join(classes, ["s", "n", "bits"]).filter("near or d <> fd or u <> fu or line <> fl")
     return gone.groupBy("d", "u").agg(F.collect_set("line").alias("lines"))
 
 

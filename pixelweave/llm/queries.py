@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, html_text, langid, line_dedup, packing, quality_model, quality_rules, simhash, toxicity
+from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_scoring, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
 
 TRAINING = fold(parts=3) != 1
@@ -51,6 +51,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = lm_scoring.score(docs, fold(parts=10) != 0)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text")
@@ -62,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op9_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
