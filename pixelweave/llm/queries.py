@@ -4,26 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_scoring, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
 
-TRAINING = fold(parts=3) != 1
-HELD_OUT = (fold(parts=3) == 1).alias("held_out")
+
+def _training() -> Column:
+    return fold(parts=3) != 1
+
+
+def _held_out() -> Column:
+    return (fold(parts=3) == 1).alias("held_out")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    model = langid.fit(docs.filter(TRAINING))
-    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", HELD_OUT, "lang_pred", "score", "cross_entropy", "rejected")
+    model = langid.fit(docs.filter(_training()))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", _held_out(), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(TRAINING)
-    return quality_model.score(docs, labels).select("doc_id", HELD_OUT, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(_training())
+    return quality_model.score(docs, labels).select("doc_id", _held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(TRAINING)
-    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", HELD_OUT, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(_training())
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", _held_out(), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
