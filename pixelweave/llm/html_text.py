@@ -153,35 +153,44 @@ def parsed(page: str) -> tuple[list[str], list[list[int]], list[bool]]:
     return [b[0] for b in blocks], [[x.hash.intdigest() - (1 << 63) for x in b[1]] for b in blocks], [b[2] and (b[3] or not marked) for b in blocks]
 
 
-HIDDEN = ("_blocks", "_around", "_passes", "_host", "_page", "_row")
+HIDDEN = ("_blocks", "_around", "_hashes", "_gone", "_page")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", min_pages: int = 5, share: float = 0.05) -> DataFrame:
     """Each page, without its html, with ``text``, its main text.
 
     A subtree is template if it is in ``min_pages`` pages of the host at least and in ``share`` of them.
+    Pages are read twice, for the counts and for the result, so that only what may stay is shuffled.
     """
-    fields = [T.StructField("_blocks", T.ArrayType(T.StringType())), T.StructField("_around", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_passes", T.ArrayType(T.BooleanType()))]
     base = without(pages, ["text", *HIDDEN])
     by = base.columns.index(html)
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(column(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    page = F.xxhash64(column(page_id), column(html))
+
+    def subtrees():
+        return lambda part: [[sorted({x for around in parsed(h or "")[1] for x in around}) for h in part.column(0).to_pylist()]]
 
-    def kernel():
+    def contents():
         def run(part: pa.RecordBatch) -> list:
-            rows = [parsed(h or "") for h in part.column(by).to_pylist()]
-            return [[r[i] for r in rows] for i in range(3)]
+            blocks, around = [], []
+            for h in part.column(by).to_pylist():
+                kept = [(b, a) for b, a, passes in zip(*parsed(h or "")) if passes]
+                blocks.append([b for b, _ in kept])
+                around.append([a for _, a in kept])
+            return [blocks, around]
 
         return run
 
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(column(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
+    own = attach(pages.select(column(html).alias("html"), host.alias("host"), page.alias("page")), [T.StructField("hashes", T.ArrayType(T.LongType()))], subtrees, "html")
+    own = stage(own.select("host", "page", "hashes"), "pages-subtrees")
+    pages_of = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    held = own.select("host", "page", F.explode("hashes").alias("hash")).distinct()
+    seen = held.groupBy("host", "hash").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_pages)
+    template = seen.join(pages_of, "host").filter(F.col("seen") >= share * F.col("pages")).select("host", "hash")
+    found = held.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page").alias("_page")).agg(F.collect_set("hash").alias("_gone"))
     kept = [c for c in base.columns if c != html]
-    read = attach(base, fields, kernel, html).select(*map(column, kept), *HIDDEN[:3], host.alias("_host"), F.xxhash64(column(page_id), column(html)).alias("_page"), F.monotonically_increasing_id().alias("_row"))
-    read = stage(read, "pages")
-    held = read.select("_host", "_page", "_row", F.explode(F.array_distinct(F.flatten("_around"))).alias("_hash"))
-    pages_of = read.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
-    seen = held.select("_host", "_hash", "_page").distinct().groupBy("_host", "_hash").agg(F.count("*").alias("_seen")).filter(F.col("_seen") >= min_pages)
-    template = seen.join(pages_of, "_host").filter(F.col("_seen") >= share * F.col("_pages")).select("_host", "_hash")
-    found = held.join(template, ["_host", "_hash"], "left_semi").groupBy("_row").agg(F.collect_set("_hash").alias("_gone"))
-    whole = read.join(found, "_row", "left")
-    gone = lambda i: F.coalesce(F.arrays_overlap(F.get("_around", i), F.col("_gone")), F.lit(False))
-    keep = F.filter("_blocks", lambda b, i: F.get("_passes", i) & ~gone(i))
-    return whole.select(*map(column, kept), F.array_join(keep, "\n\n").alias("text"))
+    fields = [T.StructField("_blocks", T.ArrayType(T.StringType())), T.StructField("_around", T.ArrayType(T.ArrayType(T.LongType())))]
+    read = attach(base, fields, contents, html).select(*map(column, kept), *HIDDEN[:2], page.alias("_page"))
+    whole = read.join(found, "_page", "left")
+    stays = F.filter("_blocks", lambda b, i: ~F.coalesce(F.arrays_overlap(F.get("_around", i), F.col("_gone")), F.lit(False)))
+    return whole.select(*map(column, kept), F.array_join(stays, "\n\n").alias("text"))
