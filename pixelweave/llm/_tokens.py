@@ -26,8 +26,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Maps words (UTF-8) to their ids as little-endian unsigned 32-bit values."""
 
-    #: Words kept; beyond that the cache starts anew (about 100 MB).
-    KEEP = 500_000
+    #: Words kept (about 150 MB); beyond that only those of the texts at hand stay.
+    KEEP = 800_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,13 +43,13 @@ class WordIds:
         """Adds the words that are missing."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.KEEP:
-            self.known, new = {}, list(words)
+            self.known = {w: self.known[w] for w in words if w in self.known}
         plain, ends, rest, tails = {}, [], [], set()
         for w in new:
             stem = w.rstrip(PUNCTUATION)
             tail = w[len(stem) :]
             s = stem.decode("utf-8", "replace")
-            if s.isalpha() and s.lower().isalpha():
+            if s.isalpha() and (s.isascii() or s.lower().isalpha()):
                 plain[stem] = s
                 if tail:
                     ends.append((w, stem, tail))
