@@ -1,7 +1,8 @@
 """Operator 5, HTML extraction with site template removal.
 
 Each page is read once into text blocks. A block knows the subtrees (container elements) around
-it; a subtree's hash covers its tags and text. Spark counts each hash per host, in pages, and the
+it; a subtree's hash covers its tags and text. Spark counts each hash per host, in pages of distinct
+article text (so copies of a page count once), and the
 subtrees that recur across many pages of the host are the site's template: blocks inside them go.
 Paragraphs, headings, list items and a marked article itself are no containers, so an article
 that a site prints twice stays whole.
@@ -14,8 +15,8 @@ Character references are decoded, white space in a block becomes one space, bloc
 page order by an empty line.
 
 Cases: a null or blank page gives an empty text; unclosed tags, comments and scripts end where the
-page does; a null url is a host of its own; repeated rows are pages of their own for the counts of
-nothing but themselves (rows of equal page_id and html count once); extra columns pass through, one named
+page does; a null url is a host of its own; repeated rows and pages of equal article text count
+once; extra columns pass through, one named
 as a result is replaced; an empty table gives an empty result.
 """
 
@@ -165,10 +166,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str
     base = without(pages, ["text", *HIDDEN])
     by = base.columns.index(html)
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(column(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", "")
-    page = F.xxhash64(column(page_id), column(html))
+    page = F.xxhash64(host, column(page_id), column(html))
 
     def subtrees():
-        return lambda part: [[sorted({x for around in parsed(h or "")[1] for x in around}) for h in part.column(0).to_pylist()]]
+        def run(part: pa.RecordBatch) -> list:
+            hashes, articles = [], []
+            for h in part.column(0).to_pylist():
+                blocks, around, passes = parsed(h or "")
+                hashes.append(sorted({x for xs in around for x in xs}))
+                articles.append(xxhash.xxh64_intdigest("\n\n".join(b for b, p in zip(blocks, passes) if p)) - (1 << 63))
+            return [hashes, articles]
+
+        return run
 
     def contents():
         def run(part: pa.RecordBatch) -> list:
@@ -181,11 +190,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str
 
         return run
 
-    own = attach(pages.select(column(html).alias("html"), host.alias("host"), page.alias("page")), [T.StructField("hashes", T.ArrayType(T.LongType()))], subtrees, "html")
-    own = stage(own.select("host", "page", "hashes"), "pages-subtrees")
-    pages_of = own.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    own = attach(pages.select(column(html).alias("html"), host.alias("host"), page.alias("page")), [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("article", T.LongType())], subtrees, "html")
+    own = stage(own.select("host", "page", "hashes", "article"), "pages-subtrees")
+    pages_of = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     held = own.select("host", "page", F.explode("hashes").alias("hash")).distinct()
-    seen = held.groupBy("host", "hash").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_pages)
+    seen = own.select("host", "article", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_pages)
     template = seen.join(pages_of, "host").filter(F.col("seen") >= share * F.col("pages")).select("host", "hash")
     found = held.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page").alias("_page")).agg(F.collect_set("hash").alias("_gone"))
     kept = [c for c in base.columns if c != html]

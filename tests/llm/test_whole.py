@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pixelweave.llm import lm_scoring
+from pixelweave.llm import html_text, lm_scoring
 
 
 def test_lm_learns_long_texts(spark):
@@ -20,3 +20,16 @@ def test_lm_counts_all_ids(spark):
     group[2], group[-1] = 1, 2
     n = lm_scoring.tallied(table, np.array(group), 3)
     assert {(int(g), int(i)): int(n[g, i]) for g, i in zip(*n.nonzero())} == {(2, 1): 3, (0, 2): 3, (1, lm_scoring.END): 6, (2, 2): 3, (1, 2): 3, (2, lm_scoring.END): 3}
+
+
+def page(number, url, body):
+    return (number, url, f"<html><body>{body}</body></html>")
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copied_pages_are_no_template(spark):
+    rows = [page(i, f"http://a.b/{i}", "<article><div><p>The only story</p></div></article>") for i in range(8)]
+    assert set(extracted(spark, rows).values()) == {"The only story"}
