@@ -157,10 +157,10 @@ def parsed(page: str) -> tuple[list[str], list[list[int]], list[bool]]:
 HIDDEN = ("_blocks", "_around", "_hashes", "_gone", "_page")
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", min_pages: int = 5, share: float = 0.05) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", min_pages: int = 5) -> DataFrame:
     """Each page, without its html, with ``text``, its main text.
 
-    A subtree is template if it is in ``min_pages`` pages of the host at least and in ``share`` of them.
+    A subtree is template if it is in ``min_pages`` pages of the host at least, however large the host.
     Pages are read twice, for the counts and for the result, so that only what may stay is shuffled.
     """
     base = without(pages, ["text", *HIDDEN])
@@ -192,10 +192,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str
 
     own = attach(pages.select(column(html).alias("html"), host.alias("host"), page.alias("page")), [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("article", T.LongType())], subtrees, "html")
     own = stage(own.select("host", "page", "hashes", "article"), "pages-subtrees")
-    pages_of = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     held = own.select("host", "page", F.explode("hashes").alias("hash")).distinct()
-    seen = own.select("host", "article", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_pages)
-    template = seen.join(pages_of, "host").filter(F.col("seen") >= share * F.col("pages")).select("host", "hash")
+    seen = own.select("host", "article", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("seen"))
+    template = seen.filter(F.col("seen") >= min_pages).select("host", "hash")
     found = held.join(template, ["host", "hash"], "left_semi").groupBy(F.col("page").alias("_page")).agg(F.collect_set("hash").alias("_gone"))
     kept = [c for c in base.columns if c != html]
     fields = [T.StructField("_blocks", T.ArrayType(T.StringType())), T.StructField("_around", T.ArrayType(T.ArrayType(T.LongType())))]

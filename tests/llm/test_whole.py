@@ -33,3 +33,9 @@ def extracted(spark, rows):
 def test_copied_pages_are_no_template(spark):
     rows = [page(i, f"http://a.b/{i}", "<article><div><p>The only story</p></div></article>") for i in range(8)]
     assert set(extracted(spark, rows).values()) == {"The only story"}
+
+
+def test_template_of_a_large_host(spark):
+    promo = "<div><p>Buy our almanac</p></div>"
+    rows = [page(i, f"http://a.b/{i}", f"<p>Story {i}</p>{promo if i < 8 else ''}") for i in range(300)]
+    assert extracted(spark, rows) == {i: f"Story {i}" for i in range(300)}
