@@ -8,8 +8,8 @@ Paragraphs, headings, list items and a marked article itself are no containers,
 that a site prints twice stays whole.
 
 A check of what is left follows, since furniture may be new on each page: blocks in menus, page
-headers, footers, sidebars, notices, adverts, forms and comments go by tag, role or class name,
-and where a page marks its article (``article``, ``main``), so do blocks outside it.
+headers, footers, sidebars, notices, adverts, forms and comments go by tag, role, class or id (as
+whole names; one around the marked article drops nothing if all of the article would go), and where a page marks its article (``article``, ``main``), so do blocks outside it.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined in
 page order by an empty line.
@@ -23,6 +23,7 @@ as a result is replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -44,45 +45,67 @@ BLOCKS = frozenset(
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th tr tbody thead pre blockquote figcaption caption article main body html".split())
 SIGNS = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal sidebar "
-    "comment comments commentlist respond replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended widget toolbar pagination pager copyright login search".split()
+    "comment comments commentlist respond replies disqus nav navbar navigation menu breadcrumb breadcrumbs footer masthead share sharing social related recommended widget toolbar pagination pager copyright login search "
+    # whole names, since a part alone (has-sidebar, search-methods) says little
+    "site-nav main-nav nav-menu nav-bar main-menu site-menu site-footer page-footer main-footer cookie-banner cookie-notice cookie-consent cookie-bar ad-slot ad-banner ad-container ad-wrapper "
+    "social-share share-buttons social-links related-posts related-articles comment-list comments-area side-bar site-sidebar newsletter-signup".split()
 )
+HEADERS = frozenset("header site-header page-header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # end of fixed values
 
 TAG = re.compile(r"<!--(.*?)(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(\bhidden\b|display\s*:\s*none)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+UNNAMED = frozenset("html body article main".split())
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 CLOSES_P = BLOCKS - {"html", "body"}
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
 class Node:
-    __slots__ = ("dropped", "hash", "main", "number", "tag")
+    __slots__ = ("above", "dropped", "hash", "holds", "main", "named", "number", "tag")
 
-    def __init__(self, tag: str, number: int, dropped: bool, main: bool) -> None:
-        self.tag, self.number, self.dropped, self.main, self.hash = tag, number, dropped, main, xxhash.xxh64(tag)
+    def __init__(self, tag: str, number: int, above: Node | None, dropped: bool, named: bool, main: bool) -> None:
+        self.tag, self.number, self.above, self.dropped, self.named, self.main, self.holds, self.hash = tag, number, above, dropped, named, main, False, xxhash.xxh64(tag)
+
+    def stays(self) -> bool:
+        """Whether neither this element nor one around it is dropped."""
+        return not any(x.dropped or x.named for x in chain(self))
+
+
+def chain(x: Node | None) -> Iterator[Node]:
+    """An element and those around it."""
+    while x:
+        yield x
+        x = x.above
 
 
 def furniture(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is page furniture by its tag, role or class."""
-    if tag in FURNITURE or (tag == "header" and not in_main):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return "comment" in attributes.lower() if tag == "article" else False
-    for m in NAMED.finditer(attributes):
-        if m[2]:
-            return True
-        words = [w for w in re.split(r"[^a-z]+", m[1].lower()) if w]
-        if m[0][:4].lower() == "role" and ROLES.intersection(words):
+    """Whether an element is page furniture by its tag, or an article that is a comment."""
+    return tag in FURNITURE or (tag == "header" and not in_main) or (tag == "article" and "comment" in attributes.lower())
+
+
+def named(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element is page furniture by its role, class or id, or isn't shown. Names count as a whole."""
+    if not attributes or tag in UNNAMED:
+        return False
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or (name == "style" and "".join(value.split()).find("display:none") >= 0) or (name == "aria-hidden" and value == "true"):
             return True
-        if SIGNS.intersection(words) or (not in_main and "header" in words):
+        if name == "role" and not ROLES.isdisjoint(value.split()):
             return True
+        if name in ("class", "role") or (name == "id" and not (in_main and tag in PARTS)):
+            words = value.replace("_", "-").split()
+            if not SIGNS.isdisjoint(words) or (not in_main and not HEADERS.isdisjoint(words)):
+                return True
     return False
 
 
 def parsed(page: str) -> tuple[list[str], list[list[int]], list[bool]]:
     """Texts of the page's blocks; for each the hashes of the subtrees around it, and whether it passes the final check."""
-    stack = [Node("#", 0, False, False)]
-    blocks: list[tuple[str, list[Node], bool, bool]] = []
+    stack = [Node("#", 0, None, False, False, False)]
+    blocks: list[tuple[str, list[Node], Node]] = []
     text: list[str] = []
     count, at, n = 0, 0, len(page)
 
@@ -93,7 +116,7 @@ def parsed(page: str) -> tuple[list[str], list[list[int]], list[bool]]:
             if s:
                 for x in stack:
                     x.hash.update(s)
-                blocks.append((s, [x for x in stack if x.tag not in TEXTUAL and x.number], not stack[-1].dropped, stack[-1].main))
+                blocks.append((s, [x for x in stack if x.tag not in TEXTUAL and x.number], stack[-1]))
 
     def close(to: int) -> None:
         flush()
@@ -148,10 +171,21 @@ def parsed(page: str) -> tuple[list[str], list[list[int]], list[bool]]:
         above = stack[-1]
         count += 1
         main = above.main or tag in ("article", "main")
-        stack.append(Node(tag, count, above.dropped or tag in SKIPPED or furniture(tag, m[4], above.main), main))
+        dropped = tag in SKIPPED or furniture(tag, m[4], above.main)
+        stack.append(Node(tag, count, above, dropped, not dropped and named(tag, m[4], above.main), main))
+        if tag in ("article", "main") and not dropped:
+            for x in stack:
+                x.holds = True
     close(0)
-    marked = any(b[2] and b[3] for b in blocks)
-    return [b[0] for b in blocks], [[x.hash.intdigest() - (1 << 63) for x in b[1]] for b in blocks], [b[2] and (b[3] or not marked) for b in blocks]
+    stays = [b[2].stays() for b in blocks]
+    marked = any(s and b[2].main for s, b in zip(stays, blocks))
+    if not marked and any(b[2].main for b in blocks):  # the marked article is within an element of such a name: that is none
+        lifted = {id(x): x for b in blocks for x in chain(b[2]) if x.named and x.holds}
+        for x in lifted.values():
+            x.named = False
+        stays = [b[2].stays() for b in blocks]
+        marked = any(s and b[2].main for s, b in zip(stays, blocks))
+    return [b[0] for b in blocks], [[x.hash.intdigest() - (1 << 63) for x in b[1]] for b in blocks], [s and (b[2].main or not marked) for s, b in zip(stays, blocks)]
 
 
 HIDDEN = ("_blocks", "_around", "_hashes", "_gone", "_page")

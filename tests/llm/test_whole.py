@@ -39,3 +39,9 @@ def test_template_of_a_large_host(spark):
     promo = "<div><p>Buy our almanac</p></div>"
     rows = [page(i, f"http://a.b/{i}", f"<p>Story {i}</p>{promo if i < 8 else ''}") for i in range(300)]
     assert extracted(spark, rows) == {i: f"Story {i}" for i in range(300)}
+
+
+def test_names_count_as_a_whole(spark):
+    inside = '<article><h2 id="search">Search</h2><section id="search-methods" data-id="search"><div aria-hidden="false" title="hidden">Methods</div></section><p class="notice">Sale</p></article>'
+    rows = [page(1, "http://a.b/1", f'<div class="site has-sidebar">{inside}</div>'), page(2, "http://a.c/2", f'<div class="sidebar">Menu{inside}</div>'), page(3, "http://a.d/3", '<div class="no-sidebar"><p>Text</p></div><div class="main sidebar">Menu</div>')]
+    assert extracted(spark, rows) == {1: "Search\n\nMethods", 2: "Search\n\nMethods", 3: "Text"}
