@@ -8,8 +8,9 @@ context weights. The language with the lowest cross-entropy per character wins.
 a softmax over the cross-entropies whose scale is fitted on labelled documents kept from counting,
 and a text is marked ``rejected`` where its cross-entropy is beyond what such documents show.
 
-Models are fitted on a bounded sample (``docs_per_language`` documents of at most ``longest``
-characters for each language). Every text is scored in whole.
+Models are fitted on about ``docs_per_language`` distinct texts of each language, of any length, and
+on all texts of a language that has no more; each text counts once, however often it is copied.
+Every text is scored in whole.
 
 Cases: a null text or one without letters gets ``und``, score 0 and no rejection; a null language
 is not learned; with nothing to learn from all texts get ``und``; ties go to the first language
@@ -19,12 +20,12 @@ replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import cache, reduce
-from operator import or_
+import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,8 @@ ORDER = 4
 BITS = 12
 SPACE, EDGE = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Scales of the confidence that are tried.
+SCALES = np.geomspace(0.1, 100, 31)
 FIELDS = [
     T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()),
@@ -186,35 +189,47 @@ class Model:
         ]
 
 
-def fit(rows: DataFrame, lang: str = "lang", text: str = "text", docs_per_language: int = 400, longest: int = 20_000, languages: int = 200) -> Model | None:
-    """Models from a bounded sample of labelled rows; a tenth of it sets scale and rejection."""
+def judged(held: DataFrame, model: Model) -> list[tuple[list[float], float]]:
+    """For each text of ``held(lang, text)``: the summed cost of each scale of ``SCALES`` over its short pieces, and its cross-entropy."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not t or lang not in m.languages:
+                    continue
+                own = m.languages.index(lang)
+                pieces = [t[i : i + 60] for i in range(0, len(t), 60)]  # short, so that the scale has errors to see
+                cost = np.zeros(len(SCALES))
+                for i in range(0, len(pieces), 1000):
+                    h, n = m.entropies(pieces[i : i + 1000])
+                    over = n[:, None] ** 0.5 * (h - h[:, [own]])
+                    cost += [np.log(np.exp(-s * over).sum(1)).sum() for s in SCALES]
+                yield pa.RecordBatch.from_arrays([pa.array([cost.tolist()]), pa.array([float(m.entropies([t])[0][0, own])])], names=["cost", "own"])
+
+    return sorted((r[0], r[1]) for r in held.select("lang", "text").mapInArrow(run, "cost array<double>, own double").collect())
+
+
+def fit(rows: DataFrame, lang: str = "lang", text: str = "text", docs_per_language: int = 400, enough: int = 50) -> Model | None:
+    """Models from distinct labelled texts; a tenth of them, of languages with ``enough``, sets scale and rejection."""
     known = rows.filter(column(lang).isNotNull()).select(column(lang).cast("string").alias("lang"), column(text).alias("text"))
-    sizes = [(r[0], r[1]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    sizes = [(r[0], r[1]) for r in known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect()]
     if not sizes:
         return None
-    wanted: Column = reduce(or_, [(F.col("lang") == name) & sampled(F.col("text"), docs_per_language / n) for name, n in sizes])
-    some = known.filter(F.length("text") <= longest).filter(wanted)
-    kept = sampled(F.col("text"), 0.1, seed=11)
+    shares = rows.sparkSession.createDataFrame([(name, math.ceil(1_000_000 * min(1.0, docs_per_language / max(1, n))), n >= enough) for name, n in sizes], "lang string, share long, enough boolean")
+    some = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.col("share")).distinct()
+    kept = F.col("enough") & sampled(F.col("text"), 0.1, seed=11)
     table = counted(some.filter(~kept)).toArrow()
     names = np.array(table["lang"].to_pylist(), object)
     keys, n = table["key"].to_numpy(), table["n"].to_numpy()
     if not len(keys):
-        table = counted(some).toArrow()
-        names, keys, n = np.array(table["lang"].to_pylist(), object), table["key"].to_numpy(), table["n"].to_numpy()
-        if not len(keys):
-            return None
+        return None
     model = Model({str(x): (keys[names == x], n[names == x]) for x in set(names)})
-    held = [(r[0], r[1]) for r in some.filter(kept).limit(2 * docs_per_language).collect() if r[0] in model.languages]
+    held = judged(some.filter(kept), model)
     if held:
-        own = np.array([model.languages.index(x) for x, _ in held])
-        pieces = [(j, t[i : i + 60]) for j, (_, t) in zip(own, held) for i in range(0, len(t), 60)]  # short, so that the scale has errors to see
-        h, n = model.entropies([t for _, t in pieces])
-        right = h[np.arange(len(pieces)), [j for j, _ in pieces]][:, None]
-        grid = np.geomspace(0.1, 100, 31)
-        cost = [np.log(np.exp(-s * n[:, None] ** 0.5 * (h - right)).sum(1)).mean() for s in grid]
-        model.scale = float(grid[int(np.argmin(cost))])
-        whole, _ = model.entropies([t for _, t in held])
-        good = whole[np.arange(len(own)), own]
+        model.scale = float(SCALES[int(np.argmin(np.sum([cost for cost, _ in held], axis=0)))])
+        good = np.array([own for _, own in held])
         model.reject = float(good.mean() + 6 * good.std() + 0.5)
     return model
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from pixelweave.llm import html_text, lm_scoring
+from pixelweave.llm import html_text, langid, lm_scoring
 
 
 def test_lm_learns_long_texts(spark):
@@ -45,3 +45,13 @@ def test_names_count_as_a_whole(spark):
     inside = '<article><h2 id="search">Search</h2><section id="search-methods" data-id="search"><div aria-hidden="false" title="hidden">Methods</div></section><p class="notice">Sale</p></article>'
     rows = [page(1, "http://a.b/1", f'<div class="site has-sidebar">{inside}</div>'), page(2, "http://a.c/2", f'<div class="sidebar">Menu{inside}</div>'), page(3, "http://a.d/3", '<div class="no-sidebar"><p>Text</p></div><div class="main sidebar">Menu</div>')]
     assert extracted(spark, rows) == {1: "Search\n\nMethods", 2: "Search\n\nMethods", 3: "Text"}
+
+
+def test_no_language_drops_out(spark):
+    rows = [("en", f"the cat sat on the mat with number {x}") for x in "abcdefghij"]
+    rows += [("fi", "kissa istui matolla ja nukkui")] * 3_000 + [("de", "die katze sitzt auf der matte und " * 700)]
+    rows += [(f"x{i}", " ".join(chr(1000 + 2 * i + j) * 3 for j in range(2))) for i in range(250)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(model.languages) == {r[0] for r in rows}
+    docs = spark.createDataFrame([("kissa nukkui",), ("die matte",), ("the mat",)], "text string")
+    assert {r.text: r.lang_pred for r in langid.identify(docs, model).collect()} == {"kissa nukkui": "fi", "die matte": "de", "the mat": "en"}
