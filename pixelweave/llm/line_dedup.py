@@ -48,7 +48,7 @@ FEW = 32
 SPACE = np.zeros(256, np.bool_)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTES = np.where(SPACE, 0, np.arange(1, 257)).astype(np.uint64)
-BASE, REACH = 0x9E3779B97F4A7C15, 1 << 20
+BASE, REACH = 0x9E3779B97F4A7C15, 1 << 17
 #: Powers of the odd number ``BASE`` modulo 2**64 from its first on, and of its inverse from its zeroth on.
 POWERS = np.cumprod(np.full(REACH, BASE, np.uint64))
 INVERSES = np.append(np.uint64(1), np.cumprod(np.full(REACH - 1, pow(BASE, -1, 1 << 64), np.uint64)))
@@ -59,22 +59,45 @@ def mixed(h: np.ndarray, by: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, and the number of the line it stands in."""
+def spans(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of each word; the text is taken in pieces that end with white space."""
     b = np.frombuffer(joined, np.uint8)
+    found, at = [], 0
+    while at < len(b):
+        to = at + REACH
+        if to < len(b):
+            white = SPACE[b[at:to]]
+            if white.any():
+                to -= int(white[::-1].argmax())
+            else:  # a word longer than a piece
+                while to < len(b) and not SPACE[b[to]]:
+                    to += 1
+        h, starts, ends = _spans(b[at:to])
+        found.append((h, starts + at, ends + at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _spans(b)
+
+
+def _spans(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     white = SPACE[b]
-    first = ~white
+    first, last = ~white, ~white
     first[1:] &= white[:-1]
+    last[:-1] &= white[1:]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros(0, np.uint64), starts, starts
     if len(b) <= REACH:
         sums = np.add.reduceat(BYTES[b] * POWERS[: len(b)], starts) * INVERSES[starts]
     else:  # the same, by the place of each byte in its word
         place = np.arange(len(b)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(b)]])))
         sums = np.add.reduceat(BYTES[b] * POWERS[place % REACH], starts)
-    hashes = mixed(sums, 0xBF58476D1CE4E5B9)
-    return hashes, np.searchsorted(np.flatnonzero(b == 10), starts)
+    return mixed(sums, 0xBF58476D1CE4E5B9), starts, np.flatnonzero(last) + 1
+
+
+def words(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word, and the number of the line it stands in."""
+    hashes, starts, _ = spans(joined)
+    return hashes, np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), starts)
 
 
 def word_sets(joined: bytes, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

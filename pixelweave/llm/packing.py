@@ -145,8 +145,11 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tiers: tup
         packer = Packer(TaskContext.get().partitionId() << 32, tiers, step)
         for batch in batches:
             for part in chunks(batch, 1):
-                for key, ids in zip(part.column(0).to_pylist(), coder.encode(encoded(part.column(1))), strict=True):
-                    packer.add(key, ids + tail)
+                *_, ends, ids = coder.encode(encoded(part.column(1)))
+                raw, at = ids.astype("<u4").tobytes(), 0
+                for key, to in zip(part.column(0).to_pylist(), (4 * ends).tolist(), strict=True):
+                    packer.add(key, raw[at:to] + tail)
+                    at = to
                 packer.pack()
                 if packer.out:
                     yield packer.drain()
