@@ -1,9 +1,12 @@
 """Operators learn from, and keep, all of what they are given."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.llm import html_text, langid, lm_scoring
+from pixelweave.llm import html_text, langid, lm_model, lm_scoring
+from pixelweave.llm._common import fold
 
 
 def test_lm_learns_long_texts(spark):
@@ -16,12 +19,82 @@ def test_lm_learns_long_texts(spark):
 def test_lm_counts_all_ids(spark):
     texts = [bytes([1, 0, 2, 0]), bytes([2, 0, 2, 0]), b""] * 3
     table = spark.createDataFrame([(x,) for x in texts], "ids binary").repartition(4)
-    group = [0] * (lm_scoring.VOCABULARY + 1)
+    group = np.zeros(lm_scoring.VOCABULARY + 1, np.int64)
     group[2], group[-1] = 1, 2
-    n = lm_scoring.tallied(table, np.array(group), 3)
+    n = lm_scoring.tallied(table, lambda before, own: group[before] * lm_scoring.VOCABULARY + own, 3 * lm_scoring.VOCABULARY).reshape(3, -1)
     assert {(int(g), int(i)): int(n[g, i]) for g, i in zip(*n.nonzero())} == {(2, 1): 3, (0, 2): 3, (1, lm_scoring.END): 6, (2, 2): 3, (1, 2): 3, (2, lm_scoring.END): 3}
 
 
+def small_model(rng, vocabulary=60, end=59):
+    model = lm_model.CausalModel(vocabulary, end, width=8, hidden=8, single=12, clusters=5)
+    texts = [rng.choice(40, rng.integers(0, 120)) for _ in range(50)]
+    before, own = lm_scoring.sequences(pa.array([x.astype("<u2").tobytes() for x in texts]))
+    before, own = np.where(before == lm_scoring.VOCABULARY, vocabulary, before), np.where(own == lm_scoring.END, end, own)
+    head = model.heads(np.bincount(own, minlength=vocabulary))
+    row, size = np.append(model.row, lm_model.START), len(head)
+    b, o = row[before], row[own]
+    cls = model.classes(np.bincount(head[b] * size + o, minlength=(lm_model.HEADS + 1) * size).reshape(-1, size)).astype(int)
+    model.shares(np.bincount(cls[b] * size + o, minlength=(model.n_classes + 1) * size).reshape(-1, size), np.bincount(cls[o] * size + b, minlength=model.n_classes * size).reshape(-1, size))
+    weights = {k: v + rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in model.begin().items()}
+    return model, weights
+
+
+@pytest.mark.parametrize("factor", [1, 40])
+def test_lm_probabilities_sum_to_one(factor):
+    """After any context, seen ids or not, near or far, with weights small or huge."""
+    rng = np.random.default_rng(1)
+    model, weights = small_model(rng)
+    weights["c"] = weights["c"] * factor
+    model.freeze(weights, np.ones(len(weights["e"]), bool))
+    for n in (0, 1, 5, 31, 32, 33, 70):
+        context = rng.choice(59, n)
+        texts = [np.append(context, i) for i in range(59)]
+        log, begin = model.logs(np.concatenate(texts), np.array([n + 1] * 59))
+        ended, _ = model.logs(context, np.array([n]))
+        assert np.exp(log[begin + n]).sum() + np.exp(ended[n]) == pytest.approx(1, abs=1e-3)
+
+
+def test_lm_scores_do_not_hang_on_neighbours():
+    rng = np.random.default_rng(2)
+    model, weights = small_model(rng)
+    model.freeze(weights, np.ones(len(weights["e"]), bool))
+    texts = [rng.choice(59, n) for n in (0, 3, 200, 32, 31, 64, 1, 0, 500)]
+    lengths = np.array([len(x) for x in texts])
+    alone = [model.score(x, np.array([len(x)]))[0] for x in texts]
+    assert model.score(np.concatenate(texts), lengths) == pytest.approx(alone, rel=1e-4)
+    assert model.score(np.concatenate(texts), lengths, at_once=3) == pytest.approx(alone, rel=1e-4)
+
+
+def test_lm_attention_by_loops():
+    """The score of each id by the formulas of the model, one position at a time."""
+    rng = np.random.default_rng(3)
+    model, w = small_model(rng)
+    counts = model.next.copy()
+    model.freeze(w, np.ones(len(w["e"]), bool))
+    text = np.append(rng.choice(59, 90), 59)
+    x = np.append(lm_model.START, model.row[text[:-1]])
+    total = 0.0
+    for i, y in enumerate(text):
+        block = i // lm_model.BLOCK
+        seen = range(max(0, (block - 1) * lm_model.BLOCK), i + 1)
+        e = w["e"][x]
+        s = np.array([e[i] @ w["q"] @ (e[j] @ w["k"]) / 8**0.5 + w["near"][i % lm_model.BLOCK, j - (block - 1) * lm_model.BLOCK] for j in seen])
+        a = np.exp(s - s.max())
+        h = e[i] + (a / a.sum()) @ (e[list(seen)] @ w["v"])
+        z = h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"]
+        logits = z @ w["c"] + w["c0"] + counts[x[i]]
+        before = model.n_classes if i == 0 else model.cls[text[i - 1]]
+        total += logits[model.cls[y]] - np.log(np.exp(logits).sum()) + model.after[before, model.row[y]] * (model.cls[y] >= model.single) + model.rest[y]
+    assert model.score(text[:-1], np.array([90]))[0] == pytest.approx(total / np.log(10), rel=0.02)
+
+
+def test_lm_gain_over_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lm_scoring.score(docs, fold(parts=10) != 0).filter("not training and n_tokens > 20").toPandas()
+    assert (held.score > held.base_score).mean() > 0.75  # of a few hundred documents to learn from
+    assert held.score.sum() > held.base_score.sum()
+
+
 def page(number, url, body):
     return (number, url, f"<html><body>{body}</body></html>")
 
