@@ -50,7 +50,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.type)
+        self.known, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.type)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the texts' words in turn: the place of each hash among the distinct ones, and those; of each text, the end of its words and of its ids; all ids."""
@@ -75,11 +75,24 @@ class WordIds:
         if not len(at):
             return at, distinct, words, words, self.flat[:0]
         size, start = self.size[place][at], self.start[place][at]
-        to = np.cumsum(size)
-        return at, distinct, words, np.append(0, to)[words], self.flat[np.repeat(start - to + size, size) + np.arange(int(to[-1]))]
+        to = np.cumsum(size, dtype=np.int32)
+        return at, distinct, words, np.append(0, to)[words], self.flat[np.repeat(start - to + size, size) + np.arange(int(to[-1]), dtype=np.int32)]
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[bytes], at_once: int = 20_000) -> None:
         """Adds words by their hashes (in order)."""
+        raw = []
+        for i in range(0, len(words), at_once):
+            raw += self._encoded(words[i : i + at_once])
+        flat = np.frombuffer(b"".join(raw), self.type)
+        size = np.fromiter(map(len, raw), np.int32, len(raw)) // flat.itemsize
+        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
+        self.known = np.concatenate([self.known, hashes])[order]
+        self.start = np.concatenate([self.start, (np.cumsum(size) - size + len(self.flat)).astype(np.int32)])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word."""
         plain, other, rest, parts = {}, {}, {}, []
         for w in words:
             stem = w.rstrip(PUNCTUATION)
@@ -100,14 +113,7 @@ class WordIds:
         ids = self._each(list(rest)) | self._many(other, self.tokenizer, 2000)
         ids |= self._many({w: (s if s.isascii() else s.encode().decode("latin-1").translate(LETTERS)) for w, s in plain.items()}, self.merges, 500)
         ids[b""] = b""
-        raw = [ids[stem] + ids[tail] for stem, tail in parts]
-        flat = np.frombuffer(b"".join(raw), self.type)
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // flat.itemsize
-        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
-        self.known = np.concatenate([self.known, hashes])[order]
-        self.start = np.concatenate([self.start, np.cumsum(size) - size + len(self.flat)])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        return [ids[stem] + ids[tail] for stem, tail in parts]
 
     def _many(self, words: dict[bytes, str], tokenizer, at_once: int) -> dict[bytes, bytes]:
         out, keys = {}, list(words)
