@@ -36,8 +36,8 @@ THRESHOLD = 0.8
 COUNT_BITS = 20
 #: Words seen more often are cut into tiles of so many sets.
 HOT = 20_000
-#: Buckets of the filter that picks the lines to verify, as a power of two.
-PICK_BITS = 23
+#: Bits of the filter that picks the lines to verify: so many for each line, within these powers of two (128 MB at most).
+PICK_EACH, PICK_LEAST, PICK_MOST = 16, 16, 30
 FIELDS = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 ORDER = ["d", "u", "line"]
 EPS = 1e-9
@@ -171,7 +171,8 @@ def line_sets(rows: DataFrame, levels, threshold: float) -> DataFrame:
                         maps[:, i] = np.bitwise_xor.reduceat(np.where(word == i, bit[inside], np.uint64(0)), cuts)
                 widths = np.zeros(len(n), np.int64)
                 widths[wide] = WORDS
-                keep = np.where(n < 4, 0, n - np.ceil(threshold * n - EPS).astype(np.int64) + 1)
+                # a set is most like one with a word more; too small sets are like none but their equals
+                keep = np.where(n < (threshold - EPS) * (n + 1), 0, n - np.ceil(threshold * n - EPS).astype(np.int64) + 1)
                 ends = np.cumsum(keep)
                 at = np.arange(ends[-1]) + np.repeat(cut[:-1] - ends + keep, keep)
                 own = rank[at]
@@ -299,14 +300,15 @@ def in_tiles(rows: DataFrame, threshold: float, hot: int, every: bool) -> DataFr
 
 
 def picked(places: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the places ``u, line``."""
-    mask = (1 << PICK_BITS) - 1
+    """A filter over the places ``u, line``: bits by hash, in bytes, sized by the number of places."""
+    power = min(PICK_MOST, max(PICK_LEAST, math.ceil(math.log2(PICK_EACH * places.count() + 1))))
+    mask = (1 << power) - 1
     at = (F.col("u").bitwiseAND(F.lit(mask)) + F.col("line").cast("long") * 7919).bitwiseAND(F.lit(mask))
     cells = places.select(F.shiftright(at, 6).alias("i"), _bit(at).alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << (PICK_BITS - 6), np.int64)
-    table = cells.toArrow()  # at most 2**(PICK_BITS - 6) rows
+    out = np.zeros(1 << (power - 6), np.int64)
+    table = cells.toArrow()  # at most 2**(PICK_MOST - 6) rows
     out[table["i"].to_numpy()] = table["b"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(np.bool_)
+    return out.view(np.uint8)
 
 
 def _bit(at):
@@ -314,17 +316,18 @@ def _bit(at):
 
 
 def sets_of(rows: DataFrame, levels, wanted) -> DataFrame:
-    """Columns u, line, words: the word sets of the lines that the bitmap ``wanted`` lets through."""
-    mask = (1 << PICK_BITS) - 1
+    """Columns u, line, words: the word sets of the lines that the filter ``wanted`` lets through."""
 
     def run(batches):
+        mask = 8 * len(wanted.value) - 1
         for batch in batches:
             for part in chunks(batch, 2, 1 << 19):
                 joined, first = laid(encoded(part.column(2)))
                 u = part.column(1).to_numpy()
                 doc = np.repeat(np.arange(len(u)), np.diff(first))
                 number = np.arange(first[-1]) - first[doc]
-                take = np.flatnonzero(wanted.value[((u[doc] & mask) + number * 7919) & mask])
+                spot = ((u[doc] & mask) + number * 7919) & mask
+                take = np.flatnonzero(wanted.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
                 if not len(take):
                     continue
                 lines = joined.split(b"\n")
