@@ -6,8 +6,9 @@ Patterns of one length share a shift table keyed by blocks of two words: a block
 search may jump before a pattern could end there; blocks that end no pattern allow the longest
 jump. Where the shift is zero, the bucket of the block lists the patterns to compare directly.
 
-Benchmark patterns are broadcast while their words stay under ``most_words``. Beyond that
-:func:`matched_by_join` finds the same windows by an equi-join on window hashes.
+The patterns are broadcast. A benchmark of more than ``most_words`` words is cut into shards of items
+by a hash of their text; the documents are searched for one shard after the other, and what each
+finds is kept beside its document in a table, so that no worker holds more than one shard.
 
 Cases: a null text has no words and no hits; an item without words matches nothing; equal items
 under several ids all count; a null item_id counts in no list, though its words hit; repeated
@@ -18,9 +19,9 @@ result is replaced; empty tables give no hits or no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from pixelweave.llm._common import attach, column, encoded, stage, without
 
 WINDOW = 10
-#: Words of the benchmark up to which its patterns are broadcast (about 300 MB in each worker).
+#: Words of a shard of the benchmark, whose patterns are broadcast (about 300 MB in each worker).
 MOST_WORDS = 1_000_000
 #: Bytes of a word, lower-cased; all others part words.
 WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -40,6 +41,8 @@ FIELDS = [
     T.StructField("items_sha256", T.StringType()),
     T.StructField("contaminated", T.BooleanType()),
 ]
+#: What a shard finds: first words and ends of occurrences in turn, and items.
+FOUND = [T.StructField("_spans", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -97,28 +100,46 @@ def digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def search(words: list[bytes], searchers: list[Searcher], patterns: dict[tuple, set[str]]) -> tuple[int, set[str]]:
-    """Number of words inside any occurrence, and the ids of the items found."""
+def search(words: list[bytes], searchers: list[Searcher], patterns: dict[tuple, set[str]]) -> tuple[list[tuple[int, int]], set[str]]:
+    """First word and end of each occurrence, and the ids of the items found."""
     found, spans = set(), []
     for s in searchers:
         for at, pattern in s.find(words):
             spans.append((at, at + s.size))
             found |= patterns[pattern]
+    return spans, found
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """Number of words inside any of the spans."""
     hit, reach = 0, 0
     for a, b in sorted(spans):
         hit += max(0, b - max(a, reach))
         reach = max(reach, b)
-    return hit, found
+    return hit
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_words: int = MOST_WORDS) -> DataFrame:
     """Each row with its words, the words inside benchmark windows, and the items found."""
     size = F.sum(F.size(F.split(F.col("text"), "[^0-9A-Za-z\\x{80}-\\x{10ffff}]+")))
-    if (benchmark.agg(size).first()[0] or 0) > most_words:
-        return matched_by_join(docs, benchmark, text, window)
-    patterns = patterns_of([tuple(r) for r in benchmark.select("item_id", "text").collect()], window)
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
-    by = [c for c in docs.columns if c.lower() not in {f.name for f in FIELDS}].index(text)
+    shards = max(1, math.ceil((benchmark.agg(size).first()[0] or 0) / most_words))
+    items = benchmark.select("item_id", "text", F.pmod(F.xxhash64("text"), F.lit(shards)).alias("shard"))
+    rows, spark = without(docs, [f.name for f in FIELDS]), docs.sparkSession
+    for i in range(shards):
+        patterns = patterns_of([tuple(r) for r in items.filter(F.col("shard") == i).select("item_id", "text").collect()], window)
+        rows = searched(rows, spark.sparkContext.broadcast(patterns), text, i > 0, i == shards - 1)
+        if i < shards - 1:
+            rows = stage(rows, "decontaminate")
+    return rows
+
+
+def searched(rows: DataFrame, shared, text: str, more: bool, last: bool) -> DataFrame:
+    """The rows searched for one shard of patterns; ``more``: what earlier shards found is in ``FOUND``, ``last``: the results are due."""
+    names = [f.name for f in FOUND]
+    base = without(rows, [] if not more else names)
+    order = [*base.columns, *(names if more else [])]
+    rows = rows.select([column(c) for c in order])
+    by, first = order.index(text), len(base.columns)
 
     def kernel():
         known = shared.value
@@ -130,45 +151,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
         def run(part: pa.RecordBatch) -> list:
             out = []
-            for t in encoded(part.column(by)):
+            earlier = [part.column(first + i).to_pylist() for i in range(2)] if more else None
+            for i, t in enumerate(encoded(part.column(by))):
                 w = words_of(t)
-                hit, found = search(w, searchers, known)
-                out.append((len(w), hit, len(found), digest(found) if found else none, hit > 0))
-            return [list(x) for x in zip(*out)]
+                spans, found = search(w, searchers, known)
+                if more:
+                    spans += zip(earlier[0][i][::2], earlier[0][i][1::2])
+                    found |= set(earlier[1][i])
+                if last:
+                    hit = covered(spans)
+                    out.append((len(w), hit, len(found), digest(found) if found else none, hit > 0))
+                else:
+                    out.append(([x for s in spans for x in s], sorted(found)))
+            return [list(x) for x in zip(*out)] if out else [[] for _ in (FIELDS if last else FOUND)]
 
         return run
 
-    return attach(docs, FIELDS, kernel, text)
-
-
-def matched_by_join(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The same result for a benchmark too large to broadcast: windows meet by hash, then by words.
-
-    Windows of all lengths that the benchmark has are exploded from both sides and joined; Spark
-    splits hot windows of the documents, and each pair ends as one (row, position) at most.
-    """
-    rows = stage(without(docs, [f.name for f in FIELDS]).withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
-    plain = F.regexp_replace(F.translate(F.coalesce(F.col("_t"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")
-    listed = F.filter(F.split(plain, " "), lambda w: w != "")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("_t")).withColumn("w", listed).filter(F.size("w") > 0)
-    items = items.withColumn("k", F.least(F.lit(window), F.size("w")))
-    wanted = items.select("item", "k", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " "))).alias("window"))
-    wanted = wanted.groupBy("k", "window").agg(F.collect_set("item").alias("items"))
-    sizes = sorted(r[0] for r in wanted.select("k").distinct().collect())
-    words = rows.select("_row", column(text).alias("_t")).withColumn("w", listed).drop("_t")
-    one = F.array(*[F.struct(F.lit(k).alias("k"), i.alias("at"), F.array_join(F.slice("w", i + 1, k), " ").alias("window")) for k in sizes for i in [F.col("at")]]) if sizes else None
-    counts = words.select("_row", F.size("w").cast("long").alias("n_words"))
-    if one is None:
-        hits = rows.select("_row", F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
-    else:
-        found = words.filter(F.size("w") > 0).select("_row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
-        found = found.select("_row", F.explode(one).alias("x")).select("_row", "x.*").join(wanted, ["k", "window"])
-        spans = found.select("_row", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("k") - 1)).alias("p")).distinct().groupBy("_row").agg(F.count("*").alias("n_hit"))
-        names = found.select("_row", F.explode_outer("items").alias("item")).distinct().groupBy("_row").agg(F.collect_set("item").alias("items"))
-        hits = spans.join(names, "_row")
-    full = rows.join(counts, "_row").join(hits, "_row", "left")
-    items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return full.select(
-        *[column(c) for c in rows.columns if c != "_row"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    out = attach(rows, FIELDS if last else FOUND, kernel, text)
+    return without(out, names) if last and more else out
