@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pixelweave.llm._common import stage
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Columns ``node`` and ``component`` (the least node reachable) for every node of ``edges(a, b)``.
 
     Each round hangs the larger neighbours of a node, then its smaller ones, below the least node
     it knows (large star, small star). Least nodes come from partial aggregates, so a hub's edges
     are never gathered; the joins are plain equi-joins, whose hot keys Spark splits. Every round
-    ends in a table in the shared folder.
+    ends in a table in the shared folder. Rounds grow with the logarithm of the largest component; if
+    so many don't suffice an error is raised.
     """
     now = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     total = _sum(now)
@@ -28,6 +29,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if (seen := _sum(now)) == total:
             break
         total = seen
+    else:
+        raise RuntimeError(f"components: edges still change after {rounds} rounds")
     top = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return top.union(top.select(F.col("component").alias("node"), "component").distinct())
 

@@ -36,6 +36,8 @@ from pixelweave.llm._graph import components
 RADIUS = 3
 #: Fingerprints in a shard up to which it has one tree.
 MOST = 20_000
+#: A fingerprint is hot if it is that of more documents than this, and of more than one in ``GROUPS`` of all.
+COPIES, GROUPS = 1_000, 10_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -176,15 +178,28 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """Columns ``doc_id``, ``fp`` and ``component_id`` (least doc_id reachable), a row for each document."""
-    own = stage(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"), "simhash")
-    least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    parts = components(links(least.select("fp"), least.count(), most))
+    return _grouped(docs, doc_id, text, most).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, most: int = MOST) -> DataFrame:
+    """Columns ``doc_id``, ``u`` (hash of id and text), ``fp`` and ``component_id``."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("u"), F.col(text).alias("text"))
+    own = stage(fingerprints(own, "text").select("doc_id", "u", "fp"), "simhash")
+    least = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
+    different, total = least.agg(F.count("*"), F.sum("n")).first()
+    parts = components(links(least.select("fp"), different, most))
     # a component's least document, by fingerprint; all others stand alone
     grouped = parts.join(least, parts.node == least.fp)
     lowest = grouped.groupBy("component").agg(F.min("first").alias("low"))
     moved = grouped.join(lowest, "component").select("fp", "low")
-    final = least.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
-    return own.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = stage(least.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "first").alias("component_id")), "simhash-components")
+    # documents of hot fingerprints don't meet in one task: fewer than GROUPS fingerprints can be hot, so these are broadcast
+    bound = max(COPIES, (total or 0) // GROUPS)
+    hot = F.broadcast(final.filter(F.col("n") > bound).select("fp", "component_id", F.lit(True).alias("hot")))
+    marked = own.join(hot, "fp", "left")
+    some = marked.filter("hot").select("doc_id", "u", "fp", "component_id")
+    rest = marked.filter("hot is null").select("doc_id", "u", "fp").join(final.filter(F.col("n") <= bound).select("fp", "component_id"), "fp")
+    return some.union(rest.select("doc_id", "u", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,10 +207,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of repeated rows (equal id and text) one stays; rows without an id stay.
     """
-    marked = near_duplicates(docs, doc_id, text)
-    later = marked.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    twice = stage(marked.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id)), "simhash-twice")
-    left = docs.join(later, doc_id, "left_anti").select(docs.columns)
+    marked = stage(_grouped(docs, doc_id, text), "simhash-groups")
+    u = F.xxhash64(F.col(doc_id), F.col(text))
+    later = marked.filter("doc_id <> component_id").select("u")
+    twice = stage(marked.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "simhash-twice")
     if twice.isEmpty():
-        return left
-    return left.join(twice, doc_id, "left_anti").select(docs.columns).union(left.join(twice, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id, text]))
+        later = later.distinct()
+        return docs.join(later, u == later.u, "left_anti").select(docs.columns)
+    # one id with several texts in a group: the text of the least hash stays
+    leaders = marked.filter("doc_id = component_id").join(twice, "doc_id", "left_semi")
+    kept = leaders.groupBy("doc_id").agg(F.min("u").alias("kept"))
+    later = later.union(leaders.join(kept, "doc_id").filter("u <> kept").select("u")).distinct()
+    left = docs.join(later, u == later.u, "left_anti").select(docs.columns)
+    again = twice.withColumnRenamed("doc_id", doc_id)
+    return left.join(again, doc_id, "left_anti").select(docs.columns).union(left.join(again, doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id, text]))
