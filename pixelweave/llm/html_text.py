@@ -54,8 +54,10 @@ HEADERS = frozenset("header site-header page-header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 # end of fixed values
 
-TAG = re.compile(r"<!--(.*?)(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# a tag's attributes as HTML parts them: a quote opens a value only after an equals sign, and an unquoted value may hold quotes
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)"""
+TAG = re.compile(rf"<!--(.*?)(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+{VALUE}?+)?+|=)*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s=/>]+)(?:\s*=\s*({VALUE}))?")
 UNNAMED = frozenset("html body article main".split())
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 CLOSES_P = BLOCKS - {"html", "body"}
