@@ -92,12 +92,14 @@ def encoded(texts: pa.Array) -> list[bytes]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset (local tests) a temporary folder is taken instead.
+    Only where that is unset and everything runs on one machine (local tests) a temporary folder is taken instead.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pixelweave-")
         spark.sparkContext.setCheckpointDir(named)
     return named

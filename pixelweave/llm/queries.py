@@ -69,7 +69,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules.apply_rules(docs).drop("text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(_training())
+    return quality_rules.apply_rules(docs, labels).drop("text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

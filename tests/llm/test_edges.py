@@ -37,7 +37,7 @@ OPERATORS = {
     "keep_one": lambda d, l, b: simhash.keep_one(d),
     "lm": lambda d, l, b: lm_scoring.score(d, fold(parts=10) != 0),
     "decontaminate": lambda d, l, b: decontaminate.decontaminate(d, b),
-    "rules": lambda d, l, b: quality_rules.apply_rules(d),
+    "rules": lambda d, l, b: quality_rules.apply_rules(d, l),
 }
 
 

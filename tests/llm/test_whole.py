@@ -1,12 +1,15 @@
 """Operators learn from, and keep, all of what they are given."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.llm import html_text, langid, lm_model, lm_scoring
+from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_model, lm_scoring, quality_rules, simhash
 from pixelweave.llm._common import fold
+from pixelweave.llm._graph import components
 
 
 def test_lm_learns_long_texts(spark):
@@ -128,3 +131,126 @@ def test_no_language_drops_out(spark):
     assert set(model.languages) == {r[0] for r in rows}
     docs = spark.createDataFrame([("kissa nukkui",), ("die matte",), ("the mat",)], "text string")
     assert {r.text: r.lang_pred for r in langid.identify(docs, model).collect()} == {"kissa nukkui": "fi", "die matte": "de", "the mat": "en"}
+
+
+def test_attributes_as_html_parts_them(spark):
+    rows = [
+        page(1, "http://a.b/1", "<p>One <a title=it's>link</a> para.</p><p>We don't lose this</p><p>end</p>"),
+        page(2, "http://a.c/1", '<p>Two<img alt="5" tall"> three</p><p title="a > b" class=\'x\'>four</p>'),
+        page(3, "http://a.d/1", "<p a='>five' =b c= d>six</p><p/>seven<p e=\"open>eight</p><p>nine</p>"),
+    ]
+    found = extracted(spark, rows)
+    assert found[1] == "One link para.\n\nWe don't lose this\n\nend"
+    assert found[2] == "Two three\n\nfour"
+    assert found[3].startswith("six\n\nseven")
+
+
+def test_template_without_telling_names(spark):
+    """Tags and classes say nothing here: only the counts tell template from text."""
+    top, side = "<div class=x1><div>Our paper</div><ul><li>World<li>Sport</ul></div>", "<section class=x2><p>Most read today</p></section>"
+    rows = [page(i, f"http://a.b/{i}", f"{top}<div class=x3><h1>Title {i}</h1><p>Story {i}</p></div>{side}") for i in range(40)]
+    rows += [page(100 + i, f"http://c{i}.d/", f"{top}<div class=x3><p>Story {i}</p></div>{side}") for i in range(3)]
+    found = extracted(spark, rows)
+    assert all(found[i] == f"Title {i}\n\nStory {i}" for i in range(40))
+    assert all("World" in found[100 + i] and "Most read today" in found[100 + i] for i in range(3))
+
+
+def brute_lines(docs, threshold):
+    seen, left = [], {}
+    for d, t in sorted(docs):
+        kept = []
+        for x in t.split("\n"):
+            w = frozenset(x.split())
+            if not (w and any(len(w & o) >= threshold * len(w | o) - 1e-9 for o in seen)):
+                kept.append(x)
+            if w:
+                seen.append(w)
+        left[d] = "\n".join(kept)
+    return left
+
+
+@pytest.mark.parametrize("threshold", [0.34, 0.5, 0.6, 0.75, 0.8, 0.9, 1.0])
+def test_line_dedup_at_any_threshold(spark, threshold):
+    rng = np.random.default_rng(4)
+    docs = [(i, "\n".join(" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.6, rng.integers(0, 7)), 12)) for _ in range(4))) for i in range(40)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold)
+    assert {r.doc_id: r.text for r in found.collect()} == brute_lines(docs, threshold)
+
+
+def test_decontamination_in_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1).alias("_spans"))
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    whole, cut = (sorted(map(tuple, decontaminate.decontaminate(docs, items, most_words=n).drop("text").collect())) for n in (10**6, 300))
+    assert whole == cut
+    assert sum(r[-1] for r in whole) > 0
+
+
+def test_one_of_each_group_stays(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, c), (9, c)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, a), (5, b), (9, c)]
+
+
+def test_hot_fingerprint(spark):
+    docs = spark.createDataFrame([(i, "the same words in all of them" if i % 2 else f"text number {i} of many others {i * 7}") for i in range(4_000)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert len(found) == 4_000
+    assert {found[i] for i in range(1, 4_000, 2)} == {1}
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(3_000).selectExpr("id as a", "id + 1 as b")
+    assert {tuple(r) for r in components(edges).select("component").distinct().collect()} == {(0,)}
+    with pytest.raises(RuntimeError):
+        components(edges, rounds=2)
+
+
+def rule_documents():
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 9)))
+    good = lambda: " ".join(word() for _ in range(14)).capitalize() + "."
+    bad = lambda: " ".join(word() + str(rng.choice(["###", "", "%%%"])) for _ in range(14))
+    rows = [(i, "\n".join((bad if i % 2 and j < 6 else good)() for j in range(8)), int(not i % 2)) for i in range(120)]
+    return rows
+
+
+def test_field_learns_from_labels_of_documents(spark):
+    """Lines have no labels; bad documents hold good lines too."""
+    rows = rule_documents()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 80], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality_rules.apply_rules(docs, labels).collect()}
+    assert all(found[d].kept == bool(good) for d, _, good in rows)
+    assert np.mean([found[d].content_words for d, _, good in rows if not good]) == pytest.approx(28, abs=10)  # the two good lines of eight
+
+
+def test_neighbours_settle_a_line():
+    """A line that says nothing by itself goes with those around it, which a rule on lines can't tell."""
+    emit, move = quality_rules.train([[(0, 1)] * 3 + [(0,)] + [(0, 1)] * 3, [(0, 2)] * 3 + [(0,)] + [(0, 2)] * 3] * 20, [np.zeros(7, int), np.ones(7, int)] * 20)
+    assert quality_rules.viterbi([(0, 1), (0,), (0, 1)], emit, move) == [0, 0, 0]
+    assert quality_rules.viterbi([(0, 2), (0,), (0, 2)], emit, move) == [1, 1, 1]
+
+
+def test_viterbi_by_all_paths():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        emit, move = rng.normal(size=quality_rules.N_FEATURES).tolist(), rng.normal(size=(2, 2)).tolist()
+        features = [tuple(np.flatnonzero(rng.random(quality_rules.N_FEATURES) < 0.4).tolist()) for _ in range(rng.integers(1, 9))]
+
+        def value(path):
+            return sum(emit[k] for y, f in zip(path, features) if y for k in f) + sum(move[a][b] for a, b in zip(path, path[1:]))
+
+        assert value(quality_rules.viterbi(features, emit, move)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=len(features)))))
+
+
+def test_held_out_quality(spark):
+    """Labels that the field didn't see: nearly all good documents stay, nearly all bad ones go, more than by the base rules."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = quality_rules.fit(docs, labels.filter(fold(parts=3) != 1))
+    held = quality_rules.apply_rules(docs.join(labels.filter(fold(parts=3) == 1), "doc_id", "left_semi"), weights=model).drop("text").join(labels, "doc_id").toPandas()
+    bad, good = held[held.quality == 0], held[(held.quality == 1) & ~held.base_failed]
+    assert good.kept.mean() > 0.98
+    assert bad.kept.mean() < 0.05
+    assert bad.base_failed.mean() < 0.7
