@@ -11,7 +11,8 @@ from pixelweave.llm._common import column, documents, stage
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules.apply_rules(docs).filter("kept").select([column(c) for c in docs.columns])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_rules.apply_rules(docs, labels).filter("kept").select([column(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
