@@ -137,8 +137,9 @@ def searched(rows: DataFrame, shared, text: str, more: bool, last: bool) -> Data
     """The rows searched for one shard of patterns; ``more``: what earlier shards found is in ``FOUND``, ``last``: the results are due."""
     names = [f.name for f in FOUND]
     base = without(rows, [] if not more else names)
-    order = [*base.columns, *(names if more else [])]
-    rows = rows.select([column(c) for c in order])
+    order = base.columns
+    # what earlier shards found has other names, as results replace columns of their own
+    rows = rows.select(*[column(c) for c in order], *([column(n).alias(f"{n}_before") for n in names] if more else []))
     by, first = order.index(text), len(base.columns)
 
     def kernel():
@@ -168,4 +169,4 @@ def searched(rows: DataFrame, shared, text: str, more: bool, last: bool) -> Data
         return run
 
     out = attach(rows, FIELDS if last else FOUND, kernel, text)
-    return without(out, names) if last and more else out
+    return without(out, [f"{n}_before" for n in names]) if more else out
