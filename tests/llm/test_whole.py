@@ -178,7 +178,7 @@ def test_line_dedup_at_any_threshold(spark, threshold):
 
 
 def test_decontamination_in_shards(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lit(1).alias("_spans"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole, cut = (sorted(map(tuple, decontaminate.decontaminate(docs, items, most_words=n).drop("text").collect())) for n in (10**6, 300))
     assert whole == cut
