@@ -11,18 +11,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators.components import despeckled, grid_of, island_labels, labelled, without_small
+from pixelweave.operators.components import despeckled, island_labels, without_small
+from pixelweave.operators.grids import dense, each, keys
+from pixelweave.operators.tone import BRIGHT
 
 #: Spacing of ties along an island in millimetres, and the most ties it gets.
 SPACING, MOST_TIES = 50.0, 5
-TIES = "image_id long, tie int, x1 double, y1 double, x2 double, y2 double, width double"
+ENDS = ("x1", "y1", "x2", "y2", "width")
+TIES = "tie int, x1 double, y1 double, x2 double, y2 double, width double"
+#: Ties of one layer from which a warning is due.
+WARN = 14
 
 
 @dataclass(frozen=True)
 class Options:
     """How islands are treated; lengths in pixels but for the spacing."""
 
-    width: float = 2.0
+    width: float = 4.0
     mm_per_px: float | None = None
     spacing: float = SPACING
     max_gap: int | None = None
@@ -31,13 +36,12 @@ class Options:
     keep_highlights: bool = False
 
 
-def search(grid: np.ndarray, island: np.ndarray, sheet: np.ndarray, most: int, count: int) -> list[tuple[int, int, int, int]]:
-    """Ties of one island: breadth first through open cells until material of the sheet.
+def search(grid: np.ndarray, ys: np.ndarray, xs: np.ndarray, sheet: np.ndarray, most: int, count: int) -> list[tuple[int, int, int, int]]:
+    """Ties of one island (its cells in row order): breadth first through open cells until material of the sheet.
 
     The shortest tie of each of ``count`` sectors about the island's centre, in the order in which sectors were first hit.
     """
     h, w = grid.shape
-    ys, xs = np.nonzero(island)
     cy, cx = ys.mean(), xs.mean()
     seen: dict[tuple[int, int], tuple[int, tuple[int, int]]] = {}
     queue: deque[tuple[int, int]] = deque()
@@ -71,138 +75,222 @@ def search(grid: np.ndarray, island: np.ndarray, sheet: np.ndarray, most: int, c
     return [tie for _, tie in best.values()]
 
 
+def cells_of(label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of each label's cells in row order; one pass over the raster."""
+    at = np.flatnonzero(label.ravel())
+    at = at[np.argsort(label.ravel()[at], kind="stable")]
+    cut = np.flatnonzero(np.diff(label.ravel()[at])) + 1
+    return [np.divmod(part, label.shape[1]) for part in np.split(at, cut)] if len(at) else []
+
+
 def ties_of(grid: np.ndarray, o: Options) -> list[tuple[float, ...]]:
     label = island_labels(grid)
     sheet = (grid == 0) & (label == 0)
     most = o.max_gap if o.max_gap is not None else max(40, math.floor(0.3 * min(grid.shape) + 0.5))
     out = []
-    for i in range(1, int(label.max(initial=0)) + 1):
-        island, count = label == i, 1
+    for ys, xs in cells_of(label):
+        count = 1
         if o.mm_per_px:
-            ys, xs = np.nonzero(island)
-            span = max(np.ptp(ys), np.ptp(xs)) * o.mm_per_px + o.mm_per_px
+            span = max(np.ptp(ys), np.ptp(xs)) * o.mm_per_px
             count = max(1 if span < 12 else 2, min(MOST_TIES, math.floor(span / o.spacing + 0.5) or 1))
-        out += [(*map(float, t), o.width) for t in search(grid, island, sheet, most, count)]
+        out += [(*map(float, t), o.width) for t in search(grid, ys, xs, sheet, most, count)]
     return out
 
 
 def burnt(grid: np.ndarray, ties: list[tuple[float, ...]]) -> np.ndarray:
-    """Cells within half a width of points along each tie become material."""
+    """Cells within half a width of points along each tie become material; each point looks at the cells around it."""
     out = grid.copy()
-    y, x = np.indices(grid.shape)
+    h, w = grid.shape
     for x1, y1, x2, y2, width in ties:
         r = max(0.5, width / 2)
         steps = max(1, math.ceil(2 * math.hypot(x2 - x1, y2 - y1)))
-        for t in np.arange(steps + 1) / steps:
-            out[(x - (x1 + (x2 - x1) * t)) ** 2 + (y - (y1 + (y2 - y1) * t)) ** 2 <= r * r] = 0
+        t = np.arange(steps + 1) / steps
+        px, py = x1 + (x2 - x1) * t, y1 + (y2 - y1) * t
+        near = np.arange(-math.ceil(r) - 1, math.ceil(r) + 2)
+        x, y = (np.floor(px)[:, None] + near).astype(np.int64), (np.floor(py)[:, None] + near).astype(np.int64)
+        hit = ((x - px[:, None]) ** 2)[:, None, :] + ((y - py[:, None]) ** 2)[:, :, None] <= r * r
+        hit &= ((x >= 0) & (x < w))[:, None, :] & ((y >= 0) & (y < h))[:, :, None]
+        k, i, j = np.nonzero(hit)
+        out[y[k, i], x[k, j]] = 0
     return out
 
 
 def prepared(grid: np.ndarray, bright: np.ndarray, o: Options) -> tuple[np.ndarray, list[tuple[float, ...]], int, int]:
     """Mask, ties, number of islands kept and filled."""
     label = island_labels(grid)
-    size = np.bincount(label.ravel())
-    size[0] = 0
-    shine = np.bincount(label.ravel(), bright.ravel(), len(size))
-    ranked = sorted(range(1, len(size)), key=lambda i: (-size[i], i))
-    keep: list[int] = []
-    for i in ranked:
-        if len(keep) < o.max_kept and size[i] >= o.min_area:
-            keep.append(i)
+    size = np.bincount(label.ravel())[1:]
+    shine = np.bincount(label.ravel(), bright.ravel(), len(size) + 1)[1:]
+    rank = np.lexsort((np.arange(len(size)), -size))  # by size, the first of equal ones first
+    keep = np.zeros(len(size), np.bool_)
+    keep[rank[size[rank] >= o.min_area][: o.max_kept]] = True
     if o.keep_highlights:
-        for i in ranked:
-            if i not in keep and size[i] >= max(16, 0.15 * o.min_area) and shine[i] >= 0.5 * size[i] and len(keep) < o.max_kept + 12:
-                keep.append(i)
-    out = np.where((label > 0) & ~np.isin(label, keep), 1, grid)
+        shiny = rank[(size[rank] >= max(16, 0.15 * o.min_area)) & (shine[rank] >= 0.5 * size[rank]) & ~keep[rank]]
+        keep[shiny[: max(0, o.max_kept + 12 - int(keep.sum()))]] = True
+    out = np.where((label > 0) & ~np.append(True, keep)[label], 1, grid)
     ties = ties_of(out, o)
     if ties:
         out = np.where(island_labels(burnt(out, ties)) > 0, 1, out)
-    return out, ties, len(keep), len(ranked) - len(keep)
+    return out, ties, int(keep.sum()), len(size) - int(keep.sum())
+
+
+def _ids(table: pa.Table, names: list[str], n: int) -> dict[str, pa.Array]:
+    return {c: pa.array([table[c][0].as_py()] * n, table[c].type) for c in names}
+
+
+def _type(rows: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
 
 
 def auto_bridges(mask: DataFrame, options: Options = Options()) -> DataFrame:
     """Ties of each raster's islands."""
+    own = keys(mask)
 
     def run(table: pa.Table) -> pa.Table:
-        ties = ties_of(grid_of(table)[0], options)
+        ties = ties_of(dense(table, "open")[0], options)
         cols = list(zip(*ties)) or [()] * 5
-        image = pa.array([table["image_id"][0].as_py()] * len(ties), pa.int64())
-        return pa.table([image, pa.array(range(len(ties)), pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], names=["image_id", "tie", "x1", "y1", "x2", "y2", "width"])
+        return pa.table(_ids(table, own, len(ties)) | {"tie": pa.array(range(len(ties)), pa.int32())} | {n: pa.array(c, pa.float64()) for n, c in zip(ENDS, cols)})
 
-    return mask.groupBy("image_id").applyInArrow(run, TIES)
+    return mask.groupBy(*own).applyInArrow(run, f"{_type(mask, own)}, {TIES}")
 
 
 def burn(mask: DataFrame, ties: DataFrame) -> DataFrame:
     """``mask`` less the cells near its ties: points along each tie are exploded to the cells around them."""
+    own = [c for c in keys(mask) if c in ties.columns]
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     steps = F.greatest(F.lit(1), F.ceil(2 * length)).cast("int")
     points = ties.withColumns({"r": F.greatest(F.lit(0.5), F.col("width") / 2), "steps": steps}).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("steps"))))
     t = F.col("s") / F.col("steps")
-    points = points.select("image_id", "r", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("px"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("py"))
+    points = points.select(*own, "r", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("px"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("py"))
     span = lambda c: F.sequence(F.ceil(F.col(c) - F.col("r")).cast("int"), F.greatest(F.ceil(F.col(c) - F.col("r")), F.floor(F.col(c) + F.col("r"))).cast("int"))
     cells = points.withColumn("x", F.explode(span("px"))).withColumn("y", F.explode(span("py")))
-    cells = cells.filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= F.col("r") ** 2).select("image_id", "y", "x").distinct().withColumn("hit", F.lit(True))
-    return mask.join(cells, ["image_id", "y", "x"], "left").withColumn("open", F.when(F.col("hit"), 0).otherwise(F.col("open"))).drop("hit")
+    cells = cells.filter((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 <= F.col("r") ** 2).select(*own, "y", "x").distinct().withColumn("hit", F.lit(True))
+    return mask.join(cells, [*own, "y", "x"], "left").withColumn("open", F.when(F.col("hit"), 0).otherwise(F.col("open"))).drop("hit").select(mask.columns)
+
+
+def reburn(mask: DataFrame, ties: DataFrame) -> DataFrame:
+    """``mask`` with ``work`` (its ties burnt) and ``floating`` (material of ``work`` that hangs on nothing).
+
+    Where masks have ``is_edge``, edge layers have no floating cells: their lines are the design.
+    """
+    work = burn(mask.withColumn("work", F.col("open")).drop("open").withColumnRenamed("work", "open"), ties).withColumnRenamed("open", "work")
+    found = each(work, "work", "floating", lambda grid: (island_labels(grid) > 0).astype(np.int32))
+    if "is_edge" in mask.columns:
+        found = found.withColumn("floating", F.when(F.col("is_edge"), 0).otherwise(F.col("floating")))
+    base = [c for c in mask.columns if c != "open"]
+    return found.join(mask.select(*keys(mask), "y", "x", "open"), [*keys(mask), "y", "x"]).select(*base, "open", "work", "floating")
 
 
 def prepare_islands(pixels: DataFrame, options: Options = Options()) -> DataFrame:
     """For each raster of ``pixels(image_id, y, x, open, bright)``: kept, filled, ties and the open area of the result."""
+    own = keys(pixels)
 
     def run(table: pa.Table) -> pa.Table:
-        out, ties, kept, filled = prepared(grid_of(table)[0], grid_of(table, "bright")[0], options)
-        return pa.table({"image_id": table["image_id"][:1], "kept": [kept], "filled": [filled], "ties": [len(ties)], "open_area": [int(out.sum())], "burnt_area": [int(burnt(out, ties).sum())]})
+        out, ties, kept, filled = prepared(dense(table, "open")[0], dense(table, "bright")[0], options)
+        return pa.table(_ids(table, own, 1) | {"kept": [kept], "filled": [filled], "ties": [len(ties)], "open_area": [int(out.sum())], "burnt_area": [int(burnt(out, ties).sum())]})
 
-    return pixels.groupBy("image_id").applyInArrow(run, "image_id long, kept long, filled long, ties long, open_area long, burnt_area long")
+    return pixels.groupBy(*own).applyInArrow(run, f"{_type(pixels, own)}, kept long, filled long, ties long, open_area long, burnt_area long")
 
 
-def build_masks(pixels: DataFrame, levels: DataFrame, min_feature: float = 6, width: float = 2.0, mm_per_px: float | None = None, bridge: bool = True, keep_highlights: bool = False, edge_amount: float | None = None, span: int = 4) -> DataFrame:
-    """Layers of each raster: thresholded, despeckled, framed, islands treated; an edge layer where ``edge_amount`` is given.
+@dataclass(frozen=True)
+class Build:
+    """What a whole layer build takes; ``min_feature`` and ``width`` in pixels, ``spacing`` in millimetres."""
+
+    min_feature: float = 2.0
+    width: float = 4.0
+    mm_per_px: float = 1.0
+    spacing: float = 65.0
+    bridge: bool = True
+    keep_highlights: bool = False
+    edge_amount: float | None = None
+    span: int = 4
+
+
+def built(lum: np.ndarray, thresholds: list[int], b: Build) -> list[tuple[int, bool, np.ndarray, list[tuple[float, ...]]]]:
+    """Threshold, whether an edge layer, mask and ties of each layer, light to dark."""
+    h, w = lum.shape
+    least = b.min_feature**2
+    edge = min(max(2, math.floor(0.01 * min(h, w) + 0.5)), min(h, w) // 2)
+    inner = np.zeros(lum.shape, np.int32)
+    inner[edge : h - edge, edge : w - edge] = 1
+    o = Options(b.width, b.mm_per_px, b.spacing, None, 16 if b.bridge else 0, max(64, (b.min_feature * b.span) ** 2), b.keep_highlights)
+    out = []
+    for t in sorted(thresholds, reverse=True):
+        mask = despeckled((lum < t).astype(np.int32), least) * inner
+        mask, ties, _, _ = prepared(mask, (lum >= BRIGHT).astype(np.int32), o)
+        out.append((t, False, mask, ties))
+    if b.edge_amount is not None:
+        p = lum.astype(np.int32)
+        line = np.zeros_like(p)
+        if min(h, w) > 2:
+            gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
+            gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
+            line[1:-1, 1:-1] = abs(gx) + abs(gy) > (100 - min(100, max(0, b.edge_amount))) * 4 + 20
+        floor = max(40, math.floor(0.00012 * h * w + 0.5))
+        line = without_small(line, 1, floor)
+        grown = _max(_max(line))  # thickened, then closed
+        shrunk = np.zeros_like(grown)
+        shrunk[1:-1, 1:-1] = 1 - _max(1 - grown)[1:-1, 1:-1]
+        out.append((-1, True, despeckled(shrunk, floor) * inner, []))
+    return out
+
+
+def build_masks(pixels: DataFrame, levels: DataFrame, build: Build = Build()) -> DataFrame:
+    """Layers of each raster: thresholded, despeckled, framed, islands treated; an edge layer where its amount is given.
 
     Columns image_id, layer, is_edge, threshold, open_area, ties and burnt_area.
     """
-    least = int(min_feature**2)
 
     def run(table: pa.Table) -> pa.Table:
-        lum = grid_of(table, "lum")[0]
-        h, w = lum.shape
-        edge = max(2, math.floor(0.01 * min(h, w) + 0.5))
-        edge = min(edge, min(h, w) // 2)
-        inner = np.zeros(lum.shape, np.int64)
-        inner[edge : h - edge, edge : w - edge] = 1
-        o = Options(width, mm_per_px, 65.0, None, 16 if bridge else 0, int(max(64, (min_feature * span) ** 2)), keep_highlights)
-        rows = []
-        for i, t in enumerate(sorted(table["thresholds"][0].as_py(), reverse=True)):
-            mask = despeckled((lum < t).astype(np.int64), least) * inner
-            out, ties, _, _ = prepared(mask, (lum >= 210).astype(np.int64), o)
-            rows.append((i, False, t, int(out.sum()), len(ties), int(burnt(out, ties).sum())))
-        if edge_amount is not None:
-            p = lum.astype(np.int64)
-            gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-            gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-            line = np.zeros_like(p)
-            line[1:-1, 1:-1] = abs(gx) + abs(gy) > (100 - min(100, max(0, edge_amount))) * 4 + 20
-            line = without_small(line, 1, max(40, math.floor(0.00012 * h * w + 0.5)))
-            grown = _max(_max(line))  # thickened, then closed
-            shrunk = np.zeros_like(grown)
-            shrunk[1:-1, 1:-1] = 1 - _max(1 - grown)[1:-1, 1:-1]
-            line = despeckled(shrunk, least) * inner
-            rows.append((len(rows), True, -1, int(line.sum()), 0, int(line.sum())))
+        rows = [(i, e, t, int(m.sum()), len(ties), int(burnt(m, ties).sum())) for i, (t, e, m, ties) in enumerate(built(dense(table, "lum")[0], table["thresholds"][0].as_py(), build))]
         cols = list(zip(*rows)) or [()] * 6
-        return pa.table([pa.array([table["image_id"][0].as_py()] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["image_id", "layer", "is_edge", "threshold", "open_area", "ties", "burnt_area"])
-
-    return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, "image_id long, layer int, is_edge boolean, threshold int, open_area long, ties long, burnt_area long")
+        kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table(_ids(table, ["image_id"], len(rows)) | {n: pa.array(c, t) for n, c, t in zip(("layer", "is_edge", "threshold", "open_area", "ties", "burnt_area"), cols, kinds)})
 
+    return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, open_area long, ties long, burnt_area long")
 
-def _max(grid: np.ndarray) -> np.ndarray:
-    p = np.pad(grid, 1)
-    h, w = grid.shape
-    return np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
 
+def build_layers(pixels: DataFrame, levels: DataFrame, build: Build = Build()) -> DataFrame:
+    """The layers themselves: image_id, layer, is_edge, threshold, width, height, rows of the mask (``y``, ``open`` as bytes) and the layer's ties.
 
-def component_count(mask: DataFrame) -> DataFrame:
-    """Number of open components of each raster."""
+    A row for each line of each mask, so that what follows needs no whole raster; the ties are on line 0.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.table({"image_id": table["image_id"][:1], "components": [int(labelled(grid_of(table)[0], 1).max(initial=0))]})
+        lum = dense(table, "lum")[0]
+        h, w = lum.shape
+        found = built(lum, table["thresholds"][0].as_py(), build)
+        n = h * len(found)
+        tie = pa.list_(pa.struct([(c, pa.float64()) for c in ENDS]))
+        ties = [[dict(zip(ENDS, t)) for t in f[3]] if y == 0 else [] for f in found for y in range(h)]
+        return pa.table(
+            _ids(table, ["image_id"], n)
+            | {"layer": pa.array(np.repeat(np.arange(len(found), dtype=np.int32), h)), "is_edge": pa.array([f[1] for f in found for _ in range(h)], pa.bool_()), "threshold": pa.array([f[0] for f in found for _ in range(h)], pa.int32()), "width": pa.array([w] * n, pa.int32()), "height": pa.array([h] * n, pa.int32())}
+            | {"y": pa.array(np.tile(np.arange(h, dtype=np.int32), len(found))), "line": pa.array([row.astype(np.uint8).tobytes() for f in found for row in f[2]], pa.binary()), "ties": pa.array(ties, tie)}
+        )
+
+    ties = ", ".join(f"{c}: double" for c in ENDS)
+    return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, width int, height int, y int, line binary, ties array<struct<{ties}>>")
+
 
-    return mask.groupBy("image_id").applyInArrow(run, "image_id long, components long")
+def layer_pixels(layers: DataFrame) -> DataFrame:
+    """A row for each pixel of :func:`build_layers`: image_id, layer, is_edge, y, x, open."""
+    cells = F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.conv(F.hex(F.substring("line", i, F.lit(1))), 16, 10).cast("int"))
+    return layers.select("image_id", "layer", "is_edge", "y", F.posexplode(cells).alias("x", "open"))
+
+
+def layer_ties(layers: DataFrame) -> DataFrame:
+    """A row for each tie of :func:`build_layers`: image_id, layer, tie and its ends."""
+    return layers.select("image_id", "layer", F.posexplode("ties").alias("tie", "t")).select("image_id", "layer", "tie", *[f"t.{c}" for c in ENDS])
+
+
+def tie_counts(layers: DataFrame) -> DataFrame:
+    """Ties over the tonal layers of rows (image_id, is_edge, ties): in all, the most of a layer, and whether that calls for a warning."""
+    n = F.when(~F.col("is_edge"), F.col("ties"))
+    out = layers.groupBy("image_id").agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("ties"), F.coalesce(F.max(n), F.lit(0)).cast("long").alias("most"))
+    return out.withColumn("warn", F.col("most") >= WARN)
+
+
+def _max(grid: np.ndarray) -> np.ndarray:
+    p = np.pad(grid, 1)
+    h, w = grid.shape
+    return np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)

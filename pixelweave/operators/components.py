@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.operators.grids import each, keys
+
 
 def labelled(grid: np.ndarray, value: int) -> np.ndarray:
     """4-connected components of the cells that equal ``value``, numbered from 1 by their first cell in row order; 0 elsewhere."""
     h, w = grid.shape
+    if not h * w:
+        return np.zeros((h, w), np.int64)
     inside = grid == value
     far = h * w
     label = np.where(inside, np.arange(far).reshape(h, w), far)
@@ -31,34 +34,13 @@ def labelled(grid: np.ndarray, value: int) -> np.ndarray:
     return out
 
 
-def grid_of(table: pa.Table, column: str = "open") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense raster of a table with y, x and a column (0 where a pixel is missing), and the rows' places."""
-    y, x = table["y"].to_numpy(), table["x"].to_numpy()
-    grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1), np.int64)
-    grid[y, x] = table[column].to_numpy()
-    return grid, y, x
-
-
-def _each(mask: DataFrame, name: str, kernel) -> DataFrame:
-    """``mask`` with a column computed from each raster as a whole."""
-
-    def run(table: pa.Table) -> pa.Table:
-        grid, y, x = grid_of(table)
-        own = pa.array(kernel(grid)[y, x], pa.int32())
-        return table.set_column(table.column_names.index(name), name, own) if name in table.column_names else table.append_column(name, own)
-
-    base = mask.withColumn("open", F.col("open").cast("int"))
-    schema = base.schema if name in base.columns else base.withColumn(name, F.lit(0)).schema
-    return base.groupBy("image_id").applyInArrow(run, schema)
-
-
 def components(mask: DataFrame, value: int = 1) -> DataFrame:
     """``mask`` with ``label``."""
-    return _each(mask, "label", lambda grid: labelled(grid, value))
+    return each(mask, "open", "label", lambda grid: labelled(grid, value))
 
 
 def sizes(labels: DataFrame) -> DataFrame:
-    return labels.filter("label > 0").groupBy("image_id", "label").agg(F.count("*").alias("size"))
+    return labels.filter("label > 0").groupBy(*keys(labels), "label").agg(F.count("*").alias("size"))
 
 
 def without_small(grid: np.ndarray, value: int, least: int) -> np.ndarray:
@@ -75,23 +57,30 @@ def despeckled(grid: np.ndarray, least: int) -> np.ndarray:
 
 
 def remove_small(mask: DataFrame, value: int, least: int) -> DataFrame:
-    return _each(mask, "open", lambda grid: without_small(grid, value, least))
+    return each(mask, "open", "open", lambda grid: without_small(grid, value, least))
 
 
 def despeckle(mask: DataFrame, least: int) -> DataFrame:
     """Small open components are closed, then small material ones opened."""
-    return _each(mask, "open", lambda grid: despeckled(grid, least))
+    return each(mask, "open", "open", lambda grid: despeckled(grid, least))
 
 
 def island_labels(grid: np.ndarray) -> np.ndarray:
     """Material components that touch no border, numbered anew."""
     label = labelled(grid, 0)
+    if not label.size:
+        return label
     edge = np.unique(np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]]))
     label = np.where(np.isin(label, edge), 0, label)
     return np.searchsorted(np.unique(label[label > 0]), label) * (label > 0) + (label > 0)
 
 
 def islands(mask: DataFrame) -> DataFrame:
-    """Columns image_id, label, size, sum_x, sum_y, cx, cy of each island."""
-    found = _each(mask, "label", island_labels).filter("label > 0")
-    return found.groupBy("image_id", "label").agg(F.count("*").alias("size"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    """Columns image_id (and layer, where masks have it), label, size, sum_x, sum_y, cx, cy of each island."""
+    found = each(mask, "open", "label", island_labels).filter("label > 0")
+    return found.groupBy(*keys(mask), "label").agg(F.count("*").alias("size"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+
+def component_count(mask: DataFrame, value: int = 1) -> DataFrame:
+    """Number of components of each raster."""
+    return components(mask, value).groupBy(*keys(mask)).agg(F.coalesce(F.max("label"), F.lit(0)).cast("long").alias("components"))

@@ -9,7 +9,9 @@ from pixelweave.functions.numbers import half_up
 
 #: The largest sheet, in millimetres.
 MOST = (841.0, 1189.0)
-SAFE = r"^(#[0-9a-fA-F]{3,8}|rgb\(\s*[\d.,\s%]+\)|[a-zA-Z]{3,20})$"
+# fixed values: fills that may stand in an SVG
+SAFE = (r"^#[0-9a-fA-F]{3,8}$", r"^rgb\(\s*[\d.,\s%]+\)$", r"^[a-zA-Z]{3,20}$")
+# end of fixed values
 
 
 def physical_size(rows: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def sheet_page(rows: DataFrame, margin: float, extra: float = 0.0) -> DataFrame:
 
 def safe_color(color: Column) -> Column:
     c = F.trim(color)
-    return F.when(c.rlike(SAFE), c).otherwise("#111111")
+    return F.when(c.rlike(SAFE[0]) | c.rlike(SAFE[1]) | c.rlike(SAFE[2]), c).otherwise("#111111")
 
 
 def touch_up_points(ties: DataFrame, box_w: float, box_h: float) -> DataFrame:
@@ -64,9 +66,109 @@ def run_paths(masks: DataFrame) -> DataFrame:
     return spans.withColumn("d", F.format_string("M %d %d L %d %d L %d %d L %d %d Z", "x1", "y", "x2", "y", "x2", F.col("y") + 1, "x1", F.col("y") + 1))
 
 
-def layer_svg(paths: DataFrame, width: int, height: int, width_mm: int, height_mm: int, fill: Column) -> DataFrame:
-    """One SVG text for each image and layer; paths in row order."""
+# fixed values: the text of an SVG sheet
+HEADER = '<?xml version="1.0" encoding="UTF-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" width="%smm" height="%smm" viewBox="0 0 %d %d">\n'
+GROUP = '  <g fill="%s" fill-rule="evenodd" stroke="none">\n%s\n  </g>\n'
+PATH = '    <path d="%s" />'
+MARKS = '  <g fill="none" stroke="#ff0000" stroke-width="%s">\n    %s\n  </g>\n'
+CIRCLE = '<circle cx="%s" cy="%s" r="%s" />'
+LINE = '<line x1="%s" y1="%s" x2="%s" y2="%s" />'
+# end of fixed values
+
+
+def number(n: Column) -> Column:
+    """Two decimals at most, halves up, no trailing zeros."""
+    r = F.floor(n * 100 + 0.5).cast("long")
+    return F.regexp_replace(F.regexp_replace(F.format_string("%s%d.%02d", F.when(r < 0, "-").otherwise(""), F.floor(F.abs(r) / 100), F.abs(r) % 100), "0+$", ""), "\\.$", "")
+
+
+def mark_svg(x: Column, y: Column, size: Column) -> Column:
+    """A ring and two lines."""
+    text = lambda t, *c: F.format_string(t, *map(number, c))
+    return F.concat(text(CIRCLE, x, y, size / 2), text(LINE, x - size, y, x + size, y), text(LINE, x, y - size, x, y + size))
+
+
+def marks_svg(width: Column, height: Column) -> Column:
+    """The group of the four corner marks of a raster."""
+    size = F.greatest(F.lit(8), half_up(F.least(width, height) * 0.04)).cast("double")
+    inset = size * 1.5
+    marks = [mark_svg(x, y, size) for y in (inset, height - inset) for x in (inset, width - inset)]
+    return F.format_string(MARKS, number(F.greatest(F.lit(0.4), F.least(width, height) * 0.002)), F.concat_ws("\n    ", *marks))
+
+
+def _bodies(paths: DataFrame, layers: DataFrame) -> DataFrame:
+    """``layers`` with ``body``, their paths in row order; a layer without open cells has none."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x1", "d")))
-    body = F.array_join(F.transform(ordered, lambda p: F.concat(F.lit('    <path d="'), p["d"], F.lit('" />'))), "\n")
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" width="{width_mm}mm" height="{height_mm}mm" viewBox="0 0 {width} {height}">\n  <g fill="'
-    return paths.groupBy("image_id", "layer").agg(F.concat(F.lit(head), F.first(safe_color(fill)), F.lit('" fill-rule="evenodd" stroke="none">\n'), body, F.lit("\n  </g>\n</svg>\n")).alias("svg"))
+    body = F.array_join(F.transform(ordered, lambda p: F.format_string(PATH, p["d"])), "\n")
+    found = paths.groupBy("image_id", "layer").agg(body.alias("body"))
+    return layers.join(found, ["image_id", "layer"], "left").fillna({"body": ""})
+
+
+def layer_svg(paths: DataFrame, layers: DataFrame, marks: bool = False) -> DataFrame:
+    """One SVG text for each of ``layers(image_id, layer, width, height, width_mm, height_mm, fill)``; with ``marks`` in the corners if asked."""
+    out = _bodies(paths, layers)
+    head = F.format_string(HEADER, number(F.col("width_mm")), number(F.col("height_mm")), F.col("width").cast("int"), F.col("height").cast("int"))
+    corner = marks_svg(F.col("width"), F.col("height")) if marks else F.lit("")
+    return out.select("image_id", "layer", F.concat(head, F.format_string(GROUP, safe_color(F.col("fill")), F.col("body")), corner, F.lit("</svg>\n")).alias("svg"))
+
+
+def combined_svg(paths: DataFrame, layers: DataFrame, marks: bool = False) -> DataFrame:
+    """One SVG text for each image: a group for each layer in spray order (size and marks of the first)."""
+    own = _bodies(paths, layers).select("image_id", "layer", "width", "height", "width_mm", "height_mm", F.format_string(GROUP, safe_color(F.col("fill")), F.col("body")).alias("group"))
+    every = F.array_sort(F.collect_list(F.struct("layer", "group")))
+    size = [F.min_by(c, "layer").alias(c) for c in ("width", "height", "width_mm", "height_mm")]
+    out = own.groupBy("image_id").agg(F.array_join(F.transform(every, lambda g: g["group"]), "").alias("groups"), *size)
+    head = F.format_string(HEADER, number(F.col("width_mm")), number(F.col("height_mm")), F.col("width").cast("int"), F.col("height").cast("int"))
+    return out.select("image_id", F.concat(head, "groups", marks_svg(F.col("width"), F.col("height")) if marks else F.lit(""), F.lit("</svg>\n")).alias("svg"))
+
+
+def export_layers(svgs: DataFrame, path: str) -> None:
+    """Writes ``layer_svg`` rows as one text file for each layer, below ``image_id=…/file=layer-N.svg``."""
+    named = svgs.select("image_id", F.concat(F.lit("layer-"), F.col("layer") + 1, F.lit(".svg")).alias("file"), F.regexp_replace("svg", "\\n$", "").alias("value"))
+    named.write.partitionBy("image_id", "file").mode("overwrite").text(path)
+
+
+def zipped(svgs: DataFrame) -> DataFrame:
+    """A row for each image: its layers' files ``layer-N.svg`` as one ZIP (``content``), the same bytes each time."""
+
+    def run(table):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            for layer, svg in sorted(zip(table["layer"].to_pylist(), table["svg"].to_pylist())):
+                z.writestr(zipfile.ZipInfo(f"layer-{layer + 1}.svg"), svg)
+        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([held.getvalue()], pa.binary())})
+
+    return svgs.groupBy("image_id").applyInArrow(run, f"image_id {svgs.schema['image_id'].dataType.simpleString()}, content binary")
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of a point from a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    long_ = dx * dx + dy * dy
+    t = F.when(long_ > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / F.when(long_ > 0, long_)))).otherwise(0.0)
+    return F.hypot(x - (x1 + t * dx), y - (y1 + t * dy))
+
+
+def path_text(segments: Column) -> Column:
+    """SVG path of an array of segments (type, x1, y1, x2, y2, x3, y3; the last two null for lines)."""
+    start = F.concat(F.lit("M "), number(segments[0]["x1"]), F.lit(" "), number(segments[0]["y1"]), F.lit(" "))
+    third = lambda s: F.when(s["x3"].isNotNull(), F.concat(number(s["x3"]), F.lit(" "), number(s["y3"]), F.lit(" "))).otherwise("")
+    each = F.transform(segments, lambda s: F.concat(s["type"], F.lit(" "), number(s["x2"]), F.lit(" "), number(s["y2"]), F.lit(" "), third(s)))
+    return F.when(F.size(segments) > 0, F.concat(start, F.array_join(each, ""), F.lit("Z"))).otherwise("")
+
+
+def mask_image(mask: DataFrame) -> DataFrame:
+    """``mask`` as pixels: open is black, material white, all of them opaque."""
+    v = F.when(F.col("open") == 1, 0).otherwise(255)
+    return mask.withColumns({"r": v, "g": v, "b": v, "a": F.lit(255)})
+
+
+def blank(rows: DataFrame, open_: int = 0) -> DataFrame:
+    """A mask of one value for each of rows (image_id, width, height)."""
+    cells = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("width").cast("int") * F.col("height").cast("int") - 1)))
+    return cells.select("image_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), F.lit(open_).alias("open"))

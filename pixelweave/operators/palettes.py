@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import hex_channel
@@ -36,9 +36,13 @@ PAGES = {
 # end of fixed values
 
 
+def paint_rows() -> list[tuple]:
+    """brand_ord, color_ord, brand_id, brand, name, hex of each paint."""
+    return [(i, j, brand, label, *item.rsplit(" ", 1)) for i, ((brand, label), items) in enumerate(PAINTS.items()) for j, item in enumerate(items.split(", "))]
+
+
 def paints(spark: SparkSession) -> DataFrame:
-    rows = [(i, j, brand, label, *item.rsplit(" ", 1)) for i, ((brand, label), items) in enumerate(PAINTS.items()) for j, item in enumerate(items.split(", "))]
-    return spark.createDataFrame(rows, "brand_ord int, color_ord int, brand_id string, brand string, name string, hex string")
+    return spark.createDataFrame(paint_rows(), "brand_ord int, color_ord int, brand_id string, brand string, name string, hex string")
 
 
 def presets(spark: SparkSession) -> DataFrame:
@@ -67,14 +71,52 @@ def paint_name(rows: DataFrame, spark: SparkSession, color: str = "hex") -> Data
     return rows.join(F.broadcast(names), F.lower(F.col(color)) == F.col("_hex"), "left").drop("_hex")
 
 
-def nearest_paint(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """Rows (r, g, b) with the nearest can ``brand``, ``name``, ``hex``: an array of the 68 branded paints is searched in place."""
-    cans = [r for r in paints(spark).collect() if r.brand_id != "basics"]
-    value = lambda r, i: int(r.hex[1 + 2 * i : 3 + 2 * i], 16)
-    near = F.array_min(
-        F.array(*[F.struct(sum((F.col(c) - value(r, i)) * (F.col(c) - value(r, i)) for i, c in enumerate("rgb")).cast("int").alias("d"), F.lit(k).alias("k"), F.lit(r.brand).alias("brand"), F.lit(r.name).alias("name"), F.lit(r.hex).alias("hex")) for k, r in enumerate(cans)])
-    )
-    return rows.withColumn("_near", near).select(*rows.columns, "_near.brand", "_near.name", "_near.hex", F.col("_near.d").alias("distance"))
+def nearest_paint(rows: DataFrame) -> DataFrame:
+    """Rows (r, g, b) with the nearest can ``brand``, ``name``, ``hex`` and ``distance``.
+
+    Of the 68 branded paints the least of distance * 128 + place is taken; then one look-up gives the names.
+    """
+    cans = [r for r in paint_rows() if r[2] != "basics"]
+    away = lambda c, v: (F.col(c) - v) * (F.col(c) - v)
+    near = F.least(*[sum(away(c, int(r[5][1 + 2 * i : 3 + 2 * i], 16)) for i, c in enumerate("rgb")) * 128 + k for k, r in enumerate(cans)]).cast("int")
+    out = rows.withColumn("_near", near)
+    at = (F.col("_near") % 128).cast("int")
+    named = [F.get(F.array(*[F.lit(r[i]) for r in cans]), at).alias(n) for i, n in ((3, "brand"), (4, "name"), (5, "hex"))]
+    return out.select(*rows.columns, *named, F.shiftright("_near", 7).alias("distance"))
+
+
+def color_label(rows: DataFrame, color: str = "hex", name: str = "name") -> DataFrame:
+    """Rows with ``label``: the name with its colour, or the colour with the closest can."""
+    own = [c for c in rows.columns if c not in ("r", "g", "b", "_color", "_name")]
+    base = rows.select(*own, F.col(color).alias("_color"), F.col(name).alias("_name"), *[hex_channel(F.col(color), i).alias(c) for i, c in enumerate("rgb")])
+    near = nearest_paint(base.withColumnsRenamed({c: f"_own_{c}" for c in ("brand", "name", "hex", "distance") if c in own}))
+    can = F.concat_ws(" ", "brand", near["name"])
+    label = F.when(F.coalesce(F.col("_name"), F.lit("")) != "", F.concat(F.col("_name"), F.lit(" ("), F.col("_color"), F.lit(")"))).otherwise(F.concat(F.col("_color"), F.lit(" — closest can: "), can))
+    out = near.withColumns({"label": label, "can": can}).drop("brand", "name", "hex", "distance", "r", "g", "b", "_color", "_name")
+    return out.withColumnsRenamed({f"_own_{c}": c for c in ("brand", "name", "hex", "distance")})
+
+
+def default_colors(layers: DataFrame, count: str = "layers") -> DataFrame:
+    """A row for each layer (``layer`` from 0, ``hex``) of rows with a number of layers: light gray to nearly black."""
+    n = F.greatest(F.col(count), F.lit(1))
+    out = layers.withColumn("layer", F.explode(F.sequence(F.lit(0), n - 1)))
+    light = F.floor(82 - 68 * F.col("layer") / F.greatest(n - 1, F.lit(1)) + 0.5)
+    part = F.lower(F.lpad(F.hex(F.floor(light * 255 / 100 + 0.5).cast("int")), 2, "0"))
+    return out.withColumn("hex", F.when(n <= 1, "#1a1a1a").otherwise(F.concat(F.lit("#"), part, part, part)))
+
+
+def to_hex(color: Column) -> Column:
+    """Six-digit hex colours in lower case; others (names, functions) are not resolved and give null."""
+    return F.when(color.rlike("^#[0-9a-fA-F]{6}$"), F.lower(color))
+
+
+def sample_color(points: DataFrame, pixels: DataFrame, width: int, height: int, mirror: bool = False, vflip: bool = False) -> DataFrame:
+    """Points (image_id, px, py) of a shown raster with ``color``, that of the pixel below in the source, whose flips are undone."""
+    at = lambda c, n, flipped: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((n - 1 - F.col(c) if flipped else F.col(c)) + 0.5))).cast("int")
+    two = lambda c: F.lower(F.lpad(F.hex(F.col(c).cast("int")), 2, "0"))
+    source = pixels.select("image_id", "y", "x", F.concat(F.lit("#"), two("r"), two("g"), two("b")).alias("color"))
+    spots = points.withColumns({"x": at("px", width, mirror), "y": at("py", height, vflip)})
+    return spots.join(source, ["image_id", "y", "x"], "left").select(*points.columns, "color")
 
 
 def channels(rows: DataFrame, color: str = "hex") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,13 @@ def thresholds(histogram: DataFrame, k: int) -> DataFrame:
     return bins.mapInArrow(run, f"image_id {kind}, thresholds array<int>")
 
 
+def rising(levels: Column) -> Column:
+    """Levels in order, each at least one above the one before, none above 255."""
+    step = lambda done, t: F.concat(done, F.array(F.when(F.size(done) > 0, F.greatest(t, F.element_at(done, -1) + 1)).otherwise(t)))
+    sorted_ = F.array_sort(levels)
+    return F.when(F.size(sorted_) == 0, sorted_).otherwise(F.transform(F.aggregate(F.slice(sorted_, 2, F.greatest(F.size(sorted_) - 1, F.lit(0))), F.slice(sorted_, 1, 1), step), lambda t: F.least(t, F.lit(255))))
+
+
 def layers(pixels: DataFrame, levels: DataFrame) -> DataFrame:
     """A row for each pixel and layer, light to dark: ``open`` where lum is under the layer's threshold."""
     stack = levels.select("image_id", F.posexplode(F.reverse(F.array_sort("thresholds"))).alias("layer", "t"))
@@ -65,3 +72,8 @@ def bands(pixels: DataFrame, levels: DataFrame) -> DataFrame:
     """``tone``: gray of the preview, darker with each layer that covers a pixel."""
     over = F.size(F.filter("thresholds", lambda t: t > F.col("lum")))
     return pixels.join(levels, "image_id").select("image_id", "y", "x", F.floor(255 * (1 - over / F.greatest(F.size("thresholds"), F.lit(1))) + 0.5).cast("int").alias("tone"))
+
+
+def line_art(edges: DataFrame) -> DataFrame:
+    """``tone`` of the preview of line art: dark lines on paper."""
+    return edges.select("image_id", "y", "x", F.when(F.col("open") == 1, 38).otherwise(236).alias("tone"))

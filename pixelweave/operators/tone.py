@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.functions.numbers import byte, half_up
+from pixelweave.functions.numbers import byte
+from pixelweave.operators import morphology
+from pixelweave.operators.grids import each
 
 BRIGHT = 210
-#: Radius of smoothing by level.
+# fixed values: radius of smoothing by level, and its range
 SMOOTH_RADIUS = (0, 4, 6, 8)
+SMOOTH_RANGE = 40.0
 
 
 def gray(pixels: DataFrame, contrast: float = 0, brightness: float = 0, invert: bool = False) -> DataFrame:
@@ -33,59 +37,74 @@ def bright(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("bright", (F.col("lum") >= BRIGHT).cast("int"))
 
 
-def clahe(pixels: DataFrame, width: int, height: int, tiles: int = 8, clip: float = 2.5) -> DataFrame:
+def clahe(pixels: DataFrame, tiles: int = 8, clip: float = 2.5) -> DataFrame:
     """Contrast-limited local equalisation: clipped histograms of tiles, blended between tile centres."""
-    tw, th = max(1, -(-width // tiles)), max(1, -(-height // tiles))
-    nx, ny = -(-width // tw), -(-height // th)
-    tiled = pixels.withColumns({"ty": F.floor(F.col("y") / th).cast("int"), "tx": F.floor(F.col("x") / tw).cast("int")})
-    cell = tiled.groupBy("image_id", "ty", "tx", "lum").agg(F.count("*").alias("n"))
-    levels = cell.select("image_id", "ty", "tx").distinct().withColumn("lum", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    dense = levels.join(cell, ["image_id", "ty", "tx", "lum"], "left").fillna(0, ["n"])
-    tile = Window.partitionBy("image_id", "ty", "tx")
-    dense = dense.withColumn("limit", F.greatest(F.lit(1), F.floor(F.lit(clip) * F.sum("n").over(tile) / 256)))
-    dense = dense.withColumn("add", F.floor(F.sum(F.greatest(F.lit(0), F.col("n") - F.col("limit"))).over(tile) / 256))
-    dense = dense.withColumn("m", F.least("n", "limit") + F.col("add"))
-    so_far = F.sum("m").over(tile.orderBy("lum").rowsBetween(Window.unboundedPreceding, 0))
-    maps = dense.select("image_id", "ty", "tx", "lum", F.least(F.lit(255.0), half_up(so_far * (255 / F.sum("m").over(tile)))).alias("to"))
-
-    def between(at: str, size: int, n: int) -> tuple[Column, Column, Column]:
-        f = (F.col(at) + 0.5) / size - 0.5
-        low, share = F.floor(f), f - F.floor(f)
-        share = F.when(low < 0, 0.0).otherwise(share)
-        low = F.greatest(low, F.lit(0))
-        return F.least(low, F.lit(n - 1)).cast("int"), F.least(F.lit(n - 1), low + 1).cast("int"), share
-
-    y0, y1, wy = between("y", th, ny)
-    x0, x1, wx = between("x", tw, nx)
-    out = pixels.withColumns({"y0": y0, "y1": y1, "wy": wy, "x0": x0, "x1": x1, "wx": wx})
-    for name, a, b in (("a", "y0", "x0"), ("b", "y0", "x1"), ("c", "y1", "x0"), ("d", "y1", "x1")):
-        out = out.join(maps.select("image_id", F.col("ty").alias(a), F.col("tx").alias(b), "lum", F.col("to").alias(name)), ["image_id", a, b, "lum"])
-    top = F.col("a") + (F.col("b") - F.col("a")) * F.col("wx")
-    low = F.col("c") + (F.col("d") - F.col("c")) * F.col("wx")
-    return out.select("image_id", "y", "x", byte(top + (low - top) * F.col("wy")).alias("lum"))
+    return each(pixels, "lum", "lum", lambda grid: equalised(grid, tiles, clip))
+
+
+def equalised(grid: np.ndarray, tiles: int, clip: float) -> np.ndarray:
+    h, w = grid.shape
+    tw, th = max(1, -(-w // tiles)), max(1, -(-h // tiles))
+    nx, ny = -(-w // tw), -(-h // th)
+    tile = (np.arange(h) // th)[:, None] * nx + (np.arange(w) // tw)[None]
+    counts = np.bincount((tile * 256 + grid).ravel(), minlength=nx * ny * 256).reshape(-1, 256)
+    limit = np.maximum(1, np.floor(clip * counts.sum(1) / 256)).astype(np.int64)[:, None]
+    held = np.minimum(counts, limit)
+    held += (counts - held).sum(1, keepdims=True) // 256
+    to = np.minimum(255, np.floor(held.cumsum(1) * (255 / held.sum(1, keepdims=True)) + 0.5))
+
+    def between(size: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(size) + 0.5) / step - 0.5
+        low = np.floor(at).astype(np.int64)
+        share = np.where(low < 0, 0.0, at - low)
+        low = np.maximum(low, 0)
+        return np.minimum(low, n - 1), np.minimum(n - 1, low + 1), share
+
+    (y0, y1, wy), (x0, x1, wx) = between(h, th, ny), between(w, tw, nx)
+    out = np.empty_like(grid)
+    for i in range(h):  # a row at a time, so that the blend needs little memory
+        a, b, c, d = (to[r * nx + col, grid[i]] for r in (y0[i], y1[i]) for col in (x0, x1))
+        top, low = a + (b - a) * wx, c + (d - c) * wx
+        out[i] = np.clip(np.rint(top + (low - top) * wy[i]), 0, 255)
+    return out
 
 
 def bilateral(pixels: DataFrame, radius: int, sigma_range: float = 32.0, sigma_space: float | None = None) -> DataFrame:
-    """Mean of the neighbours, weighted by distance and difference; a small table of offsets meets the pixels."""
-    if radius <= 0:
-        return pixels
-    s = sigma_space or radius / 1.5
-    span = range(-radius, radius + 1)
-    near = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in span for dx in span])
-    spread = pixels.select("image_id", "lum", "y", "x", F.explode(near).alias("o")).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("lum").alias("v"), (F.col("o.dy") * F.col("o.dy") + F.col("o.dx") * F.col("o.dx")).alias("d2"))
-    met = pixels.join(spread, ["image_id", "y", "x"])
-    single = lambda c: c.cast("float").cast("double")
-    diff = F.col("v") - F.col("lum")
-    w = single(F.exp(-F.col("d2") / (2 * s * s))) * single(F.exp(-(diff * diff) / (2 * sigma_range * sigma_range)))
-    return met.groupBy("image_id", "y", "x").agg(byte(F.sum(w * F.col("v")) / F.sum(w)).alias("lum"))
-
-
-def edges(pixels: DataFrame, amount: float = 55) -> DataFrame:
-    """``open``: Sobel gradient beyond a threshold, inside the raster only."""
+    """Mean of the neighbours inside the raster, weighted by distance and difference."""
+    return each(pixels, "lum", "lum", lambda grid: smoothed(grid, radius, sigma_range, sigma_space or radius / 1.5)) if radius > 0 else pixels
+
+
+def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: float) -> np.ndarray:
+    h, w = grid.shape
+    near = np.exp(-(np.arange(256.0) ** 2) / (2 * sigma_range * sigma_range)).astype(np.float32).astype(float)
+    total, weight = np.zeros((h, w)), np.zeros((h, w))
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            to = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+            of = slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx))
+            if to[0].start >= to[0].stop or to[1].start >= to[1].stop:
+                continue
+            share = np.float64(np.float32(np.exp(-(dx * dx + dy * dy) / (2 * sigma_space * sigma_space)))) * near[np.abs(grid[of] - grid[to])]
+            total[to] += share * grid[of]
+            weight[to] += share
+    return np.clip(np.rint(total / weight), 0, 255).astype(np.int32)
+
+
+def prepared_gray(pixels: DataFrame, width: int | Column, height: int | Column, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> DataFrame:
+    """``lum`` by every step of the intake, in its order: gray, smoothing, local contrast, then the flips."""
+    out = gray(pixels, contrast, brightness, invert)
+    out = bilateral(out, SMOOTH_RADIUS[smooth], SMOOTH_RANGE)
+    out = clahe(out) if auto_levels else out
+    out = flip(out, width) if mirror else out
+    return flip(out, height, horizontal=False) if vflip else out
+
+
+def edges(pixels: DataFrame, amount: float = 55, thicken: int = 0) -> DataFrame:
+    """``open``: Sobel gradient beyond a threshold, inside the raster only; lines are thickened by ``thicken`` pixels."""
     row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     lum = F.col("lum")
     part = pixels.withColumns({"dx": F.lead(lum).over(row) - F.lag(lum).over(row), "sx": F.lag(lum).over(row) + 2 * lum + F.lead(lum).over(row)})
     gx = F.lag("dx").over(col) + 2 * F.col("dx") + F.lead("dx").over(col)
     gy = F.lead("sx").over(col) - F.lag("sx").over(col)
     beyond = (100 - min(100, max(0, amount))) * 4 + 20
-    return part.select("image_id", "y", "x", F.coalesce((F.abs(gx) + F.abs(gy) > beyond).cast("int"), F.lit(0)).alias("open"))
+    return morphology.dilate(part.select("image_id", "y", "x", F.coalesce((F.abs(gx) + F.abs(gy) > beyond).cast("int"), F.lit(0)).alias("open")), thicken)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import from_mm, to_mm
 from pixelweave.operators import bridges, components, layout, morphology, palettes, posterize, rules, statistics, tone
-from pixelweave.sources.rasters import SIDE, colors, ring_rasters, vector_rasters
+from pixelweave.plans import compute
+from pixelweave.sources.rasters import SIDE, colors, ring_colors, ring_rasters, vector_rasters
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,9 +102,8 @@ def _flat_levels(k):
     return run
 
 
-for _k in (1, 2, 3):
+for _k in (1, 2, 3, 6):
     query(_otsu_sql(_k) + " SELECT image_id, " + ", ".join(f"thresholds[{i + 1}] AS t{i + 1}" for i in range(_k)) + " FROM t")(_flat_levels(_k))
-query()(_flat_levels(6))
 
 
 @query(_otsu_sql(2) + " SELECT v.image_id, CAST(l.j AS INT) AS layer, CAST(sum(CASE WHEN lum < thresholds[2 - l.j] THEN 1 ELSE 0 END) AS BIGINT) AS open_area FROM v JOIN t ON t.image_id = v.image_id, range(0, 2) l(j) GROUP BY ALL")
@@ -178,7 +178,7 @@ PAINTS = "paints AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, '{brand}',
  n AS (SELECT order_id, line, (SELECT min({{'d': (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), 'i': brand_ord, 'j': color_ord, 'brand': brand, 'name': name, 'hex': hex}}) FROM f) AS m FROM c)
  SELECT order_id, line, m.brand AS brand, m.name AS name, m.hex AS hex, CAST(m.d AS INT) AS distance FROM n""")
 def nearest_paint(spark, sf_dir):
-    return palettes.nearest_paint(colors(spark, sf_dir).select("order_id", "line", "r", "g", "b"), spark).drop("r", "g", "b")
+    return palettes.nearest_paint(colors(spark, sf_dir).select("order_id", "line", "r", "g", "b")).drop("r", "g", "b")
 
 
 @query(f"""WITH {PAINTS}, h AS (SELECT hex, row_number() OVER (ORDER BY brand_ord, color_ord) - 1 AS i FROM paints), p AS (SELECT p_partkey, upper(h.hex) AS hex FROM part JOIN h ON h.i = p_partkey % 120)
@@ -233,37 +233,85 @@ def frame_border(spark, sf_dir):
     return morphology.frame(ring_mask(spark, sf_dir), SIDE, SIDE, 2)
 
 
-@query(f"""WITH {GRID}, c AS (SELECT image_id, y // 3 AS ty, x // 3 AS tx, lum, count(*) AS n FROM g GROUP BY ALL), t AS (SELECT DISTINCT image_id, ty, tx FROM c),
- d AS (SELECT t.image_id, t.ty, t.tx, l.i AS lum, coalesce(n, 0) AS n FROM t CROSS JOIN range(0, 256) l(i) LEFT JOIN c ON c.image_id = t.image_id AND c.ty = t.ty AND c.tx = t.tx AND c.lum = l.i),
- e AS (SELECT *, greatest(1, floor(2.5 * sum(n) OVER k / 256)) AS lim FROM d WINDOW k AS (PARTITION BY image_id, ty, tx)),
- f AS (SELECT *, least(n, lim) + floor(sum(greatest(0, n - lim)) OVER k / 256) AS m FROM e WINDOW k AS (PARTITION BY image_id, ty, tx)),
- mp AS (SELECT image_id, ty, tx, lum, least(255.0::DOUBLE, floor(sum(m) OVER (PARTITION BY image_id, ty, tx ORDER BY lum) * (255.0::DOUBLE / sum(m) OVER (PARTITION BY image_id, ty, tx)) + 0.5)) AS o FROM f),
+# maps only at the levels that pixels need: what lies at or under a level in the tile
+CLAHE = f"""WITH {GRID}, c AS (SELECT image_id, y // 3 AS ty, x // 3 AS tx, lum, count(*) AS n FROM g GROUP BY ALL),
+ t AS (SELECT image_id, ty, tx, greatest(1, floor(2.5 * sum(n) / 256)) AS lim, sum(n) AS total FROM c GROUP BY ALL),
+ e AS (SELECT t.*, floor(sum(greatest(0, n - lim)) / 256) AS extra, sum(least(n, lim)) AS held FROM t JOIN c USING (image_id, ty, tx) GROUP BY ALL),
  p AS (SELECT *, (y + 0.5::DOUBLE) / 3 - 0.5::DOUBLE AS fy, (x + 0.5::DOUBLE) / 3 - 0.5::DOUBLE AS fx FROM g),
  q AS (SELECT image_id, y, x, lum, CAST(greatest(floor(fy), 0) AS INT) AS y0, CAST(least(7, greatest(floor(fy), 0) + 1) AS INT) AS y1, CASE WHEN fy < 0 THEN 0 ELSE fy - floor(fy) END AS wy,
   CAST(greatest(floor(fx), 0) AS INT) AS x0, CAST(least(7, greatest(floor(fx), 0) + 1) AS INT) AS x1, CASE WHEN fx < 0 THEN 0 ELSE fx - floor(fx) END AS wx FROM p),
+ w AS (SELECT DISTINCT image_id, lum, ty, tx FROM (SELECT image_id, lum, y0 AS ty, x0 AS tx FROM q UNION SELECT image_id, lum, y0, x1 FROM q UNION SELECT image_id, lum, y1, x0 FROM q UNION SELECT image_id, lum, y1, x1 FROM q)),
+ mp AS (SELECT w.image_id, w.ty, w.tx, w.lum, least(255.0::DOUBLE, floor((sum(CASE WHEN c.lum <= w.lum THEN least(c.n, lim) ELSE 0 END) + any_value(extra) * (w.lum + 1)) * (255.0::DOUBLE / (any_value(held) + 256 * any_value(extra))) + 0.5)) AS o
+  FROM w JOIN e USING (image_id, ty, tx) JOIN c ON c.image_id = w.image_id AND c.ty = w.ty AND c.tx = w.tx GROUP BY w.image_id, w.ty, w.tx, w.lum),
  z AS (SELECT q.*, a.o + (b.o - a.o) * wx AS top, cc.o + (dd.o - cc.o) * wx AS low FROM q JOIN mp a ON a.image_id = q.image_id AND a.ty = y0 AND a.tx = x0 AND a.lum = q.lum JOIN mp b ON b.image_id = q.image_id AND b.ty = y0 AND b.tx = x1 AND b.lum = q.lum
   JOIN mp cc ON cc.image_id = q.image_id AND cc.ty = y1 AND cc.tx = x0 AND cc.lum = q.lum JOIN mp dd ON dd.image_id = q.image_id AND dd.ty = y1 AND dd.tx = x1 AND dd.lum = q.lum)
- SELECT image_id, y, x, CAST(greatest(0, least(255, round_even(top + (low - top) * wy, 0))) AS INT) AS lum FROM z""")
+ SELECT image_id, y, x, CAST(greatest(0, least(255, round_even(top + (low - top) * wy, 0))) AS INT) AS lum FROM z"""
+
+
+@query(CLAHE)
 def clahe_8x8(spark, sf_dir):
-    return tone.clahe(ring_rasters(spark, sf_dir), SIDE, SIDE)
+    return tone.clahe(ring_rasters(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {VECTOR}, o AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx)),
+ k AS (SELECT c.image_id, c.y, c.x, n.lum AS v, CAST(CAST(exp(-(dy * dy + dx * dx) / (2 * (2 / 1.5::DOUBLE) * (2 / 1.5::DOUBLE))) AS FLOAT) AS DOUBLE) * CAST(CAST(exp(-((n.lum - c.lum) * (n.lum - c.lum)) / (2 * 32.0::DOUBLE * 32.0::DOUBLE)) AS FLOAT) AS DOUBLE) AS w
+  FROM v c CROSS JOIN o JOIN v n ON n.image_id = c.image_id AND n.y = c.y + dy AND n.x = c.x + dx)
+ SELECT image_id, y, x, CAST(greatest(0, least(255, round_even(sum(w * v) / sum(w), 0))) AS INT) AS lum FROM k GROUP BY image_id, y, x""")
 def bilateral_r2(spark, sf_dir):
     return tone.bilateral(vector_rasters(spark, sf_dir), 2)
 
 
 @query()
+def gray_intake(spark, sf_dir):
+    """Gray, smoothing, local contrast and both flips, in order."""
+    return compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, compute.Look(contrast=10, brightness=5, smooth=1, mirror=True, vflip=True))
+
+
+def _parts(name: str, source: str, value: int) -> str:
+    """``{name}(image_id, y, x, root)``: each cell of a value with the first cell of its component. Runs of rows are nodes; least roots spread."""
+    n = name
+    return f"""{n}k AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS k FROM {source} WHERE open = {value}),
+ {n}r AS (SELECT image_id, y, k, min(x) AS a, max(x) AS b, min(y * {SIDE} + x) AS id FROM {n}k GROUP BY image_id, y, k),
+ {n}d AS (SELECT p.image_id, p.id AS u, q.id AS v FROM {n}r p JOIN {n}r q ON q.image_id = p.image_id AND q.y = p.y + 1 AND p.a <= q.b AND q.a <= p.b),
+ {n}e AS (SELECT * FROM {n}d UNION ALL SELECT image_id, v, u FROM {n}d),
+ {n}c(image_id, id, root) USING KEY (image_id, id) AS (SELECT image_id, id, id FROM {n}r
+  UNION SELECT e.image_id, e.v, min(c.root) FROM {n}c c JOIN {n}e e ON e.image_id = c.image_id AND e.u = c.id JOIN recurring.{n}c o ON o.image_id = e.image_id AND o.id = e.v WHERE c.root < o.root GROUP BY e.image_id, e.v),
+ {n} AS (SELECT k.image_id, k.y, k.x, c.root FROM {n}k k JOIN {n}r r ON r.image_id = k.image_id AND r.y = k.y AND r.k = k.k JOIN {n}c c ON c.image_id = r.image_id AND c.id = r.id)"""
+
+
+def _small(name: str, source: str, value: int, least: int) -> str:
+    """``{name}``: the mask with components of a value under ``least`` cells flipped."""
+    return _parts(f"{name}p", source, value) + f""", {name}_few AS (SELECT image_id, root FROM {name}p GROUP BY ALL HAVING count(*) < {least}),
+ {name} AS (SELECT m.image_id, m.y, m.x, CASE WHEN s.root IS NULL THEN m.open ELSE {1 - value} END AS open FROM {source} m LEFT JOIN {name}p p ON p.image_id = m.image_id AND p.y = m.y AND p.x = m.x LEFT JOIN {name}_few s ON s.image_id = p.image_id AND s.root = p.root)"""
+
+
+def _islands(name: str, source: str) -> str:
+    """``{name}(image_id, y, x, root)``: material components off the border."""
+    return _parts(f"{name}p", source, 0) + f""", {name}b AS (SELECT DISTINCT image_id, root FROM {name}p WHERE x = 0 OR y = 0 OR x = {SIDE - 1} OR y = {SIDE - 1}), {name} AS (SELECT * FROM {name}p ANTI JOIN {name}b USING (image_id, root))"""
+
+
+@query(f"WITH RECURSIVE {MASK}, {_parts('l', 'm', 1)} SELECT m.image_id, m.y, m.x, m.open, CAST(CASE WHEN root IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY m.image_id ORDER BY root NULLS LAST) END AS INT) AS label FROM m LEFT JOIN l ON l.image_id = m.image_id AND l.y = m.y AND l.x = m.x")
 def component_labels(spark, sf_dir):
     return components.components(ring_mask(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {MASK}, {_parts('l', 'm', 1)}, n AS (SELECT image_id, count(DISTINCT root) AS n FROM l GROUP BY image_id) SELECT i.image_id, CAST(coalesce(n, 0) AS BIGINT) AS components FROM (SELECT DISTINCT image_id FROM m) i LEFT JOIN n ON n.image_id = i.image_id")
+def component_count(spark, sf_dir):
+    return components.component_count(ring_mask(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {MASK}, {_small('a', 'm', 1, 9)} SELECT image_id, y, x, CAST(open AS INT) AS open FROM a")
+def remove_small(spark, sf_dir):
+    return components.remove_small(ring_mask(spark, sf_dir), 1, 9)
+
+
+@query(f"WITH RECURSIVE {MASK}, {_small('a', 'm', 1, 9)}, {_small('b', 'a', 0, 9)} SELECT image_id, y, x, CAST(open AS INT) AS open FROM b")
 def despeckle(spark, sf_dir):
     return components.despeckle(ring_mask(spark, sf_dir), 9)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MASK}, {_islands('s', 'm')}, z AS (SELECT image_id, root, count(*) AS size, sum(x) AS sum_x, sum(y) AS sum_y FROM s GROUP BY ALL)
+ SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY root) AS INT) AS label, CAST(size AS BIGINT) AS size, CAST(sum_x AS BIGINT) AS sum_x, CAST(sum_y AS BIGINT) AS sum_y, sum_x / size::DOUBLE AS cx, sum_y / size::DOUBLE AS cy FROM z""")
 def islands(spark, sf_dir):
     return components.islands(ring_mask(spark, sf_dir))
 
@@ -279,24 +327,78 @@ def prepare_islands(spark, sf_dir):
     return bridges.prepare_islands(pixels, bridges.Options(min_area=5, max_kept=2, keep_highlights=True))
 
 
+def _build(spark, sf_dir):
+    pixels = ring_rasters(spark, sf_dir)
+    return pixels, posterize.thresholds(statistics.histogram(pixels), 3), bridges.Build(edge_amount=50)
+
+
 @query()
 def build_masks(spark, sf_dir):
-    pixels = ring_rasters(spark, sf_dir)
-    levels = posterize.thresholds(statistics.histogram(pixels), 3)
-    return bridges.build_masks(pixels, levels, min_feature=2, mm_per_px=1.0, edge_amount=50)
+    return bridges.build_masks(*_build(spark, sf_dir))
+
+
+@query()
+def tie_counts(spark, sf_dir):
+    return bridges.tie_counts(bridges.build_masks(*_build(spark, sf_dir)))
+
+
+LOOK = compute.Look(layers=3, contrast=10, build=bridges.Build(edge_amount=50))
+
+
+@query()
+def compute_layers(spark, sf_dir):
+    """From colour to the open area of each finished layer."""
+    gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
+    return compute.work_masks(compute.layers(gray, LOOK)).groupBy("image_id", "layer", "is_edge").agg(F.sum("open").alias("open_area"))
+
+
+@query()
+def cut_files(spark, sf_dir):
+    gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
+    return compute.cut_files(compute.layers(gray, LOOK), 300, marks=True)
+
+
+@query()
+def zipped_files(spark, sf_dir):
+    gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
+    return layout.zipped(compute.cut_files(compute.layers(gray, LOOK), 300)).select("image_id", F.length("content").alias("bytes"))
 
 
 TIES = """ties AS (SELECT p_partkey AS image_id, (p_size % 9)::DOUBLE AS x1, (p_size % 5)::DOUBLE AS y1, (p_size % 9 + p_partkey % 7)::DOUBLE AS x2, (p_size % 5 + p_partkey % 11)::DOUBLE AS y2, 1 + (p_partkey % 4)::DOUBLE AS width FROM part)"""
 
 
-@query(f"""WITH {MASK}, {TIES}, s AS (SELECT *, greatest(0.5, width / 2) AS r, CAST(greatest(1, ceil(2 * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS INT) AS steps FROM ties),
- pts AS (SELECT image_id, r, x1 + (x2 - x1) * (k.i / steps::DOUBLE) AS px, y1 + (y2 - y1) * (k.i / steps::DOUBLE) AS py FROM s, range(0, 64) k(i) WHERE k.i <= steps)
- SELECT m.image_id, m.y, m.x, CASE WHEN EXISTS (SELECT 1 FROM pts WHERE pts.image_id = m.image_id AND (m.x - px) * (m.x - px) + (m.y - py) * (m.y - py) <= r * r) THEN 0 ELSE open END AS open FROM m""")
-def burn_bridges(spark, sf_dir):
+BURN = f"""{MASK}, {TIES}, s AS (SELECT *, greatest(0.5, width / 2) AS r, CAST(greatest(1, ceil(2 * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS INT) AS steps FROM ties),
+ pts AS (SELECT image_id, r, x1 + (x2 - x1) * (k.i / steps::DOUBLE) AS px, y1 + (y2 - y1) * (k.i / steps::DOUBLE) AS py FROM s, range(0, 64) k(i) WHERE k.i <= steps),
+ bn AS (SELECT m.image_id, m.y, m.x, m.open AS base, CASE WHEN EXISTS (SELECT 1 FROM pts WHERE pts.image_id = m.image_id AND (m.x - px) * (m.x - px) + (m.y - py) * (m.y - py) <= r * r) THEN 0 ELSE open END AS open FROM m)"""
+
+
+def _ties(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("p_size")
     ends = {"x1": s % 9, "y1": s % 5, "x2": s % 9 + k % 7, "y2": s % 5 + k % 11, "width": 1 + k % 4}
-    ties = spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"), *[v.cast("double").alias(n) for n, v in ends.items()])
-    return bridges.burn(ring_mask(spark, sf_dir), ties)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("image_id"), *[v.cast("double").alias(n) for n, v in ends.items()])
+
+
+@query(f"WITH {BURN} SELECT image_id, y, x, open FROM bn")
+def burn_bridges(spark, sf_dir):
+    return bridges.burn(ring_mask(spark, sf_dir), _ties(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {BURN}, {_islands('f', 'bn')} SELECT b.image_id, b.y, b.x, b.base AS open, b.open AS work, CAST(CASE WHEN f.root IS NULL THEN 0 ELSE 1 END AS INT) AS floating FROM bn b LEFT JOIN f ON f.image_id = b.image_id AND f.y = b.y AND f.x = b.x")
+def reburn(spark, sf_dir):
+    return bridges.reburn(ring_mask(spark, sf_dir), _ties(spark, sf_dir))
+
+
+@query(f"WITH {TIES} SELECT image_id, round((x1 + x2) / 2 * (180.0 / 24), 6) AS px, round((y1 + y2) / 2 * (240.0 / 24), 6) AS py FROM ties")
+def touch_up_points(spark, sf_dir):
+    ties = _ties(spark, sf_dir).withColumns({"px_w": F.lit(SIDE), "px_h": F.lit(SIDE)})
+    return layout.touch_up_points(ties, 180.0, 240.0).select("image_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
+
+
+@query(f"""WITH {TIES}, q AS (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM ties), u AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((7 - x1) * (x2 - x1) + (5 - y1) * (y2 - y1)) / l2)) ELSE 0 END AS t FROM q)
+ SELECT image_id, round(sqrt((7 - (x1 + t * (x2 - x1))) ** 2 + (5 - (y1 + t * (y2 - y1))) ** 2), 6) AS distance FROM u""")
+def tie_distance(spark, sf_dir):
+    c = {n: F.col(n) for n in ("x1", "y1", "x2", "y2")}
+    return _ties(spark, sf_dir).select("image_id", F.round(layout.segment_distance(F.lit(7.0), F.lit(5.0), **c), 6).alias("distance"))
 
 
 SHEETS = "d AS (SELECT p_partkey, CAST(100 + p_size * 40 AS INT) AS width, CAST(200 + (p_partkey % 50) * 30 AS INT) AS height, (50 + p_size * 25)::DOUBLE AS target_mm, 1 + (p_partkey % 8) / 2.0::DOUBLE AS bridge_mm FROM part)"
@@ -354,11 +456,190 @@ def recompute_plan(spark, sf_dir):
     return rules.recompute_plan(rows, spark).select("p_partkey", "control", "stale", "action", "regray", "recompute_thresholds")
 
 
-@query(_otsu_sql(2) + """, m AS (SELECT v.image_id, CAST(l.j AS INT) AS layer, y, x FROM v JOIN t ON t.image_id = v.image_id, range(0, 2) l(j) WHERE lum < thresholds[2 - l.j]),
- s AS (SELECT image_id, layer, y, min(x) AS a, max(x) + 1 AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, layer, y ORDER BY x) AS k FROM m) GROUP BY image_id, layer, y, k)
- SELECT image_id, layer, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<svg xmlns="http://www.w3.org/2000/svg" width="80mm" height="80mm" viewBox="0 0 8 8">' || chr(10) || '  <g fill="' || CASE WHEN layer = 0 THEN '#c8c8c8' ELSE '#111111' END || '" fill-rule="evenodd" stroke="none">' || chr(10) ||
- string_agg('    <path d="M ' || a || ' ' || y || ' L ' || b || ' ' || y || ' L ' || b || ' ' || (y + 1) || ' L ' || a || ' ' || (y + 1) || ' Z" />', chr(10) ORDER BY y, a) || chr(10) || '  </g>' || chr(10) || '</svg>' || chr(10) AS svg FROM s GROUP BY image_id, layer""")
-def layer_svg(spark, sf_dir):
-    masks = posterize.layers(vector_rasters(spark, sf_dir), _levels(spark, sf_dir, 2))
+def _number(x: str) -> str:
+    """Two decimals at most, without trailing zeros."""
+    return f"regexp_replace(regexp_replace(printf('%.2f', floor(({x}) * 100 + 0.5) / 100), '0+$', ''), '\\.$', '')"
+
+
+def _mark(x: str, y: str) -> str:
+    n = _number
+    return f"""'<circle cx="' || {n(x)} || '" cy="' || {n(y)} || '" r="' || {n("size / 2")} || '" /><line x1="' || {n(x + " - size")} || '" y1="' || {n(y)} || '" x2="' || {n(x + " + size")} || '" y2="' || {n(y)} || '" /><line x1="' || {n(x)} || '" y1="' || {n(y + " - size")} || '" x2="' || {n(x)} || '" y2="' || {n(y + " + size")} || '" />'"""
+
+
+NL = "chr(10)"
+#: Layers of the vector rasters; the third threshold is out of reach, so that one layer is empty.
+LAYERS = _otsu_sql(2) + f""", t3 AS (SELECT image_id, list_concat([0], thresholds) AS thresholds FROM t), m AS (SELECT v.image_id, CAST(l.j AS INT) AS layer, y, x FROM v JOIN t3 ON t3.image_id = v.image_id, range(0, 3) l(j) WHERE lum < thresholds[3 - l.j]),
+ s AS (SELECT image_id, layer, y, min(x) AS a, max(x) + 1 AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, layer, y ORDER BY x) AS k FROM m) GROUP BY image_id, layer, y, k),
+ bd AS (SELECT image_id, layer, string_agg('    <path d="M ' || a || ' ' || y || ' L ' || b || ' ' || y || ' L ' || b || ' ' || (y + 1) || ' L ' || a || ' ' || (y + 1) || ' Z" />', {NL} ORDER BY y, a) AS body FROM s GROUP BY ALL),
+ gr AS (SELECT t3.image_id, CAST(l.j AS INT) AS layer, '  <g fill="' || CASE WHEN l.j = 0 THEN '#c8c8c8' ELSE '#111111' END || '" fill-rule="evenodd" stroke="none">' || {NL} || coalesce(body, '') || {NL} || '  </g>' || {NL} AS grp FROM t3 CROSS JOIN range(0, 3) l(j) LEFT JOIN bd ON bd.image_id = t3.image_id AND bd.layer = l.j),
+ hd AS (SELECT 8.0::DOUBLE AS size, '<?xml version="1.0" encoding="UTF-8"?>' || {NL} || '<svg xmlns="http://www.w3.org/2000/svg" width="80.26mm" height="80.5mm" viewBox="0 0 8 8">' || {NL} AS head)"""
+MARKS = f"""'  <g fill="none" stroke="#ff0000" stroke-width="0.4">' || {NL} || '    ' || {_mark("12.0", "12.0")} || {NL} || '    ' || {_mark("-4.0", "12.0")} || {NL} || '    ' || {_mark("12.0", "-4.0")} || {NL} || '    ' || {_mark("-4.0", "-4.0")} || {NL} || '  </g>' || {NL}"""
+
+
+def _svg(spark, sf_dir):
+    levels = _levels(spark, sf_dir, 2).select("image_id", F.concat(F.array(F.lit(0)), "thresholds").alias("thresholds"))
+    masks = posterize.layers(vector_rasters(spark, sf_dir), levels)
     fill = F.when(F.col("layer") == 0, "#c8c8c8").otherwise('"/><script>')
-    return layout.layer_svg(layout.run_paths(masks), 8, 8, 80, 80, fill)
+    sheets = levels.select("image_id", F.explode(F.array(*map(F.lit, range(3)))).alias("layer")).select("image_id", "layer", F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(80.256).alias("width_mm"), F.lit(80.5).alias("height_mm"), fill.alias("fill"))
+    return layout.run_paths(masks), sheets
+
+
+@query(LAYERS + " SELECT image_id, layer, head || grp || '</svg>' || chr(10) AS svg FROM gr, hd")
+def layer_svg(spark, sf_dir):
+    return layout.layer_svg(*_svg(spark, sf_dir))
+
+
+@query(LAYERS + f" SELECT image_id, layer, head || grp || {MARKS} || '</svg>' || chr(10) AS svg FROM gr, hd")
+def layer_svg_marks(spark, sf_dir):
+    return layout.layer_svg(*_svg(spark, sf_dir), marks=True)
+
+
+@query(LAYERS + f" SELECT image_id, any_value(head) || string_agg(grp, '' ORDER BY layer) || any_value({MARKS}) || '</svg>' || chr(10) AS svg FROM gr, hd GROUP BY image_id")
+def combined_svg(spark, sf_dir):
+    return layout.combined_svg(*_svg(spark, sf_dir), marks=True)
+
+
+SEGMENTS = "(SELECT p_partkey, p_size / 3.0::DOUBLE AS a, p_partkey / 7.0::DOUBLE AS b FROM part)"
+
+
+@query(f"SELECT p_partkey, 'M ' || {_number('a')} || ' ' || {_number('b')} || ' L ' || {_number('a + b')} || ' ' || {_number('b')} || ' Q ' || {_number('a')} || ' ' || {_number('a')} || ' ' || {_number('b')} || ' ' || {_number('a')} || ' Z' AS d FROM {SEGMENTS}")
+def path_text(spark, sf_dir):
+    a, b, no = F.col("p_size") / 3.0, F.col("p_partkey") / 7.0, F.lit(None).cast("double")
+    one = lambda t, *v: F.struct(F.lit(t).alias("type"), *[x.alias(n) for x, n in zip(v, ("x1", "y1", "x2", "y2", "x3", "y3"))])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", layout.path_text(F.array(one("L", a, b, a + b, b, no, no), one("Q", a + b, b, a, a, b, a))).alias("d"))
+
+
+@query(f"WITH {MASK} SELECT image_id, y, x, open, CASE WHEN open = 1 THEN 0 ELSE 255 END AS r, CASE WHEN open = 1 THEN 0 ELSE 255 END AS g, CASE WHEN open = 1 THEN 0 ELSE 255 END AS b, 255 AS a FROM m")
+def mask_image(spark, sf_dir):
+    return layout.mask_image(ring_mask(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS image_id, CAST(i // (1 + p_size % 5) AS INT) AS y, CAST(i % (1 + p_size % 5) AS INT) AS x, 1 AS open FROM part, range(0, 35) r(i) WHERE i < (1 + p_size % 5) * (2 + p_size % 6)")
+def blank_mask(spark, sf_dir):
+    s = F.col("p_size")
+    return layout.blank(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), (1 + s % 5).alias("width"), (2 + s % 6).alias("height")), 1)
+
+
+@query(f"""WITH {GRID}, p AS (SELECT *, lead(lum) OVER r - lag(lum) OVER r AS dx, lag(lum) OVER r + 2 * lum + lead(lum) OVER r AS sx FROM g WINDOW r AS (PARTITION BY image_id, y ORDER BY x)),
+ q AS (SELECT *, lag(dx) OVER k + 2 * dx + lead(dx) OVER k AS gx, lead(sx) OVER k - lag(sx) OVER k AS gy FROM p WINDOW k AS (PARTITION BY image_id, x ORDER BY y)),
+ m AS (SELECT image_id, y, x, coalesce(CASE WHEN abs(gx) + abs(gy) > 220 THEN 1 ELSE 0 END, 0) AS open FROM q), {_box("d", "m", "max")} SELECT image_id, y, x, CASE WHEN open = 1 THEN 38 ELSE 236 END AS tone FROM d""")
+def line_art(spark, sf_dir):
+    return posterize.line_art(tone.edges(ring_rasters(spark, sf_dir), 50, thicken=1))
+
+
+@query("""WITH r AS (SELECT p_partkey, [p_size % 9 * 30, p_size % 4 * 64, p_partkey % 5 * 60, 254] AS t), s AS (SELECT p_partkey, list_sort(t) AS t FROM r), d AS (SELECT p_partkey, t[1] AS a, greatest(t[2], t[1] + 1) AS b, t FROM s),
+ e AS (SELECT *, greatest(t[3], b + 1) AS c FROM d) SELECT p_partkey, least(255, a) AS t1, least(255, b) AS t2, least(255, c) AS t3, least(255, greatest(t[4], c + 1)) AS t4 FROM e""".replace("[p_size % 9 * 30, p_size % 4 * 64, p_partkey % 5 * 60, 254] AS t)", "[CAST(p_size % 9 * 30 AS INT), CAST(p_size % 4 * 64 AS INT), CAST(p_partkey % 5 * 60 AS INT), 254] AS t FROM part)"))
+def rising_levels(spark, sf_dir):
+    s, k = F.col("p_size"), F.col("p_partkey")
+    t = posterize.rising(F.array(*[c.cast("int") for c in (s % 9 * 30, s % 4 * 64, k % 5 * 60, F.lit(254))]))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", t.alias("t")).select("p_partkey", *[F.col("t")[i].alias(f"t{i + 1}") for i in range(4)])
+
+
+@query("""WITH l AS (SELECT p_partkey, CAST(p_size % 7 AS INT) AS layers FROM part), e AS (SELECT l.*, CAST(i AS INT) AS layer FROM l, range(0, 6) r(i) WHERE i < greatest(layers, 1)),
+ h AS (SELECT *, printf('%02x', CAST(floor(floor(82 - 68 * layer / greatest(layers - 1, 1)::DOUBLE + 0.5) * 255 / 100 + 0.5) AS INT)) AS p FROM e) SELECT p_partkey, layers, layer, CASE WHEN layers <= 1 THEN '#1a1a1a' ELSE '#' || p || p || p END AS hex FROM h""")
+def default_colors(spark, sf_dir):
+    return palettes.default_colors(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 7).cast("int").alias("layers")))
+
+
+@query(f"""WITH {PAINTS}, f AS (SELECT *, ('0x' || hex[2:3])::INT AS pr, ('0x' || hex[4:5])::INT AS pg, ('0x' || hex[6:7])::INT AS pb FROM paints WHERE brand_id <> 'basics'),
+ c AS (SELECT p_partkey, '#' || printf('%02x%02x%02x', CAST(p_partkey % 256 AS INT), CAST(p_size * 5 % 256 AS INT), CAST(p_partkey * 3 % 256 AS INT)) AS hex, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS name, p_partkey % 256 AS r, p_size * 5 % 256 AS g, p_partkey * 3 % 256 AS b FROM part),
+ n AS (SELECT *, (SELECT min({{'d': (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), 'i': brand_ord, 'j': color_ord, 'can': brand || ' ' || f.name}}) FROM f).can AS can FROM c)
+ SELECT p_partkey, hex, name, can, CASE WHEN coalesce(name, '') <> '' THEN name || ' (' || hex || ')' ELSE hex || ' — closest can: ' || can END AS label FROM n""")
+def color_labels(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    two = lambda c: F.lower(F.lpad(F.hex(c.cast("int")), 2, "0"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.lit("#"), two(k % 256), two(s * 5 % 256), two(k * 3 % 256)).alias("hex"), F.when(k % 3 == 0, F.col("p_name")).alias("name"))
+    return palettes.color_label(rows)
+
+
+@query("WITH c AS (SELECT p_partkey, ['#A1B2C3', 'red', '#abc', '#00ff0g', '#DDEEFF', NULL][p_partkey % 6 + 1] AS color FROM part) SELECT p_partkey, CASE WHEN regexp_full_match(color, '#[0-9a-fA-F]{6}') THEN lower(color) END AS hex FROM c")
+def to_hex(spark, sf_dir):
+    values = F.array(*map(F.lit, ("#A1B2C3", "red", "#abc", "#00ff0g", "#DDEEFF", None)))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", palettes.to_hex(F.get(values, (F.col("p_partkey") % 6).cast("int"))).alias("hex"))
+
+
+RINGS = GRID + ", k AS (SELECT image_id, y, x, lum AS r, (lum * 3 + x) % 256 AS g, 255 - lum AS b, (lum + y * 11) % 256 AS a FROM g)"
+
+
+@query(f"""WITH {RINGS}, pt AS (SELECT p_partkey AS image_id, p_size * 1.3::DOUBLE - 4 AS px, p_partkey % 30 - 2.5::DOUBLE AS py FROM part),
+ spot AS (SELECT *, CAST(greatest(0, least({SIDE - 1}, floor({SIDE - 1} - px + 0.5))) AS INT) AS x, CAST(greatest(0, least({SIDE - 1}, floor(py + 0.5))) AS INT) AS y FROM pt)
+ SELECT spot.image_id, px, py, printf('#%02x%02x%02x', r, CAST(g AS INT), b) AS color FROM spot JOIN k ON k.image_id = spot.image_id AND k.y = spot.y AND k.x = spot.x""")
+def sample_colors(spark, sf_dir):
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * F.lit(1.3) - 4).alias("px"), (F.col("p_partkey") % 30 - F.lit(2.5)).cast("double").alias("py"))
+    return palettes.sample_color(points, ring_colors(spark, sf_dir), SIDE, SIDE, mirror=True)
+
+
+@query(f"WITH {RINGS}, c AS (SELECT image_id, avg(CASE WHEN a > 24 THEN 1.0 ELSE 0.0 END) AS coverage FROM k WHERE (y * {SIDE} + x) % 4 = 0 GROUP BY image_id) SELECT image_id, round(coverage, 6) AS coverage, coverage BETWEEN 0.05 AND 0.95 AS usable FROM c")
+def cutout_coverage(spark, sf_dir):
+    return statistics.coverage(ring_colors(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("SELECT p_partkey, d AS detail, CASE d WHEN 0 THEN 16 WHEN 1 THEN 9 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 4 END AS path_omit, CASE d WHEN 0 THEN 1.4::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.7::DOUBLE WHEN 3 THEN 0.4::DOUBLE ELSE 0.8::DOUBLE END AS tolerance FROM (SELECT p_partkey, CAST(p_size % 5 AS INT) AS d FROM part)")
+def trace_options(spark, sf_dir):
+    omit, tolerance = rules.trace_options(F.col("detail"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") % 5).cast("int").alias("detail")).select("p_partkey", "detail", omit.alias("path_omit"), tolerance.alias("tolerance"))
+
+
+MATERIAL_VALUES = ", ".join(f"('{m}', {b}::DOUBLE, {f}::DOUBLE, {t}::DOUBLE)" for m, b, f, t in palettes.MATERIALS)
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ['mylar', 'vinyl', 'card', 'laser', 'wood', NULL][p_partkey % 6 + 1] AS material FROM part), k AS (SELECT * FROM (VALUES {MATERIAL_VALUES}) t(material, bridge, min_feature_mm, tie_spacing))
+ SELECT p_partkey, p.material, coalesce(bridge, 2.0) AS bridge, coalesce(min_feature_mm, 0.6) AS min_feature_mm, coalesce(tie_spacing, 65.0) AS tie_spacing FROM p LEFT JOIN k ON k.material = p.material""")
+def material_info(spark, sf_dir):
+    values = F.array(*map(F.lit, ("mylar", "vinyl", "card", "laser", "wood", None)))
+    return palettes.material_of(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.get(values, (F.col("p_partkey") % 6).cast("int")).alias("material")), spark)
+
+
+NAMES = ["Alp, mountain", "golden retriever", "coffee mug", "seashore", "tabby cat", "laptop"]
+
+
+@query(f"""WITH n AS (SELECT p_partkey, [{", ".join(f"'{n}'" for n in NAMES)}][p_partkey % 6 + 1] AS a, [{", ".join(f"'{n}'" for n in NAMES)}][p_size % 6 + 1] AS b FROM part)
+ SELECT p_partkey, {" OR ".join(f"contains(lower({c}), '{w}')" for c in "ab" for w in rules.SCENE)} AS scene, {" OR ".join(f"contains(lower(a), '{w}')" for w in rules.ANIMAL)} AS animal FROM n""")
+def scene_and_animal(spark, sf_dir):
+    pick = lambda c: F.get(F.array(*map(F.lit, NAMES)), (F.col(c) % 6).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.array(pick("p_partkey"), pick("p_size")).alias("names"))
+    return rows.select("p_partkey", rules.scene_flag(F.col("names")).alias("scene"), rules.animal_flag(F.col("names")).alias("animal"))
+
+
+def _preset_case(column: int, other) -> str:
+    text = lambda v: "NULL" if v is None else str(v).lower()
+    return "CASE preset " + " ".join(f"WHEN '{r[0]}' THEN {text(other if r[column] is None else r[column])}" for r in palettes.PRESETS) + " END"
+
+
+@query(STATS + f""", i AS (SELECT b.image_id, mean, std, edge_density, ['photo', 'portrait', 'subject', 'landscape', 'poster', 'lineart', 'logo', 'other'][b.image_id % 8 + 1] AS asked FROM b), p AS (SELECT *, CASE WHEN asked = 'other' THEN 'photo' ELSE asked END AS preset FROM i)
+ SELECT image_id, preset, CAST(greatest(-100, least(100, CASE WHEN mean < 80 THEN floor(least(30.0, (80 - mean) * 0.5) + 0.5) WHEN mean > 185 THEN -floor(least(25.0, (mean - 185) * 0.5) + 0.5) ELSE 0 END)) AS INT) AS brightness,
+ CAST(greatest(-100, least(100, {_preset_case(2, 0)} + CASE WHEN std < 40 THEN floor(least(30.0, (40 - std) * 1.2) + 0.5) ELSE 0 END)) AS INT) AS contrast, CAST(greatest(0, least(3, {_preset_case(3, 1)} + CASE WHEN edge_density > 0.16 THEN 1 ELSE 0 END)) AS INT) AS smooth,
+ {_preset_case(4, 2)} AS detail, {_preset_case(5, 2)} AS layers, {_preset_case(6, 6)} AS "minFeature", {_preset_case(7, False)} AS "autoLevels", {_preset_case(8, False)} AS edges, {_preset_case(9, 35)} AS "edgeAmount", preset IN ('portrait', 'subject') AS suggest_cutout FROM p""")
+def apply_preset(spark, sf_dir):
+    asked = F.get(F.array(*[F.lit(r[0]) for r in palettes.PRESETS], F.lit("other")), (F.col("image_id") % 8).cast("int"))
+    rows = statistics.image_stats(vector_rasters(spark, sf_dir)).select("image_id", "mean", "std", "edge_density", asked.alias("preset"))
+    return rules.apply_preset(rows, spark).select("image_id", "preset", "brightness", "contrast", "smooth", "detail", "layers", "minFeature", "autoLevels", "edges", "edgeAmount", "suggest_cutout")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS INT) IS NULL AS defaulted, CAST(coalesce(CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END, 2) AS INT) AS layers, 'mylar' AS material, 1200 AS \"maxResolution\", 35 AS \"edgeAmount\" FROM part")
+def merge_params(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_size")).cast("int").alias("layers"))
+    return rules.merge_params(rows.withColumn("defaulted", F.col("layers").isNull())).select("p_partkey", "defaulted", "layers", "material", "maxResolution", "edgeAmount")
+
+
+@query(PROBE + f""", c AS (SELECT *, {PICK} AS preset, CASE WHEN p_mod = 0 THEN 'tabby, cat' WHEN p_mod = 1 THEN NULL ELSE 'mug' END AS top FROM (SELECT *, image_id % 3 AS p_mod FROM d))
+ SELECT image_id, CASE preset WHEN 'portrait' THEN 'Portrait — face detected' WHEN 'logo' THEN 'Logo (B&W)' WHEN 'landscape' THEN 'Landscape — ' || CASE WHEN scene THEN 'alp' WHEN animal THEN coalesce(split_part(top, ',', 1), '') || ' in scene' ELSE 'scene' END
+ ELSE 'Subject (isolate)' || coalesce(' — ' || split_part(top, ',', 1), '') END AS reason FROM c""")
+def preset_reason(spark, sf_dir):
+    """Why a preset was picked for an image."""
+    names = {r[0]: r[1] for r in palettes.PRESETS}
+    d = probes(spark, sf_dir).withColumn("preset", rules.pick_preset()).withColumn("top", F.when(F.col("image_id") % 3 == 0, "tabby, cat").when(F.col("image_id") % 3 == 2, "mug"))
+    label = F.coalesce(*[F.when(F.col("preset") == k, v) for k, v in names.items()])
+    return d.select("image_id", rules.reason(F.col("preset"), label, F.col("top"), F.col("animal"), F.col("scene"), F.lit("alp")).alias("reason"))
+
+
+@query(f"""WITH {RINGS}, lu AS (SELECT *, CAST(greatest(0, least(255, round_even(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b, 0))) AS INT) AS lum FROM k), n AS (SELECT image_id, lum, count(*) AS n FROM lu GROUP BY ALL),
+ tn AS (SELECT image_id, count(*) FILTER (n > 0.004 * {SIDE * SIDE}) AS tone_count FROM n GROUP BY ALL), st AS (SELECT image_id, stddev_pop(lum) AS std FROM lu GROUP BY ALL),
+ sg AS (SELECT image_id, coalesce(avg(CASE WHEN x >= 4 AND x < 20 AND y >= 1 AND y < 20 THEN CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 40 AND 128 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173 THEN 1.0 ELSE 0.0 END END), 0) AS skin,
+  coalesce(avg(CASE WHEN y < 11 THEN CASE WHEN b >= r AND b >= g AND b > 120 AND b - r > 4 THEN 1.0 ELSE 0.0 END END), 0) AS sky, avg(CASE WHEN g >= r AND g >= b AND g - r > 8 AND g - b > 8 AND g > 50 THEN 1.0 ELSE 0.0 END) AS green FROM k WHERE a >= 16 GROUP BY image_id)
+ SELECT tn.image_id, {PICK} AS preset FROM tn JOIN st USING (image_id) LEFT JOIN sg USING (image_id)""")
+def preset_for_image(spark, sf_dir):
+    """The preset that an image's own tones and colours call for."""
+    pixels = ring_colors(spark, sf_dir)
+    stats = statistics.image_stats(tone.gray(pixels)).join(statistics.color_signals(pixels, SIDE, SIDE), "image_id", "left")
+    return stats.select("image_id", rules.pick_preset().alias("preset"))

@@ -15,9 +15,15 @@ MOST_BYTES, MOST_PIXELS = 40 << 20, 40_000_000
 
 
 def image_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Columns image_id, width, height, y, x, r, g, b, a of the images below ``path``; too large or unreadable files are left out."""
-    small = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MOST_BYTES).select("path")
-    read = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").join(small, F.col("origin") == F.col("path"), "left_semi")
+    """Columns image_id (the file), width, height, y, x, r, g, b, a of the images below ``path``.
+
+    Files that are too large or can't be decoded are left out. Files are listed with their sizes first,
+    so that large ones are not decoded; a raster is emitted in parts of 2**18 pixels.
+    """
+    where = F.regexp_replace(F.regexp_replace(F.col("at"), "^file:/+", "file:/"), "%20", " ")
+    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= MOST_BYTES).select(F.col("path").alias("at")).select(where.alias("at"))
+    read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
+    read = read.withColumn("at", F.col("origin")).withColumn("at", where).join(small, "at", "left_semi").drop("at")
     read = read.filter((F.col("nChannels").isin(1, 3, 4)) & (F.col("width").cast("long") * F.col("height") <= MOST_PIXELS))
 
     def pixels(batches):
@@ -43,7 +49,8 @@ def image_folder(spark: SparkSession, path: str) -> DataFrame:
 def vector_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 gray rasters of ``embeddings``: image_id, y, x, lum."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v"))
-    return v.filter("i < 64").select("image_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), byte((F.col("v").cast("double") + 1) * 127.5).alias("lum"))
+    fits = F.when(F.col("i") < 64, F.col("i")).otherwise(F.raise_error(F.lit("vector_rasters: a vector has more than 64 numbers")).cast("int"))
+    return v.withColumn("i", fits).select("image_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), byte((F.col("v").cast("double") + 1) * 127.5).alias("lum"))
 
 
 def ring_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +63,14 @@ def ring_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("image_id", y.alias("y"), x.alias("x"), lum.alias("lum"))
 
 
+def ring_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour rasters over :func:`ring_rasters`: image_id, width, height, y, x, r, g, b, a."""
+    p, lum = ring_rasters(spark, sf_dir), F.col("lum")
+    return p.select("image_id", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), "y", "x", lum.alias("r"), ((lum * 3 + F.col("x")) % 256).alias("g"), (255 - lum).alias("b"), ((lum + F.col("y") * 11) % 256).alias("a"))
+
+
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Colours from ``lineitem``, laid in rasters 40 pixels wide by order key: id, image_id, y, x, r, g, b."""
+    """Colours from ``lineitem`` with a place by order key, which the lines of an order share (a bag of pixels, not a raster): id, image_id, y, x, r, g, b."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     cell = F.col("l_orderkey") % 1600
     return t.select(
