@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators.components import despeckled, island_labels, without_small
 from pixelweave.operators.grids import dense, each, keys
+from pixelweave.operators.posterize import cuts
 from pixelweave.operators.tone import BRIGHT
 
 #: Spacing of ties along an island in millimetres, and the most ties it gets.
@@ -249,16 +250,18 @@ def build_masks(pixels: DataFrame, levels: DataFrame, build: Build = Build()) ->
     return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, open_area long, ties long, burnt_area long")
 
 
-def build_layers(pixels: DataFrame, levels: DataFrame, build: Build = Build()) -> DataFrame:
-    """The layers themselves: image_id, layer, is_edge, threshold, width, height, rows of the mask (``y``, ``open`` as bytes) and the layer's ties.
+def build_layers(pixels: DataFrame, levels: DataFrame | int, build: Build = Build()) -> DataFrame:
+    """The layers themselves, for given ``levels`` or a number of them, which each raster then finds for itself: image_id, layer, is_edge, threshold, width, height, rows of the mask (``y``, ``open`` as bytes) and the layer's ties.
 
     A row for each line of each mask, so that what follows needs no whole raster; the ties are on line 0.
     """
 
+    own = isinstance(levels, int)
+
     def run(table: pa.Table) -> pa.Table:
         lum = dense(table, "lum")[0]
         h, w = lum.shape
-        found = built(lum, table["thresholds"][0].as_py(), build)
+        found = built(lum, cuts(np.bincount(lum.ravel(), minlength=256), levels).tolist() if own else table["thresholds"][0].as_py(), build)
         n = h * len(found)
         tie = pa.list_(pa.struct([(c, pa.float64()) for c in ENDS]))
         ties = [[dict(zip(ENDS, t)) for t in f[3]] if y == 0 else [] for f in found for y in range(h)]
@@ -269,7 +272,8 @@ def build_layers(pixels: DataFrame, levels: DataFrame, build: Build = Build()) -
         )
 
     ties = ", ".join(f"{c}: double" for c in ENDS)
-    return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, width int, height int, y int, line binary, ties array<struct<{ties}>>")
+    rows = pixels.select("image_id", "y", "x", "lum") if own else pixels.join(levels, "image_id")
+    return rows.groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, width int, height int, y int, line binary, ties array<struct<{ties}>>")
 
 
 def layer_pixels(layers: DataFrame) -> DataFrame:

@@ -15,22 +15,27 @@ def labelled(grid: np.ndarray, value: int) -> np.ndarray:
     if not h * w:
         return np.zeros((h, w), np.int64)
     inside = grid == value
-    far = h * w
-    label = np.where(inside, np.arange(far).reshape(h, w), far)
-    # cells of one run along a line share their least label; runs are numbered once
-    run_x = np.cumsum(np.diff(inside, axis=1, prepend=False) != 0, axis=1) + np.arange(h)[:, None] * (w + 1)
-    run_y = np.cumsum(np.diff(inside, axis=0, prepend=False) != 0, axis=0) + np.arange(w)[None] * (h + 1)
-    while True:
-        before = label
-        for runs in (run_x, run_y):
-            least = np.full(int(runs.max()) + 1, far)
-            np.minimum.at(least, runs[inside], label[inside])
-            label = np.where(inside, np.minimum(label, least[runs]), far)
-        if (label == before).all():
+    # runs of a row are nodes; a run and one of the row below that overlaps it are joined
+    first, last = inside.copy(), inside.copy()
+    first[:, 1:] &= ~inside[:, :-1]
+    last[:, :-1] &= ~inside[:, 1:]
+    run = np.cumsum(first.ravel()).reshape(h, w) - 1  # of each cell inside
+    both = inside[:-1] & inside[1:]
+    both[:, 1:] &= ~(both[:, :-1] & inside[:-1, 1:] & inside[1:, 1:])  # once for each overlap
+    a, b = run[:-1][both], run[1:][both]
+    root = np.arange(int(first.sum()))
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low < high
+        if not apart.any():
             break
-    first = np.unique(label[inside])
+        np.minimum.at(root, high[apart], low[apart])
+        while ((up := root[root]) < root).any():
+            root = up
+    # a component's least run holds its first cell in row order
+    number = np.cumsum(root == np.arange(len(root)))
     out = np.zeros((h, w), np.int64)
-    out[inside] = np.searchsorted(first, label[inside]) + 1
+    out[inside] = number[root[run[inside]]]
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +74,24 @@ def paint_name(rows: DataFrame, spark: SparkSession, color: str = "hex") -> Data
 
 
 def nearest_paint(rows: DataFrame) -> DataFrame:
-    """Rows (r, g, b) with the nearest can ``brand``, ``name``, ``hex`` and ``distance``.
+    """Rows (r, g, b) with the nearest can ``brand``, ``name``, ``hex`` and ``distance``; a null channel gives none.
 
-    Of the 68 branded paints the least of distance * 128 + place is taken; then one look-up gives the names.
+    The least of distance * 128 + place over the 68 branded paints is taken for Arrow batches: as one
+    expression it is too long a method for the JVM to compile. One look-up then gives the names.
     """
     cans = [r for r in paint_rows() if r[2] != "basics"]
-    away = lambda c, v: (F.col(c) - v) * (F.col(c) - v)
-    near = F.least(*[sum(away(c, int(r[5][1 + 2 * i : 3 + 2 * i], 16)) for i, c in enumerate("rgb")) * 128 + k for k, r in enumerate(cans)]).cast("int")
-    out = rows.withColumn("_near", near)
+    paint = np.array([[int(r[5][i : i + 2], 16) for i in (1, 3, 5)] for r in cans])
+
+    @F.pandas_udf("int")
+    def nearest(r: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
+        known = r.notna() & g.notna() & b.notna()
+        best = np.full(len(r), np.iinfo(np.int64).max)
+        own = [c.where(known, 0).to_numpy().astype(np.int64) for c in (r, g, b)]
+        for k, color in enumerate(paint.tolist()):
+            best = np.minimum(best, sum((c - v) ** 2 for c, v in zip(own, color)) * 128 + k)
+        return pd.Series(best, index=r.index).astype("Int64").where(known)
+
+    out = rows.withColumn("_near", nearest("r", "g", "b"))
     at = (F.col("_near") % 128).cast("int")
     named = [F.get(F.array(*[F.lit(r[i]) for r in cans]), at).alias(n) for i, n in ((3, "brand"), (4, "name"), (5, "hex"))]
     return out.select(*rows.columns, *named, F.shiftright("_near", 7).alias("distance"))

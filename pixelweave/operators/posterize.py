@@ -9,31 +9,22 @@ from pyspark.sql import functions as F
 
 
 def cuts(counts: np.ndarray, k: int) -> np.ndarray:
-    """``k`` cuts of each row of 256 bins that maximise the sum of squared class sums over class sizes; ties go to the lowest."""
-    n = len(counts)
-    weight = np.concatenate([np.zeros((n, 1)), counts.cumsum(1)], axis=1).astype(float)
-    total = np.concatenate([np.zeros((n, 1)), (counts * np.arange(256)).cumsum(1)], axis=1).astype(float)
-
-    def gain(a, b: int) -> np.ndarray:
-        w, s = weight[:, b + 1, None] - weight[:, a], total[:, b + 1, None] - total[:, a]
-        return np.where(w > 1e-12, s * s / np.where(w > 1e-12, w, 1), 0.0)
-
-    best = np.concatenate([gain(np.array([0]), v) for v in range(256)], axis=1)
-    back = []
+    """``k`` cuts of 256 bins that maximise the sum of squared class sums over class sizes; ties go to the lowest."""
+    weight, total = np.append(0, counts.cumsum()).astype(float), np.append(0, (counts * np.arange(256)).cumsum()).astype(float)
+    w, s = weight[1:, None] - weight[None, :-1], total[1:, None] - total[None, :-1]
+    gain = np.divide(s * s, w, out=np.zeros_like(s), where=w > 1e-12)  # of a class to its last bin (row) from its first (column)
+    best, back = gain[:, 0], []
+    after = np.where(np.arange(255)[None] < np.arange(256)[:, None], gain[:, 1:], -np.inf)  # a class up to v (row) after the last bin u (column) before it
     for m in range(2, k + 2):
-        now, came = np.full((n, 256), -1.0), np.zeros((n, 256), np.int64)
-        for v in range(m - 1, 256):
-            u = np.arange(m - 2, v)
-            score = best[:, u] + gain(u + 1, v)
-            at = score.argmax(1)
-            now[:, v], came[:, v] = score[np.arange(n), at], u[at]
-        best = now
-        back.append(came)
-    out, v = np.zeros((n, k), np.int64), np.full(n, 255)
+        score = best[None, :-1] + after
+        score[:, : m - 2] = -np.inf
+        back.append(score.argmax(1))
+        best = score[np.arange(256), back[-1]]
+    out, v = np.zeros(k, np.int64), 255
     for i in range(k - 1, -1, -1):
-        v = back[i][np.arange(n), v]
-        out[:, i] = v + 1
-    return out
+        v = int(back[i][v])
+        out[i] = v + 1
+    return np.minimum(out, 255)
 
 
 def thresholds(histogram: DataFrame, k: int) -> DataFrame:
@@ -42,10 +33,8 @@ def thresholds(histogram: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                found = cuts(np.array(part.column(1).flatten()).reshape(-1, 256), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.minimum(found, 255).astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["image_id", "thresholds"])
+            found = [cuts(bins, k).astype(np.int32) for bins in np.array(batch.column(1).flatten()).reshape(-1, 256)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["image_id", "thresholds"])
 
     kind = histogram.schema["image_id"].dataType.simpleString()
     return bins.mapInArrow(run, f"image_id {kind}, thresholds array<int>")

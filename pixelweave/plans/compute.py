@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators import bridges, layout, posterize, statistics, tone
+from pixelweave.operators import bridges, layout, tone
 from pixelweave.operators.bridges import Build
 
 
@@ -38,8 +38,7 @@ def gray(pixels: DataFrame, width: int | Column, height: int | Column, look: Loo
 
 def layers(gray_pixels: DataFrame, look: Look, levels: DataFrame | None = None) -> DataFrame:
     """Layers with ties (:func:`bridges.build_layers`); ``levels(image_id, thresholds)`` are found unless given."""
-    levels = levels if levels is not None else posterize.thresholds(statistics.histogram(gray_pixels), look.layers)
-    return bridges.build_layers(gray_pixels, levels, look.build)
+    return bridges.build_layers(gray_pixels, levels if levels is not None else look.layers, look.build)
 
 
 def work_masks(built: DataFrame) -> DataFrame:
