@@ -231,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", text:
     if labels is None:
         return learned([])
     own = labels.select(column(doc_id).alias("_id"), column(label).alias("_good")).filter("_good in (0, 1)").groupBy("_id").agg(F.min("_good").alias("_good"))
-    texts = docs.select(column(doc_id).alias("_id"), column(text).alias("_text")).filter("_text is not null").join(own, "_id").groupBy(F.xxhash64("_text").alias("_h")).agg(F.min("_good").alias("_good"), F.min("_id").alias("_id"))
+    hashes = docs.filter(column(text).isNotNull()).select(column(doc_id).alias("_id"), F.xxhash64(column(text)).alias("_h"))
+    texts = hashes.join(own, "_id").groupBy("_h").agg(F.min("_good").alias("_good"), F.min("_id").alias("_id"))
     some = texts.filter("_good = 0").orderBy("_h", "_id").limit(sample).union(texts.filter("_good = 1").orderBy("_h", "_id").limit(sample))
     # the documents named once more, since the texts themselves aren't ordered or grouped
     chosen = docs.select(column(doc_id).alias("_id"), F.xxhash64(column(text)).alias("_h"), column(text).alias("_text")).join(F.broadcast(some), ["_id", "_h"]).select("_h", "_good", "_text")
