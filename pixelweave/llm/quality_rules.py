@@ -151,10 +151,10 @@ def viterbi(features: list[tuple[int, ...]], emit: list[float], move: list[list[
     return out[::-1]
 
 
-def train(features: list[list[tuple[int, ...]]], labels: list[np.ndarray], weights: list[float] | None = None, rounds: int = 60, penalty: float = 1.0) -> tuple[list[float], list[list[float]]]:
+def train(features: list[list[tuple[int, ...]]], labels: list[np.ndarray], weights: list[float] | None = None, linked: bool = True, rounds: int = 60, penalty: float = 1.0) -> tuple[list[float], list[list[float]]]:
     """Weights of the field by gradient ascent on the penalised likelihood (forward-backward, all sequences at once).
 
-    ``weights``: what each sequence counts.
+    ``weights``: what each sequence counts; unless ``linked``, neighbours say nothing of each other.
     """
     order = sorted((i for i, f in enumerate(features) if f), key=lambda i: -len(features[i]))
     w, move = np.zeros(N_FEATURES), np.zeros((2, 2))
@@ -194,7 +194,7 @@ def train(features: list[list[tuple[int, ...]]], labels: list[np.ndarray], weigh
             pair = fw[part[t - 1]][:n, :, None] * grow * (e[part[t]] * bw[part[t]])[:, None, :]
             gm -= (pair / pair.sum((1, 2), keepdims=True) * worth[:n, None, None]).sum(0) / total
             np.add.at(gm, (y[part[t - 1]][:n], y[part[t]]), worth[:n] / total)
-        speed_w, speed_m = 0.8 * speed_w + gw, 0.8 * speed_m + gm
+        speed_w, speed_m = 0.8 * speed_w + gw, 0.8 * speed_m + gm * linked
         w, move = w + 2.0 * speed_w, move + 2.0 * speed_m
     return w.tolist(), move.tolist()
 
@@ -220,7 +220,8 @@ def learned(sequences: list[tuple[list[tuple[int, ...]], list[int], bool]], shar
     for i in range(rounds):
         # both kinds count alike
         lines = [sum(len(s[0]) for s in sequences if s[2] is kind) for kind in (False, True)]
-        emit, move = train(features, labels, [sum(lines) / (2 * lines[s[2]]) for s in sequences])
+        # labels of whole documents would only teach that neighbours are alike, so the first fit takes lines alone
+        emit, move = train(features, labels, [sum(lines) / (2 * lines[s[2]]) for s in sequences], i > 0)
         if i < rounds - 1:
             labels = [np.ones(len(s[0]), np.int64) if s[2] else relabelled(s[0], s[1], emit, move, share) for s in sequences]
     return emit, move
