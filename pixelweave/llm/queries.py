@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_scoring, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
+from pixelweave.llm.oracles import ORACLES  # noqa: F401
 
 
 def _training() -> Column:
@@ -76,5 +77,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules)
 }
-
-ORACLES: dict[str, str] = {}
