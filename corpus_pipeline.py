@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from pixelweave.llm._common import column, documents, stage
+from pixelweave.llm._common import column, documents, fold, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    """Documents that the rules keep; as in the query, labels of the held-out fold teach nothing."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").filter(fold(parts=3) != 1)
     return quality_rules.apply_rules(docs, labels).filter("kept").select([column(c) for c in docs.columns])
 
 
