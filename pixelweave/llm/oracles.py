@@ -52,4 +52,50 @@ WITH lines AS (
 SELECT doc_id, left_over.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN left_over USING (doc_id)
 """
 
-ORACLES = {"op3_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION}
+def _field(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+
+
+#: Trees level by level over all rows; each row then walks from its leaf, with what it holds to be its own digest, to the root.
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT *, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+    CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)), 4294967295) % 3 = 0
+      THEN {LOWER.format("text")} ELSE text END AS told
+  FROM documents
+), leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, leaf, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "told")))}) AS claim,
+    row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM docs WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+), up AS (
+  SELECT g, 0 AS lev, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT g, lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY g, lev, i // 8, n
+), runs AS (
+  SELECT g, lev, i // 8 AS run, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY ALL
+), walk AS (
+  SELECT doc_id, g, i AS place, leaf, 0 AS lev, i, claim AS h, '' AS proof, n FROM leaves
+  UNION ALL
+  SELECT doc_id, g, place, leaf, lev + 1, i // 8, sha256(array_to_string(hs[1:i % 8], '') || h || array_to_string(hs[i % 8 + 2:], '')),
+    proof || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], ''), (n + 7) // 8
+  FROM walk JOIN runs USING (g, lev) WHERE n > 1 AND run = i // 8
+), subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+), top_up AS (
+  SELECT 0 AS lev, i, subroot AS h, n FROM subroots
+  UNION ALL
+  SELECT lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM top_up WHERE n > 1 GROUP BY lev, i // 8, n
+), top_runs AS (
+  SELECT lev, i // 8 AS run, list(h ORDER BY i) AS hs FROM top_up WHERE n > 1 GROUP BY ALL
+), top_walk AS (
+  SELECT doc_id, place, g, leaf, subroot, 0 AS lev, s.i, h, proof, s.n FROM walk JOIN subroots s USING (g) WHERE walk.n = 1
+  UNION ALL
+  SELECT doc_id, place, g, leaf, subroot, lev + 1, i // 8, sha256(array_to_string(hs[1:i % 8], '') || h || array_to_string(hs[i % 8 + 2:], '')),
+    proof || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], ''), (n + 7) // 8
+  FROM top_walk JOIN top_runs USING (lev) WHERE n > 1 AND run = i // 8
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM top_walk, (SELECT h AS root FROM top_up WHERE n = 1) WHERE n = 1
+"""
+
+ORACLES = {"op3_line_dedup": LINE_DEDUP, "op9_decontamination": DECONTAMINATION, "op11_merkle_manifest": MERKLE}

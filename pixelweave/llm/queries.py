@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_scoring, packing, quality_model, quality_rules, simhash, toxicity
+from pixelweave.llm import decontaminate, html_text, langid, line_dedup, lm_scoring, merkle, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
 from pixelweave.llm.oracles import ORACLES  # noqa: F401
 
@@ -74,6 +74,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, labels).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    proved = merkle.manifest(documents(spark, sf_dir), claims={"text": F.when(tampered, lower).otherwise(F.col("text"))})
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules, op11_merkle_manifest)
 }
