@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import chat, decontaminate, html_text, langid, line_dedup, lm_scoring, merkle, packing, quality_model, quality_rules, simhash, toxicity
+from pixelweave.llm import align, chat, decontaminate, html_text, langid, line_dedup, lm_scoring, merkle, packing, quality_model, quality_rules, simhash, toxicity
 from pixelweave.llm._common import documents, fold
 from pixelweave.llm.oracles import ORACLES  # noqa: F401
 
@@ -81,6 +81,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    aligned, _ = align.align(docs)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -89,5 +95,5 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules, op11_merkle_manifest, op13_chat_formatting)
+    f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_line_dedup, op4_toxicity, op5_html_extraction, op6_packing, op7_simhash, op8_lm_scoring, op9_decontamination, op10_quality_rules, op11_merkle_manifest, op12_tokenizer_alignment, op13_chat_formatting)
 }
