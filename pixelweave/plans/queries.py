@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import from_mm, to_mm
-from pixelweave.operators import bridges, components, layout, morphology, palettes, posterize, rules, statistics, tone
+from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, posterize, rules, statistics, tone
 from pixelweave.plans import compute
 from pixelweave.sources.rasters import SIDE, colors, ring_colors, ring_rasters, vector_rasters
 
@@ -316,6 +316,40 @@ def islands(spark, sf_dir):
     return components.islands(ring_mask(spark, sf_dir))
 
 
+def _outline(name: str, mask: str) -> str:
+    """Loops of a mask by walking from each side of a cell until a lesser one or itself comes; sides by where they begin (k)."""
+    nb = lambda dy, dx: f"EXISTS_{dy + 1}{dx + 1}"
+    around = ", ".join(f"coalesce(max(CASE WHEN dy = {-dy} AND dx = {-dx} THEN 1 END), 0) AS {nb(dy, dx)}" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    ways, starts = ((0, 1), (1, 0), (0, -1), (-1, 0)), ((0, 0), (0, 1), (1, 1), (1, 0))
+    sides = []
+    for s, ((my, mx), (sy, sx)) in enumerate(zip(ways, starts)):
+        oy, ox = -ways[(s + 1) % 4][0], -ways[(s + 1) % 4][1]
+        ahead, beyond = nb(my, mx), nb(my + oy, mx + ox)
+        then = [((0, 0), (s + 1) % 4), ((my, mx), s), ((my + oy, mx + ox), (s + 3) % 4)]
+        key = [f"((y + {cy + starts[t][0]}) * 4096 + x + {cx + starts[t][1]}) * 4 + {t}" for (cy, cx), t in then]
+        sides.append(f"SELECT image_id, ((y + {sy}) * 4096 + x + {sx}) * 4 + {s} AS k, CASE WHEN {ahead} = 0 THEN {key[0]} WHEN {beyond} = 0 THEN {key[1]} ELSE {key[2]} END AS nxt FROM {name}_n WHERE {nb(oy, ox)} = 0")
+    return f"""{name}_n AS (SELECT image_id, y + dy AS y, x + dx AS x, {around} FROM {mask}, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE open = 1 GROUP BY image_id, y + dy, x + dx HAVING {nb(0, 0)} = 1),
+{name}_s AS ({" UNION ALL ".join(sides)}),
+{name}_w AS (SELECT image_id, k, nxt, 1 AS steps, CAST([k] AS BIGINT[]) AS ks FROM {name}_s
+  UNION ALL SELECT w.image_id, w.k, s.nxt, steps + 1, CASE WHEN s.k % 4 <> w.ks[-1] % 4 THEN list_append(ks, s.k) ELSE ks END FROM {name}_w w JOIN {name}_s s ON s.image_id = w.image_id AND s.k = w.nxt WHERE w.nxt > w.k),
+{name} AS (SELECT image_id, (k // 16384) * 4294967296 + k % 16384 AS loop, steps AS length, list_transform(ks, lambda z: z // 4 % 4096) AS xs, list_transform(ks, lambda z: z // 16384) AS ys FROM {name}_w WHERE nxt = k)"""
+
+
+LOOPS = f"{MASK}, {_outline('lp', 'm')}, ar AS (SELECT *, CAST(list_sum(list_transform(range(1, len(xs) + 1), lambda i: xs[i] * ys[i % len(xs) + 1] - xs[i % len(xs) + 1] * ys[i])) // 2 AS BIGINT) AS area FROM lp)"
+
+
+@query(f"WITH RECURSIVE {LOOPS} SELECT image_id, loop, area < 0 AS hole, area, CAST(length AS BIGINT) AS length, 'M ' || array_to_string(list_transform(range(1, len(xs) + 1), lambda i: xs[i] || ' ' || ys[i]), ' L ') || ' Z' AS d FROM ar")
+def mask_contours(spark, sf_dir):
+    loops = contours.contours(ring_mask(spark, sf_dir))
+    return loops.select("image_id", "loop", "hole", "area", "length", contours.path_of(F.col("xs"), F.col("ys"), layout.number).alias("d"))
+
+
+@query(f"WITH {MASK} SELECT image_id, y, x FROM m WHERE open = 1")
+def contour_fill(spark, sf_dir):
+    """The outlines' fill is the mask that they were drawn from."""
+    return contours.filled_cells(contours.contours(ring_mask(spark, sf_dir)))
+
+
 @query()
 def auto_bridges(spark, sf_dir):
     return bridges.auto_bridges(ring_mask(spark, sf_dir), bridges.Options(mm_per_px=2.0, spacing=6.0))
