@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,65 +36,94 @@ class Options:
     keep_highlights: bool = False
 
 
-def search(grid: np.ndarray, ys: np.ndarray, xs: np.ndarray, sheet: np.ndarray, most: int, count: int) -> list[tuple[int, int, int, int]]:
-    """Ties of one island (its cells in row order): breadth first through open cells until material of the sheet.
+#: Pairs of an island and a cell that a wave may mark at once.
+MARKS = 1 << 26
+STEPS = ((0, -1), (0, 1), (-1, 0), (1, 0))
 
-    The shortest tie of each of ``count`` sectors about the island's centre, in the order in which sectors were first hit.
+
+def waves(label: np.ndarray, grid: np.ndarray, sheet: np.ndarray, most: int, counts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Ties of all islands of ``label``, level by level through open cells until material of the sheet: island, x1, y1, x2, y2.
+
+    Every island has a wave of its own, which other islands' waves don't hinder; all advance together
+    as arrays of (island, cell, cell of the island that it came from), in the order of a queue. Of
+    each of an island's ``counts`` sectors about its centre the first tie found stays, in the order found.
     """
-    h, w = grid.shape
-    cy, cx = ys.mean(), xs.mean()
-    seen: dict[tuple[int, int], tuple[int, tuple[int, int]]] = {}
-    queue: deque[tuple[int, int]] = deque()
-    steps = ((0, -1), (0, 1), (-1, 0), (1, 0))
-    for y, x in zip(ys.tolist(), xs.tolist()):
-        for dy, dx in steps:
-            p = (y + dy, x + dx)
-            if 0 <= p[0] < h and 0 <= p[1] < w and grid[p] and p not in seen:
-                seen[p] = (1, (y, x))
-                queue.append(p)
-    best: dict[int, tuple[int, tuple[int, int, int, int]]] = {}
-    while queue:
-        p = queue.popleft()
-        far, (oy, ox) = seen[p]
-        if far > most:
-            continue
-        for dy, dx in steps:
-            q = (p[0] + dy, p[1] + dx)
-            if not (0 <= q[0] < h and 0 <= q[1] < w):
-                continue
-            if grid[q]:
-                if q not in seen:
-                    seen[q] = (far + 1, (oy, ox))
-                    queue.append(q)
-            elif sheet[q]:
-                if count == 1:
-                    return [(ox, oy, q[1], q[0])]
-                sector = min(count - 1, int((math.atan2(oy - cy, ox - cx) + math.pi) / (2 * math.pi) * count))
-                if sector not in best or far < best[sector][0]:
-                    best[sector] = (far, (ox, oy, q[1], q[0]))
-    return [tie for _, tie in best.values()]
-
-
-def cells_of(label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Places of each label's cells in row order; one pass over the raster."""
     at = np.flatnonzero(label.ravel())
     at = at[np.argsort(label.ravel()[at], kind="stable")]
-    cut = np.flatnonzero(np.diff(label.ravel()[at])) + 1
-    return [np.divmod(part, label.shape[1]) for part in np.split(at, cut)] if len(at) else []
+    own = label.ravel()[at] - 1
+    n, cells = len(counts), label.size
+    step = max(1, MARKS // max(1, cells))
+    if n > step:  # islands in turns, so that what they mark stays bounded
+        cut = np.searchsorted(own, np.arange(0, n + step, step))
+        return [t for k, (a, b) in enumerate(zip(cut, cut[1:])) for t in _waves(at[a:b], own[a:b], k * step, label.shape, grid, sheet, most, counts[k * step : (k + 1) * step])]
+    return _waves(at, own, 0, label.shape, grid, sheet, most, counts)
+
+
+def _waves(at: np.ndarray, own: np.ndarray, base: int, shape: tuple[int, int], grid: np.ndarray, sheet: np.ndarray, most: int, counts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    h, w = shape
+    own = own - base
+    n, wide = len(counts), w + 2
+    y, x = np.divmod(at, w)
+    size = np.bincount(own, minlength=n)
+    cy, cx = np.bincount(own, y, n) / size, np.bincount(own, x, n) / size
+    # a ring of neither about the raster saves every test for its border
+    free, goal = np.zeros((h + 2, wide), np.bool_), np.zeros((h + 2, wide), np.bool_)
+    free[1:-1, 1:-1], goal[1:-1, 1:-1] = grid != 0, sheet
+    free, goal = free.ravel(), goal.ravel()
+    seen = np.zeros(n * len(free), np.bool_)
+    near = np.array([dy * wide + dx for dy, dx in STEPS])
+    cell = (y + 1) * wide + x + 1
+    origin, far, found = cell, 0, []
+    hit = np.zeros((n, int(counts.max())), np.bool_)
+    while len(own) and far <= most:
+        to = (cell[:, None] + near).ravel()
+        who, back = np.repeat(own, 4), np.repeat(origin, 4)
+        if far:  # not next to the island itself
+            k = np.flatnonzero(goal[to])
+            if len(k):
+                pair, first = np.unique(who[k] * len(free) + back[k], return_index=True)  # a sector hangs on the island and the origin alone
+                k = k[np.sort(first)]
+                for i in k.tolist():
+                    island, o = int(who[i]), int(back[i])
+                    oy, ox = divmod(o, wide)
+                    count = int(counts[island])
+                    sector = min(count - 1, int((math.atan2(oy - 1 - cy[island], ox - 1 - cx[island]) + math.pi) / (2 * math.pi) * count))
+                    if not hit[island, sector]:
+                        hit[island, sector] = True
+                        ty, tx = divmod(int(to[i]), wide)
+                        found.append((island + base, ox - 1, oy - 1, tx - 1, ty - 1))
+                done = hit.sum(1) >= counts
+                stay = ~done[who]
+                to, who, back = to[stay], who[stay], back[stay]
+        mark = who * len(free) + to
+        k = np.flatnonzero(free[to] & ~seen[mark])
+        _, first = np.unique(mark[k], return_index=True)
+        k = k[np.sort(first)]
+        seen[mark[k]] = True
+        own, cell, origin = who[k], to[k], back[k]
+        far += 1
+    return sorted(found, key=lambda t: t[0])
 
 
 def ties_of(grid: np.ndarray, o: Options) -> list[tuple[float, ...]]:
     label = island_labels(grid)
-    sheet = (grid == 0) & (label == 0)
+    n = int(label.max()) if label.size else 0
+    if not n:
+        return []
+    counts = np.ones(n, np.int64)
+    if o.mm_per_px:
+        y, x = np.nonzero(label)
+        own = label[y, x] - 1
+        span = np.zeros(n)
+        for c in (y, x):
+            low, high = np.full(n, label.size), np.zeros(n, np.int64)
+            np.minimum.at(low, own, c)
+            np.maximum.at(high, own, c)
+            span = np.maximum(span, high - low)
+        span = span * o.mm_per_px
+        counts = np.maximum(np.where(span < 12, 1, 2), np.minimum(MOST_TIES, np.maximum(1, np.floor(span / o.spacing + 0.5)))).astype(np.int64)
     most = o.max_gap if o.max_gap is not None else max(40, math.floor(0.3 * min(grid.shape) + 0.5))
-    out = []
-    for ys, xs in cells_of(label):
-        count = 1
-        if o.mm_per_px:
-            span = max(np.ptp(ys), np.ptp(xs)) * o.mm_per_px
-            count = max(1 if span < 12 else 2, min(MOST_TIES, math.floor(span / o.spacing + 0.5) or 1))
-        out += [(*map(float, t), o.width) for t in search(grid, ys, xs, sheet, most, count)]
-    return out
+    return [(*map(float, t[1:]), o.width) for t in waves(label, grid, (grid == 0) & (label == 0), most, counts)]
 
 
 def burnt(grid: np.ndarray, ties: list[tuple[float, ...]]) -> np.ndarray:

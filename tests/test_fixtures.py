@@ -153,36 +153,55 @@ def test_number_of_ties():
     assert len(bridges.ties_of(square(24, 6), bridges.Options(mm_per_px=2.0))) == 1
 
 
-def test_shortest_tie_by_search():
-    """A single tie is as short as any way through open cells from the island to the sheet."""
+def plain_ties(g, label, count_of, most):
+    """Ties by a queue for each island, neighbour by neighbour."""
+    h, w = g.shape
+    sheet = (g == 0) & (label == 0)
+    out = []
+    for k in range(1, int(label.max()) + 1):
+        cells = [tuple(map(int, c)) for c in np.argwhere(label == k)]
+        cy, cx = sum(c[0] for c in cells) / len(cells), sum(c[1] for c in cells) / len(cells)
+        seen, queue, best = {}, [], {}
+        around = lambda p: [q for q in ((p[0], p[1] - 1), (p[0], p[1] + 1), (p[0] - 1, p[1]), (p[0] + 1, p[1])) if 0 <= q[0] < h and 0 <= q[1] < w]
+        for c in cells:
+            for q in around(c):
+                if g[q] and q not in seen:
+                    seen[q] = (1, c)
+                    queue.append(q)
+        for p in queue:
+            far, (oy, ox) = seen[p]
+            if far > most:
+                continue
+            for q in around(p):
+                if g[q] and q not in seen:
+                    seen[q] = (far + 1, (oy, ox))
+                    queue.append(q)
+                elif not g[q] and sheet[q]:
+                    n = count_of(k)
+                    sector = min(n - 1, int((math.atan2(oy - cy, ox - cx) + math.pi) / (2 * math.pi) * n))
+                    if sector not in best or far < best[sector][0]:
+                        best[sector] = (far, (k - 1, ox, oy, q[1], q[0]))
+        out += [t for _, t in best.values()]
+    return out
+
+
+@pytest.mark.parametrize("marks", [1 << 26, 500])
+def test_ties_by_search(monkeypatch, marks):
+    """All islands at once, one to five sectors, with a short reach and a long one, in turns and not."""
+    monkeypatch.setattr(bridges, "MARKS", marks)
     rng = np.random.default_rng(3)
-    for _ in range(40):
-        g = (rng.random((15, 15)) < 0.75).astype(int)
+    many = 0
+    for i in range(120):
+        g = (rng.random((int(rng.integers(3, 22)), int(rng.integers(3, 22)))) < rng.choice([0.6, 0.75, 0.9])).astype(int)
         label = island_labels(g)
-        sheet = (g == 0) & (label == 0)
-        for ys, xs in bridges.cells_of(label):
-            found = bridges.search(g, ys, xs, sheet, 10**6, 1)
-            far = np.full(g.shape, 10**6)
-            now = set(zip(ys.tolist(), xs.tolist()))
-            far[ys, xs], steps, reached = 0, 0, False
-            while now and not reached:
-                steps += 1
-                then = set()
-                for y, x in now:
-                    for p in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                        if 0 <= p[0] < 15 and 0 <= p[1] < 15:
-                            if sheet[p] and steps > 1:
-                                reached = True
-                            elif g[p] and far[p] == 10**6:
-                                far[p] = steps
-                                then.add(p)
-                now = then
-            assert bool(found) == reached
-            if found:
-                (x1, y1, x2, y2) = found[0]
-                assert label[y1, x1] and sheet[y2, x2]
-                assert abs(x2 - x1) + abs(y2 - y1) <= steps
-                assert min(far[p] for p in ((y2 - 1, x2), (y2 + 1, x2), (y2, x2 - 1), (y2, x2 + 1)) if 0 <= p[0] < 15 and 0 <= p[1] < 15 and far[p] > 0) == steps - 1
+        if not label.max():
+            continue
+        counts = rng.integers(1, 6, int(label.max()))
+        most = int(rng.choice([1, 2, 40]))
+        found = bridges.waves(label, g, (g == 0) & (label == 0), most, counts)
+        assert found == plain_ties(g, label, lambda k: counts[k - 1], most)
+        many += len(found)
+    assert many > 300
 
 
 def test_burnt_by_distance():
