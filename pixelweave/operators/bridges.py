@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -278,36 +279,68 @@ def build_masks(pixels: DataFrame, levels: DataFrame, build: Build = Build()) ->
     return pixels.join(levels, "image_id").groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, open_area long, ties long, burnt_area long")
 
 
+LAYER_LINES = "layer int, is_edge boolean, threshold int, width int, height int, y int, line binary, work binary, n_open int, ties array<struct<" + ", ".join(f"{c}: double" for c in ENDS) + ">>"
+
+
+def layer_lines(ids: Callable[[int], dict[str, pa.Array]], found: list[tuple[int, bool, np.ndarray, list[tuple[float, ...]]]], h: int, w: int) -> dict[str, pa.Array]:
+    """The columns of :data:`LAYER_LINES` for the layers of one raster; ``ids`` makes the leading columns for a number of rows."""
+    works = [burnt(mask, ties) if ties else mask for _, _, mask, ties in found]
+    tie = pa.list_(pa.struct([(c, pa.float64()) for c in ENDS]))
+    ties = [[dict(zip(ENDS, t)) for t in f[3]] if y == 0 else [] for f in found for y in range(h)]
+    many = lambda values, kind: pa.array([v for v in values for _ in range(h)], kind)
+    lines = lambda masks: pa.array([row.astype(np.uint8).tobytes() for m in masks for row in m], pa.binary())
+    n = h * len(found)
+    return ids(n) | {
+        "layer": many(range(len(found)), pa.int32()), "is_edge": many([f[1] for f in found], pa.bool_()), "threshold": many([f[0] for f in found], pa.int32()), "width": pa.array([w] * n, pa.int32()), "height": pa.array([h] * n, pa.int32()),
+        "y": pa.array(np.tile(np.arange(h, dtype=np.int32), len(found))), "line": lines([f[2] for f in found]), "work": lines(works), "n_open": pa.array([int(x) for m in works for x in m.sum(1)], pa.int32()), "ties": pa.array(ties, tie),
+    }
+
+
 def build_layers(pixels: DataFrame, levels: DataFrame | int, build: Build = Build()) -> DataFrame:
-    """The layers themselves, for given ``levels`` or a number of them, which each raster then finds for itself: image_id, layer, is_edge, threshold, width, height, rows of the mask (``y``, ``open`` as bytes) and the layer's ties.
+    """The layers themselves, for given ``levels`` or a number of them, which each raster then finds for itself.
 
-    A row for each line of each mask, so that what follows needs no whole raster; the ties are on line 0.
+    Columns image_id, layer, is_edge, threshold, width, height, lines of the mask (``y``, ``line`` as
+    bytes; ``work`` with the ties burnt, of which ``n_open`` cells are open) and the layer's ties, which
+    are on line 0. A row for each line, so that what follows needs no whole raster.
     """
-
     own = isinstance(levels, int)
 
     def run(table: pa.Table) -> pa.Table:
         lum = dense(table, "lum")[0]
-        h, w = lum.shape
         found = built(lum, cuts(np.bincount(lum.ravel(), minlength=256), levels).tolist() if own else table["thresholds"][0].as_py(), build)
-        n = h * len(found)
-        tie = pa.list_(pa.struct([(c, pa.float64()) for c in ENDS]))
-        ties = [[dict(zip(ENDS, t)) for t in f[3]] if y == 0 else [] for f in found for y in range(h)]
-        return pa.table(
-            _ids(table, ["image_id"], n)
-            | {"layer": pa.array(np.repeat(np.arange(len(found), dtype=np.int32), h)), "is_edge": pa.array([f[1] for f in found for _ in range(h)], pa.bool_()), "threshold": pa.array([f[0] for f in found for _ in range(h)], pa.int32()), "width": pa.array([w] * n, pa.int32()), "height": pa.array([h] * n, pa.int32())}
-            | {"y": pa.array(np.tile(np.arange(h, dtype=np.int32), len(found))), "line": pa.array([row.astype(np.uint8).tobytes() for f in found for row in f[2]], pa.binary()), "ties": pa.array(ties, tie)}
-        )
+        return pa.table(layer_lines(lambda n: _ids(table, ["image_id"], n), found, *lum.shape))
 
-    ties = ", ".join(f"{c}: double" for c in ENDS)
-    rows = pixels.select("image_id", "y", "x", "lum") if own else pixels.join(levels, "image_id")
-    return rows.groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, layer int, is_edge boolean, threshold int, width int, height int, y int, line binary, ties array<struct<{ties}>>")
+    rows = pixels.select("image_id", "y", "x", "lum") if own else pixels.select("image_id", "y", "x", "lum").join(levels.select("image_id", "thresholds"), "image_id")
+    return rows.groupBy("image_id").applyInArrow(run, f"{_type(pixels, ['image_id'])}, {LAYER_LINES}")
 
 
-def layer_pixels(layers: DataFrame) -> DataFrame:
+def layer_pixels(layers: DataFrame, line: str = "line") -> DataFrame:
     """A row for each pixel of :func:`build_layers`: image_id, layer, is_edge, y, x, open."""
-    cells = F.transform(F.sequence(F.lit(1), F.col("width")), lambda i: F.conv(F.hex(F.substring("line", i, F.lit(1))), 16, 10).cast("int"))
-    return layers.select("image_id", "layer", "is_edge", "y", F.posexplode(cells).alias("x", "open"))
+    return _cells(layers, line, False)
+
+
+def open_cells(layers: DataFrame, line: str = "work") -> DataFrame:
+    """The open pixels alone."""
+    return _cells(layers, line, True)
+
+
+def _cells(layers: DataFrame, line: str, only: bool) -> DataFrame:
+    rows = layers.select("image_id", "layer", "is_edge", "y", F.col(line).alias("line"))
+
+    def run(batches):
+        for batch in batches:
+            lines = batch["line"].to_pylist()
+            size = np.fromiter(map(len, lines), np.int64, len(lines))
+            value = np.frombuffer(b"".join(lines), np.uint8)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            x = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
+            for a in range(0, len(value), 1 << 18):  # a line may be long, and a batch holds many
+                at = slice(a, a + (1 << 18))
+                keep = np.flatnonzero(value[at]) if only else np.arange(len(value[at]))
+                held = [batch[c].take(pa.array(row[at][keep])) for c in ("image_id", "layer", "is_edge", "y")]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(x[at][keep].astype(np.int32)), pa.array(value[at][keep].astype(np.int32))], names=["image_id", "layer", "is_edge", "y", "x", "open"])
+
+    return rows.mapInArrow(run, f"{_type(layers, ['image_id'])}, layer int, is_edge boolean, y int, x int, open int")
 
 
 def layer_ties(layers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ out of the tile. Chains of a loop find each other by the least key on their cycl
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,15 +103,13 @@ def traced(y: np.ndarray, x: np.ndarray, y0: int, x0: int, tile: int) -> list[tu
     return out
 
 
-def contours(mask: DataFrame, tolerance: float = 0.0, omit: float = 0.0, tile: int = TILE) -> DataFrame:
+def contours(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """The loops of each mask(image_id, y, x, open), or of each layer where masks have it.
 
     Columns: the mask's keys, ``loop`` (a number by where it begins: its topmost, then leftmost
     corner), ``hole`` (it runs round material), ``area`` (open cells within, less than 0 for holes),
-    ``length``, and the corners ``xs`` and ``ys``. Corners nearer than ``tolerance`` to the line
-    between those that stay go, but three always stay; loops shorter than ``omit`` go. Area and
-    length are those of the exact loop. Rows without a place or value, and material, draw nothing;
-    a place that is repeated counts once.
+    ``length``, and the corners ``xs`` and ``ys``. Rows without a place or value, and material, draw
+    nothing; a place that is repeated counts once.
     """
     own = keys(mask)
     cells = mask.filter("open = 1 and y >= 0 and x >= 0").select(*own, F.col("y").cast("long"), F.col("x").cast("long"))
@@ -141,19 +140,34 @@ def contours(mask: DataFrame, tolerance: float = 0.0, omit: float = 0.0, tile: i
     def close(batches):
         for batch in batches:
             rows = []
-            for i, parts in enumerate(batch["parts"].to_pylist()):
+            for parts in batch["parts"].to_pylist():
                 y, x = joined(parts)
-                if len(y) and (length := int(abs(np.diff(y, append=y[0])).sum() + abs(np.diff(x, append=x[0])).sum())) >= omit:
-                    area = int((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) // 2
-                    stay = simplified(y, x, tolerance)
-                    rows.append((i, int(y[0]) << 32 | int(x[0]) << 2 | side_of(y, x), area < 0, area, length, x[stay].astype(float), y[stay].astype(float)))
-            at, loop, hole, area, length, xs, ys = zip(*rows) if rows else ((),) * 7
-            held = [batch[c].take(pa.array(at, pa.int32())) for c in own]
-            yield pa.RecordBatch.from_arrays([*held, pa.array(loop, pa.int64()), pa.array(hole, pa.bool_()), pa.array(area, pa.int64()), pa.array(length, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.float64()))], names=out.names)
+                length = int(abs(np.diff(y, append=y[0])).sum() + abs(np.diff(x, append=x[0])).sum())
+                area = int((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) // 2
+                rows.append((int(y[0]) << 32 | int(x[0]) << 2 | side_of(y, x), area < 0, area, length, x.astype(float), y.astype(float)))
+            made = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in own), *(pa.array(v, k) for v, k in zip(made, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))))], names=out.names)
 
     return loops.mapInArrow(close, out)
 
 
+def simplify(loops: DataFrame, tolerance: Column | float, omit: Column | float) -> DataFrame:
+    """Loops with fewer corners: those nearer than ``tolerance`` to the line between those that stay go, but three always stay.
+
+    Loops shorter than ``omit`` go altogether. Both may differ from row to row; null counts as 0.
+    Area and length stay those of the exact loop.
+    """
+    as_column = lambda v: F.coalesce(v if isinstance(v, Column) else F.lit(float(v)), F.lit(0.0)).cast("double")
+    kept = loops.filter(F.col("length") >= as_column(omit))
+
+    @F.pandas_udf("xs array<double>, ys array<double>")
+    def fewer(xs: pd.Series, ys: pd.Series, most: pd.Series) -> pd.DataFrame:
+        found = [(x[stay], y[stay]) for x, y, t in zip(xs, ys, most) for stay in (simplified(y, x, t),)]
+        return pd.DataFrame(found, columns=["xs", "ys"])
+
+    return kept.withColumn("_few", fewer("xs", "ys", as_column(tolerance))).select(*[F.col(f"_few.{c}").alias(c) if c in ("xs", "ys") else F.col(c) for c in loops.columns])
+
+
 def side_of(y: np.ndarray, x: np.ndarray) -> int:
     """Which side of a cell leads from the first corner to the second."""
     dy, dx = np.sign(y[1] - y[0]), np.sign(x[1] - x[0])

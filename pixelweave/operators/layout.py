@@ -104,11 +104,13 @@ def _bodies(paths: DataFrame, layers: DataFrame) -> DataFrame:
     return layers.join(found, ["image_id", "layer"], "left").fillna({"body": ""})
 
 
-def layer_svg(paths: DataFrame, layers: DataFrame, marks: bool = False) -> DataFrame:
-    """One SVG text for each of ``layers(image_id, layer, width, height, width_mm, height_mm, fill)``; with ``marks`` in the corners if asked."""
+def layer_svg(paths: DataFrame, layers: DataFrame, marks: bool | Column = False) -> DataFrame:
+    """One SVG text for each of ``layers(image_id, layer, width, height, width_mm, height_mm, fill)``; with ``marks`` in the corners of all, or of those for which the column is true."""
     out = _bodies(paths, layers)
     head = F.format_string(HEADER, number(F.col("width_mm")), number(F.col("height_mm")), F.col("width").cast("int"), F.col("height").cast("int"))
-    corner = marks_svg(F.col("width"), F.col("height")) if marks else F.lit("")
+    corner = marks_svg(F.col("width"), F.col("height")) if marks is not False else F.lit("")
+    if isinstance(marks, Column):
+        corner = F.repeat(corner, F.coalesce(marks, F.lit(False)).cast("int"))  # a branch would keep its parts from being shared
     return out.select("image_id", "layer", F.concat(head, F.format_string(GROUP, safe_color(F.col("fill")), F.col("body")), corner, F.lit("</svg>\n")).alias("svg"))
 
 

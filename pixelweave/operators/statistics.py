@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,19 +23,23 @@ def image_stats(pixels: DataFrame) -> DataFrame:
     return base.join(tones, "image_id", "left").select("image_id", "mean", "std", F.coalesce("tone_count", F.lit(0)).cast("long").alias("tone_count"), "edge_density")
 
 
-def color_signals(pixels: DataFrame, width: int, height: int) -> DataFrame:
+def color_signals(pixels: DataFrame, width: int | Column, height: int | Column) -> DataFrame:
     """Shares of skin, sky and foliage, and the mean saturation; pixels of alpha under 16 are left out where alpha is given."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     luma = 0.299 * r + 0.587 * g + 0.114 * b
     cb = 128 - 0.168736 * r - 0.331264 * g + 0.5 * b
     cr = 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
-    box = (F.col("x") >= int(0.2 * width)) & (F.col("x") < -(-8 * width // 10)) & (F.col("y") >= int(0.06 * height)) & (F.col("y") < -(-8 * height // 10))
+    width, height = (F.lit(n) if isinstance(n, int) else n for n in (width, height))
+    upto = lambda n, hundredths: F.floor((n * hundredths + 99) / 100)
+    # fixed values: the box of faces, and the coefficients and cut-offs below
+    box = (F.col("x") >= F.floor(0.2 * width)) & (F.col("x") < upto(width, 80)) & (F.col("y") >= F.floor(0.06 * height)) & (F.col("y") < upto(height, 80))
     skin = (luma > 40) & cb.between(77, 127) & cr.between(133, 173)
     top = F.greatest(r, g, b)
     sky = (b == top) & (b > 120) & (b - r > 4)
     green = (g == top) & (g - r > 8) & (g - b > 8) & (g > 50)
     saturation = F.when(top > 0, (top - F.least(r, g, b)) / top).otherwise(0.0)
-    upper = F.col("y") < -(-42 * height // 100)
+    upper = F.col("y") < upto(height, 42)
+    # end of fixed values
     share = lambda where, what: F.coalesce(F.avg(F.when(where, what.cast("double"))), F.lit(0.0))
     solid = pixels.filter("a >= 16") if "a" in pixels.columns else pixels
     return solid.groupBy("image_id").agg(share(box, skin).alias("skin"), share(upper, sky).alias("sky"), share(F.lit(True), green).alias("green"), F.avg(saturation).alias("saturation"))

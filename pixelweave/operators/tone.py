@@ -74,20 +74,24 @@ def bilateral(pixels: DataFrame, radius: int, sigma_range: float = 32.0, sigma_s
     return each(pixels, "lum", "lum", lambda grid: smoothed(grid, radius, sigma_range, sigma_space or radius / 1.5)) if radius > 0 else pixels
 
 
-def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: float) -> np.ndarray:
+def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: float, at_once: int = 4_000_000) -> np.ndarray:
+    """Every pixel's neighbours as planes of one array, for so many rows at a time that it holds ``at_once`` numbers."""
     h, w = grid.shape
+    side = 2 * radius + 1
     near = np.exp(-(np.arange(256.0) ** 2) / (2 * sigma_range * sigma_range)).astype(np.float32).astype(float)
-    total, weight = np.zeros((h, w)), np.zeros((h, w))
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            to = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-            of = slice(max(0, dy), min(h, h + dy)), slice(max(0, dx), min(w, w + dx))
-            if to[0].start >= to[0].stop or to[1].start >= to[1].stop:
-                continue
-            share = np.float64(np.float32(np.exp(-(dx * dx + dy * dy) / (2 * sigma_space * sigma_space)))) * near[np.abs(grid[of] - grid[to])]
-            total[to] += share * grid[of]
-            weight[to] += share
-    return np.clip(np.rint(total / weight), 0, 255).astype(np.int32)
+    near = np.append(near, 0.0)  # what lies outside weighs nothing
+    d = np.arange(-radius, radius + 1)
+    space = np.exp(-(d[:, None] ** 2 + d[None] ** 2) / (2 * sigma_space * sigma_space)).astype(np.float32).astype(float).reshape(-1, 1, 1)
+    padded = np.full((h + 2 * radius, w + 2 * radius), -1, np.int32)
+    padded[radius : radius + h, radius : radius + w] = grid
+    out = np.empty((h, w), np.int32)
+    step = max(1, at_once // (side * side * max(1, w)))
+    for y in range(0, h, step):
+        rows = padded[y : y + min(step, h - y) + 2 * radius]
+        planes = np.lib.stride_tricks.sliding_window_view(rows, (side, side)).transpose(2, 3, 0, 1).reshape(side * side, -1, w)
+        share = space * near[np.where(planes < 0, 256, np.abs(planes - grid[y : y + step]))]
+        out[y : y + step] = np.clip(np.rint((share * planes).sum(0) / share.sum(0)), 0, 255)
+    return out
 
 
 def prepared_gray(pixels: DataFrame, width: int | Column, height: int | Column, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> DataFrame:

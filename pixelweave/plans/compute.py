@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.operators import bridges, layout, tone
+from pixelweave.operators import bridges, contours, layout, tone
 from pixelweave.operators.bridges import Build
 
 
@@ -43,7 +43,13 @@ def layers(gray_pixels: DataFrame, look: Look, levels: DataFrame | None = None)
 
 def work_masks(built: DataFrame) -> DataFrame:
     """image_id, layer, is_edge, y, x, ``open`` with the ties burnt."""
-    return bridges.burn(bridges.layer_pixels(built), bridges.layer_ties(built))
+    return bridges.layer_pixels(built, "work")
+
+
+def outlines(built: DataFrame, tolerance: float = 0.0, omit: float = 0.0) -> DataFrame:
+    """Outlines of the finished layers; those shorter than ``omit`` go, and corners within ``tolerance``."""
+    loops = contours.contours(bridges.open_cells(built))
+    return loops if tolerance <= 0 and omit <= 0 else contours.simplify(loops, tolerance, omit)
 
 
 def sheets(built: DataFrame, target_mm: float, colors: DataFrame | None = None) -> DataFrame:
@@ -54,11 +60,11 @@ def sheets(built: DataFrame, target_mm: float, colors: DataFrame | None = None)
     return out.join(colors.select("image_id", "layer", "fill"), ["image_id", "layer"], "left")
 
 
-def cut_files(built: DataFrame, target_mm: float, marks: bool = False, colors: DataFrame | None = None) -> DataFrame:
+def cut_files(built: DataFrame, target_mm: float, marks: bool = False, colors: DataFrame | None = None, tolerance: float = 0.0, omit: float = 0.0) -> DataFrame:
     """One SVG for each image and layer."""
-    return layout.layer_svg(layout.run_paths(work_masks(built)), sheets(built, target_mm, colors), marks)
+    return layout.layer_svg(contours.contour_paths(outlines(built, tolerance, omit)), sheets(built, target_mm, colors), marks)
 
 
-def proofs(built: DataFrame, target_mm: float, marks: bool = False, colors: DataFrame | None = None) -> DataFrame:
+def proofs(built: DataFrame, target_mm: float, marks: bool = False, colors: DataFrame | None = None, tolerance: float = 0.0, omit: float = 0.0) -> DataFrame:
     """One SVG for each image, all layers stacked."""
-    return layout.combined_svg(layout.run_paths(work_masks(built)), sheets(built, target_mm, colors), marks)
+    return layout.combined_svg(contours.contour_paths(outlines(built, tolerance, omit)), sheets(built, target_mm, colors), marks)

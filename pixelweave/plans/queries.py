@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.functions.lineage import checkpointed
 from pixelweave.functions.numbers import from_mm, to_mm
-from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, posterize, rules, statistics, tone
-from pixelweave.plans import compute
+from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, posterize, resample, rules, statistics, tone
+from pixelweave.plans import compute, runs
 from pixelweave.sources.rasters import SIDE, colors, ring_colors, ring_rasters, vector_rasters
 
 QUERIES, ORACLES = {}, {}
@@ -383,19 +384,22 @@ LOOK = compute.Look(layers=3, contrast=10, build=bridges.Build(edge_amount=50))
 def compute_layers(spark, sf_dir):
     """From colour to the open area of each finished layer."""
     gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
-    return compute.work_masks(compute.layers(gray, LOOK)).groupBy("image_id", "layer", "is_edge").agg(F.sum("open").alias("open_area"))
+    return compute.layers(gray, LOOK).groupBy("image_id", "layer", "is_edge").agg(F.sum("n_open").alias("open_area"))
+
+
+def _layers(spark, sf_dir):
+    """Built once: the layers feed outlines and sheets."""
+    return checkpointed(compute.layers(compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK), LOOK))
 
 
 @query()
 def cut_files(spark, sf_dir):
-    gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
-    return compute.cut_files(compute.layers(gray, LOOK), 300, marks=True)
+    return compute.cut_files(_layers(spark, sf_dir), 300, marks=True)
 
 
 @query()
 def zipped_files(spark, sf_dir):
-    gray = compute.gray(ring_colors(spark, sf_dir), SIDE, SIDE, LOOK)
-    return layout.zipped(compute.cut_files(compute.layers(gray, LOOK), 300)).select("image_id", F.length("content").alias("bytes"))
+    return layout.zipped(compute.cut_files(_layers(spark, sf_dir), 300)).select("image_id", F.length("content").alias("bytes"))
 
 
 TIES = """ties AS (SELECT p_partkey AS image_id, (p_size % 9)::DOUBLE AS x1, (p_size % 5)::DOUBLE AS y1, (p_size % 9 + p_partkey % 7)::DOUBLE AS x2, (p_size % 5 + p_partkey % 11)::DOUBLE AS y2, 1 + (p_partkey % 4)::DOUBLE AS width FROM part)"""
@@ -667,13 +671,98 @@ def preset_reason(spark, sf_dir):
     return d.select("image_id", rules.reason(F.col("preset"), label, F.col("top"), F.col("animal"), F.col("scene"), F.lit("alp")).alias("reason"))
 
 
-@query(f"""WITH {RINGS}, lu AS (SELECT *, CAST(greatest(0, least(255, round_even(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b, 0))) AS INT) AS lum FROM k), n AS (SELECT image_id, lum, count(*) AS n FROM lu GROUP BY ALL),
+IMAGE_SIGNALS = f"""{RINGS}, lu AS (SELECT *, CAST(greatest(0, least(255, round_even(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b, 0))) AS INT) AS lum FROM k), n AS (SELECT image_id, lum, count(*) AS n FROM lu GROUP BY ALL),
  tn AS (SELECT image_id, count(*) FILTER (n > 0.004 * {SIDE * SIDE}) AS tone_count FROM n GROUP BY ALL), st AS (SELECT image_id, stddev_pop(lum) AS std FROM lu GROUP BY ALL),
  sg AS (SELECT image_id, coalesce(avg(CASE WHEN x >= 4 AND x < 20 AND y >= 1 AND y < 20 THEN CASE WHEN 0.299 * r + 0.587 * g + 0.114 * b > 40 AND 128 - 0.168736 * r - 0.331264 * g + 0.5 * b BETWEEN 77 AND 127 AND 128 + 0.5 * r - 0.418688 * g - 0.081312 * b BETWEEN 133 AND 173 THEN 1.0 ELSE 0.0 END END), 0) AS skin,
-  coalesce(avg(CASE WHEN y < 11 THEN CASE WHEN b >= r AND b >= g AND b > 120 AND b - r > 4 THEN 1.0 ELSE 0.0 END END), 0) AS sky, avg(CASE WHEN g >= r AND g >= b AND g - r > 8 AND g - b > 8 AND g > 50 THEN 1.0 ELSE 0.0 END) AS green FROM k WHERE a >= 16 GROUP BY image_id)
- SELECT tn.image_id, {PICK} AS preset FROM tn JOIN st USING (image_id) LEFT JOIN sg USING (image_id)""")
+  coalesce(avg(CASE WHEN y < 11 THEN CASE WHEN b >= r AND b >= g AND b > 120 AND b - r > 4 THEN 1.0 ELSE 0.0 END END), 0) AS sky, avg(CASE WHEN g >= r AND g >= b AND g - r > 8 AND g - b > 8 AND g > 50 THEN 1.0 ELSE 0.0 END) AS green FROM k WHERE a >= 16 GROUP BY image_id)"""
+
+
+@query(f"WITH {IMAGE_SIGNALS} SELECT tn.image_id, {PICK} AS preset FROM tn JOIN st USING (image_id) LEFT JOIN sg USING (image_id)")
 def preset_for_image(spark, sf_dir):
     """The preset that an image's own tones and colours call for."""
     pixels = ring_colors(spark, sf_dir)
     stats = statistics.image_stats(tone.gray(pixels)).join(statistics.color_signals(pixels, SIDE, SIDE), "image_id", "left")
     return stats.select("image_id", rules.pick_preset().alias("preset"))
+
+
+# --- runs with parameters as rows
+
+ASKED = ("auto", "auto", "photo", "portrait", "poster", "lineart", "logo", "nosuch", None)
+STUFF = ("mylar", "vinyl", "card", "laser", "wood")
+
+
+def requests(spark, sf_dir) -> DataFrame:
+    """A request for each part's raster; what is null takes its default."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("s"))
+    pick = lambda values, i: F.get(F.array(*map(F.lit, values)), i.cast("int"))
+    some = lambda n, value, rest=0: F.when(F.col("k") % n == rest, value)
+    return p.select(
+        F.col("k").alias("image_id"), pick(ASKED, F.col("k") % 9).alias("preset"), pick(STUFF, F.col("s") % 5).alias("material"), some(4, F.col("s") % 3 + 1).alias("layers"), some(11, F.array(F.lit(200), F.lit(60), F.lit(130))).alias("thresholds"),
+        some(13, F.lit("none")).alias("bridgeMode"), some(7, F.lit(0.5)).alias("bridgeWidth"), (F.col("s") % 40 + 5).cast("double").alias("targetWidth"), pick(("cm", "in", "mm"), F.col("k") % 3).alias("unit"), some(6, F.lit(True)).alias("keepHighlights"),
+        some(5, F.lit(True)).alias("edges"), (F.col("s") % 3).cast("double").alias("minFeature"), some(8, F.lit(True)).alias("mirror"), some(8, F.lit(True), 4).alias("invert"), some(10, F.lit(0), 3).alias("smooth"), some(17, F.array(F.lit("#a1b2c3"), F.lit("red"), F.lit("x<y"))).alias("colors"),
+    )
+
+
+def _null(v) -> str:
+    return "NULL" if v is None else f"'{v}'"
+
+
+RUN_PARAMS = f"""WITH {IMAGE_SIGNALS}, ed AS (SELECT *, abs(lead(lum) OVER r - lag(lum) OVER r) + abs(lead(lum) OVER c - lag(lum) OVER c) AS step FROM lu WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+ mn AS (SELECT image_id, avg(lum) AS mean, avg(CASE WHEN x % 2 = 1 AND y % 2 = 1 THEN CASE WHEN step > 48 THEN 1.0 WHEN step <= 48 THEN 0.0 END END) AS edge_density FROM ed GROUP BY image_id),
+ rq AS (SELECT p_partkey AS image_id, p_partkey AS k, CAST(p_size AS INT) AS s, coalesce([{", ".join(map(_null, ASKED))}][p_partkey % 9 + 1], 'auto') AS wanted, [{", ".join(map(_null, STUFF))}][p_size % 5 + 1] AS material FROM part),
+ pk AS (SELECT rq.*, mn.mean, st.std, mn.edge_density, wanted = 'auto' AS auto, CASE WHEN wanted = 'auto' THEN {PICK} WHEN wanted = 'nosuch' THEN 'photo' ELSE wanted END AS preset
+  FROM rq JOIN tn USING (image_id) JOIN st USING (image_id) JOIN mn USING (image_id) LEFT JOIN sg USING (image_id)),
+ lk AS (SELECT *, CAST(CASE WHEN auto AND mean < 80 THEN floor(least(30.0, (80 - mean) * 0.5) + 0.5) WHEN auto AND mean > 185 THEN -floor(least(25.0, (mean - 185) * 0.5) + 0.5) ELSE 0 END AS INT) AS brightness,
+  CAST(least(100, {_preset_case(2, 0)} + CASE WHEN auto AND std < 40 THEN floor(least(30.0, (40 - std) * 1.2) + 0.5) ELSE 0 END) AS INT) AS contrast,
+  CAST(CASE WHEN k % 10 = 3 THEN 0 ELSE least(3, {_preset_case(3, 1)} + CASE WHEN auto AND edge_density > 0.16 THEN 1 ELSE 0 END) END AS INT) AS smooth,
+  CAST(CASE WHEN k % 4 = 0 THEN s % 3 + 1 ELSE {_preset_case(5, 2)} END AS INT) AS layers, CAST({_preset_case(4, 2)} AS INT) AS detail, {_preset_case(7, False)} AS levels, k % 5 = 0 OR {_preset_case(8, False)} AS edges, CAST({_preset_case(9, 35)} AS INT) AS edge_amount,
+  (s % 40 + 5)::DOUBLE * CASE k % 3 WHEN 0 THEN 10.0 WHEN 1 THEN 25.4 ELSE 1.0 END AS target_mm, CASE WHEN k % 7 = 0 THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END AS bridge FROM pk)
+ SELECT image_id, preset, brightness, contrast, smooth, layers, detail, levels AS "autoLevels", edges, edge_amount AS "edgeAmount", (s % 3)::DOUBLE AS "minFeature", round(target_mm, 6) AS target_mm, round(target_mm / {SIDE}, 6) AS mm_per_px,
+  CAST(greatest(1, floor(bridge / (target_mm / {SIDE}) + 0.5)) AS INT) AS bridge_px, CASE material WHEN 'card' THEN 45.0::DOUBLE WHEN 'laser' THEN 80.0::DOUBLE ELSE 65.0::DOUBLE END AS tie_spacing, CAST(CASE preset WHEN 'portrait' THEN 7 ELSE 4 END AS INT) AS span,
+  CASE detail WHEN 0 THEN 16.0::DOUBLE WHEN 1 THEN 9.0::DOUBLE WHEN 2 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS omit, CASE detail WHEN 0 THEN 1.4::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS tolerance FROM lk"""
+
+
+@query(RUN_PARAMS)
+def run_params(spark, sf_dir):
+    """What each image is made with: its preset, nudged and overruled, its material and scale."""
+    p = runs.resolve(requests(spark, sf_dir), ring_colors(spark, sf_dir))
+    return p.select("image_id", "preset", "brightness", "contrast", "smooth", "layers", "detail", "autoLevels", "edges", "edgeAmount", "minFeature", F.round("target_mm", 6).alias("target_mm"), F.round("mm_per_px", 6).alias("mm_per_px"), "bridge_px", "tie_spacing", "span", "omit", "tolerance")
+
+
+def _runs(spark, sf_dir):
+    pixels = ring_colors(spark, sf_dir)
+    params = checkpointed(runs.resolve(requests(spark, sf_dir), pixels))
+    return checkpointed(runs.build(pixels, params)), params
+
+
+@query()
+def run_summary(spark, sf_dir):
+    """Every image by its own request: layers, ties, cut area, thresholds and warning."""
+    return runs.summary(*_runs(spark, sf_dir))
+
+
+@query()
+def run_cut_files(spark, sf_dir):
+    """Every image by its own request: one SVG a layer, outlines simplified by its detail."""
+    return runs.cut_files(*_runs(spark, sf_dir))
+
+
+@query(f"""WITH v0 AS (SELECT p_partkey AS image_id, [40, 90, 160] AS thresholds FROM part), e AS (SELECT l_partkey AS image_id, l_orderkey * 8 + l_linenumber AS seq, CAST(l_suppkey % 5 - 1 AS INT) AS i, CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey % 256 AS INT) END AS value FROM lineitem WHERE l_linenumber < 4),
+ la AS (SELECT image_id, i, arg_max(value, {{'a': seq, 'b': value}}) AS value FROM e WHERE value IS NOT NULL GROUP BY ALL)
+ SELECT v0.image_id, list_transform(range(0, 3), lambda j: coalesce(list_extract(list_transform(list_filter(coalesce(n.every, []), lambda z: z.i = j), lambda z: z.value), 1), thresholds[j + 1])) AS thresholds
+ FROM v0 LEFT JOIN (SELECT image_id, list({{'i': i, 'value': value}}) AS every FROM la GROUP BY image_id) n USING (image_id)""")
+def threshold_edits(spark, sf_dir):
+    """Thresholds after single ones were set by hand, the last word for each."""
+    levels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.array(F.lit(40), F.lit(90), F.lit(160)).alias("thresholds"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber < 4")
+    edits = lines.select(F.col("l_partkey").alias("image_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 5 - 1).cast("int").alias("i"), F.when(F.col("l_linenumber") != 3, F.col("l_orderkey") % 256).cast("int").alias("value"))
+    return runs.on_threshold(levels, edits)
+
+
+@query(f"""WITH {RINGS}, z AS (SELECT *, CAST(5 + image_id % 40 AS BIGINT) AS nw, CAST(5 + image_id % 31 AS BIGINT) AS nh FROM k),
+ o AS (SELECT image_id, nw, nh, i, j, r, g, b, (least((x + 1) * nw, (j + 1) * {SIDE}) - greatest(x * nw, j * {SIDE})) * (least((y + 1) * nh, (i + 1) * {SIDE}) - greatest(y * nh, i * {SIDE})) AS share
+  FROM z, range(0, 45) a(j), range(0, 36) c(i) WHERE j BETWEEN x * nw // {SIDE} AND ((x + 1) * nw - 1) // {SIDE} AND i BETWEEN y * nh // {SIDE} AND ((y + 1) * nh - 1) // {SIDE})
+ SELECT image_id, CAST(nw AS INT) AS width, CAST(nh AS INT) AS height, CAST(i AS INT) AS y, CAST(j AS INT) AS x, {", ".join(f"CAST((2 * sum({c} * share) + {SIDE * SIDE}) // {2 * SIDE * SIDE} AS INT) AS {c}" for c in "rgb")} FROM o GROUP BY image_id, nw, nh, i, j""")
+def resize_area(spark, sf_dir):
+    """Rasters at other sizes, larger and smaller, by exact means of what each new pixel covers."""
+    return resample.resize_area(ring_colors(spark, sf_dir), 5 + F.col("image_id") % 40, 5 + F.col("image_id") % 31)

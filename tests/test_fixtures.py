@@ -9,6 +9,7 @@ from io import BytesIO
 
 import numpy as np
 import pytest
+from plain import plain_ties
 from pyspark.sql import functions as F
 
 from pixelweave.operators import bridges, components, layout, morphology, palettes, posterize, rules, statistics, tone
@@ -153,38 +154,6 @@ def test_number_of_ties():
     assert len(bridges.ties_of(square(24, 6), bridges.Options(mm_per_px=2.0))) == 1
 
 
-def plain_ties(g, label, count_of, most):
-    """Ties by a queue for each island, neighbour by neighbour."""
-    h, w = g.shape
-    sheet = (g == 0) & (label == 0)
-    out = []
-    for k in range(1, int(label.max()) + 1):
-        cells = [tuple(map(int, c)) for c in np.argwhere(label == k)]
-        cy, cx = sum(c[0] for c in cells) / len(cells), sum(c[1] for c in cells) / len(cells)
-        seen, queue, best = {}, [], {}
-        around = lambda p: [q for q in ((p[0], p[1] - 1), (p[0], p[1] + 1), (p[0] - 1, p[1]), (p[0] + 1, p[1])) if 0 <= q[0] < h and 0 <= q[1] < w]
-        for c in cells:
-            for q in around(c):
-                if g[q] and q not in seen:
-                    seen[q] = (1, c)
-                    queue.append(q)
-        for p in queue:
-            far, (oy, ox) = seen[p]
-            if far > most:
-                continue
-            for q in around(p):
-                if g[q] and q not in seen:
-                    seen[q] = (far + 1, (oy, ox))
-                    queue.append(q)
-                elif not g[q] and sheet[q]:
-                    n = count_of(k)
-                    sector = min(n - 1, int((math.atan2(oy - cy, ox - cx) + math.pi) / (2 * math.pi) * n))
-                    if sector not in best or far < best[sector][0]:
-                        best[sector] = (far, (k - 1, ox, oy, q[1], q[0]))
-        out += [t for _, t in best.values()]
-    return out
-
-
 @pytest.mark.parametrize("marks", [1 << 26, 500])
 def test_ties_by_search(monkeypatch, marks):
     """All islands at once, one to five sectors, with a short reach and a long one, in turns and not."""
