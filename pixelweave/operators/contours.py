@@ -257,6 +257,12 @@ def filled(loops: DataFrame) -> DataFrame:
     return rows.select(*own, "y", F.inline(runs)).filter("x1 < x2")
 
 
+def scaled(loops: DataFrame, factor: Column | float) -> DataFrame:
+    """Loops at another scale."""
+    times = factor if isinstance(factor, Column) else F.lit(float(factor))
+    return loops.select(*[F.transform(c, lambda v: v * times).alias(c) if c in ("xs", "ys") else F.col(c) for c in loops.columns])
+
+
 def filled_cells(loops: DataFrame) -> DataFrame:
     """The cells of :func:`filled`: keys, y, x."""
     return filled(loops).select(*keys(loops), "y", F.explode(F.sequence(F.col("x1"), F.col("x2") - 1)).alias("x"))

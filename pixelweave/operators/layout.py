@@ -124,10 +124,25 @@ def combined_svg(paths: DataFrame, layers: DataFrame, marks: bool = False) -> Da
     return out.select("image_id", F.concat(head, "groups", marks_svg(F.col("width"), F.col("height")) if marks else F.lit(""), F.lit("</svg>\n")).alias("svg"))
 
 
-def export_layers(svgs: DataFrame, path: str) -> None:
-    """Writes ``layer_svg`` rows as one text file for each layer, below ``image_id=…/file=layer-N.svg``."""
-    named = svgs.select("image_id", F.concat(F.lit("layer-"), F.col("layer") + 1, F.lit(".svg")).alias("file"), F.regexp_replace("svg", "\\n$", "").alias("value"))
-    named.write.partitionBy("image_id", "file").mode("overwrite").text(path)
+def export_layers(svgs: DataFrame, path: str, overwrite: bool = True) -> None:
+    """Writes ``layer_svg`` rows as files ``<image_id>/layer-N.svg``."""
+    from pixelweave.sources.files import write_files
+
+    name = F.concat(_folder("image_id"), F.lit("/layer-"), F.col("layer") + 1, F.lit(".svg"))
+    write_files(svgs.select(name.alias("name"), F.col("svg").alias("content")), path, overwrite)
+
+
+def export_zips(zips: DataFrame, path: str, overwrite: bool = True) -> None:
+    """Writes ``zipped`` rows as files ``<image_id>.zip``."""
+    from pixelweave.sources.files import write_files
+
+    write_files(zips.select(F.concat(_folder("image_id"), F.lit(".zip")).alias("name"), "content"), path, overwrite)
+
+
+def _folder(column: str) -> Column:
+    """A name without folders for an id: all but plain letters, digits, dots and dashes percent-encoded; null is ``null``."""
+    encoded = F.url_encode(F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    return F.regexp_replace(F.regexp_replace(encoded, r"^\.", "%2E"), "^_", "%5F")
 
 
 def zipped(svgs: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.functions.lineage import checkpointed
+from pixelweave.functions.lineage import checkpointed, shared_folder
 from pixelweave.functions.numbers import from_mm, to_mm
-from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, posterize, resample, rules, statistics, tone
+from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, pictures, posterize, resample, rules, statistics, tone
 from pixelweave.plans import compute, runs
-from pixelweave.sources.rasters import SIDE, colors, ring_colors, ring_rasters, vector_rasters
+from pixelweave.sources.files import write_files
+from pixelweave.sources.rasters import SIDE, colors, image_folder, ring_colors, ring_rasters, vector_rasters
 
 QUERIES, ORACLES = {}, {}
 
@@ -766,3 +769,30 @@ def threshold_edits(spark, sf_dir):
 def resize_area(spark, sf_dir):
     """Rasters at other sizes, larger and smaller, by exact means of what each new pixel covers."""
     return resample.resize_area(ring_colors(spark, sf_dir), 5 + F.col("image_id") % 40, 5 + F.col("image_id") % 31)
+
+
+# --- files
+
+
+def _as_files(pictures_: DataFrame) -> DataFrame:
+    """Pictures (image_id, content) written as files and read again, with their number for an id."""
+    spark = pictures_.sparkSession
+    path = f"{shared_folder(spark)}/pictures-{uuid.uuid4().hex}"
+    write_files(pictures_.select(F.concat(F.lit("image "), "image_id", F.lit(".png")).alias("name"), "content"), path)
+    return image_folder(spark, path).withColumn("image_id", F.regexp_extract("image_id", r"image (\d+)\.png$", 1).cast("long"))
+
+
+@query(f"WITH {RINGS} SELECT image_id, {SIDE} AS width, {SIDE} AS height, y, x, CAST(r AS SMALLINT) AS r, CAST(g AS SMALLINT) AS g, CAST(b AS SMALLINT) AS b, CAST(a AS SMALLINT) AS a FROM k")
+def image_files(spark, sf_dir):
+    """Rasters written as PNG files, by one commit, and decoded from them."""
+    return _as_files(pictures.encoded(ring_colors(spark, sf_dir)))
+
+
+@query(f"WITH {MASK} SELECT image_id, CAST(4 * sum(open) AS BIGINT) AS painted, CAST(sum(open * (8 * x + 2)) AS BIGINT) AS sum_x, CAST(sum(open * (8 * y + 2)) AS BIGINT) AS sum_y FROM m GROUP BY image_id")
+def png_preview(spark, sf_dir):
+    """Outlines painted at twice their size, decoded from the files: where and how much."""
+    loops = contours.contours(ring_mask(spark, sf_dir).withColumn("layer", F.lit(0)))
+    sheets = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.lit(0).alias("layer"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.lit("#336699").alias("fill"))
+    shown = _as_files(pictures.preview(loops, sheets, 2 * SIDE, 2 * SIDE))
+    hit = ((F.col("r") == 0x33) & (F.col("g") == 0x66) & (F.col("b") == 0x99)).cast("long")
+    return shown.groupBy("image_id").agg(F.sum(hit).alias("painted"), F.sum(hit * F.col("x")).alias("sum_x"), F.sum(hit * F.col("y")).alias("sum_y"))

@@ -121,7 +121,7 @@ def build(pixels: DataFrame, params: DataFrame) -> DataFrame:
             b = bridges.Build(p["minFeature"], p["bridge_px"], p["mm_per_px"], p["tie_spacing"], p["bridgeMode"] != "none", p["keepHighlights"], p["edgeAmount"] if p["edges"] else None, p["span"])
             found = bridges.built(lum, levels, b)
         key = request["image_id"]
-        ids = lambda n: {"image_id": pa.array([key[0].as_py()] * n if n else [], key.type), "flat": pa.array([flat] * n), "thresholds": pa.array([levels] * n, pa.list_(pa.int32()))}
+        ids = lambda n: {"image_id": pa.array([key[0].as_py()] * n if n else [], key.type), "flat": pa.array([flat] * n, pa.bool_()), "thresholds": pa.array([levels] * n, pa.list_(pa.int32()))}
         return pa.table(bridges.layer_lines(ids, found, *size))
 
     kind = params.schema["image_id"].dataType.simpleString()

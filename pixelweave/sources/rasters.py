@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import byte
@@ -14,17 +14,37 @@ SIDE = 24
 MOST_BYTES, MOST_PIXELS = 40 << 20, 40_000_000
 
 
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    """Files below ``path`` that are small enough, decoded; the limit on bytes prunes the listing, so that larger ones are not read."""
+    read = spark.read.format("image").option("recursiveFileLookup", True).load(path)
+    where = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # it is percent-encoded
+    return read.filter(F.col("_metadata.file_size") <= MOST_BYTES).select(where.alias("image_id"), F.col("_metadata.file_size").alias("bytes"), "image.width", "image.height", "image.nChannels", "image.data")
+
+
+def _status() -> Column:
+    return F.when(F.col("width") < 1, "unreadable").when(F.col("width").cast("long") * F.col("height") > MOST_PIXELS, "pixels").when(~F.col("nChannels").isin(1, 3, 4), "channels").otherwise("ok")
+
+
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path``: image_id (its whole name), bytes, width, height and ``status``.
+
+    ``ok``; ``bytes`` or ``pixels``: too many; ``unreadable``: not a picture that can be decoded;
+    ``channels``: neither gray nor colour. Files without a byte are not listed. Only ``ok`` ones come from :func:`image_folder`.
+    """
+    large = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") > MOST_BYTES)
+    where = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    unread = large.select(where.alias("image_id"), F.col("length").alias("bytes"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit("bytes").alias("status"))
+    known = F.col("width") >= 1
+    return _images(spark, path).select("image_id", "bytes", *[F.when(known, F.col(c)).alias(c) for c in ("width", "height")], _status().alias("status")).union(unread)
+
+
 def image_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Columns image_id (the file), width, height, y, x, r, g, b, a of the images below ``path``.
+    """Columns image_id (the file's whole name), width, height, y, x, r, g, b, a of the images below ``path``.
 
-    Files that are too large or can't be decoded are left out. Files are listed with their sizes first,
-    so that large ones are not decoded; a raster is emitted in parts of 2**18 pixels.
+    Files that are too large or can't be decoded are left out; :func:`image_files` tells which. A
+    raster is emitted in parts of 2**18 pixels.
     """
-    where = F.regexp_replace(F.regexp_replace(F.col("at"), "^file:/+", "file:/"), "%20", " ")
-    small = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("length") <= MOST_BYTES).select(F.col("path").alias("at")).select(where.alias("at"))
-    read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(path).select("image.*")
-    read = read.withColumn("at", F.col("origin")).withColumn("at", where).join(small, "at", "left_semi").drop("at")
-    read = read.filter((F.col("nChannels").isin(1, 3, 4)) & (F.col("width").cast("long") * F.col("height") <= MOST_PIXELS))
+    read = _images(spark, path).filter(_status() == "ok")
 
     def pixels(batches):
         import numpy as np
@@ -33,15 +53,14 @@ def image_folder(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 w, h, n = row["width"], row["height"], row["nChannels"]
-                p = np.frombuffer(row["data"], np.uint8).reshape(h * w, n).astype(np.int16)
-                b, g, r = (p[:, min(i, n - 1)] for i in range(3))
-                a = p[:, 3] if n == 4 else np.full(h * w, 255, np.int16)
-                at = np.arange(h * w)
+                p = np.frombuffer(row["data"], np.uint8).reshape(h * w, n)
                 for i in range(0, h * w, 1 << 18):
-                    s = slice(i, i + (1 << 18))
-                    m = len(at[s])
-                    cols = [pa.array([row["origin"]] * m), pa.array([w] * m, pa.int32()), pa.array([h] * m, pa.int32()), pa.array((at[s] // w).astype(np.int32)), pa.array((at[s] % w).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(c[s]) for c in (r, g, b, a)], names=["image_id", "width", "height", "y", "x", "r", "g", "b", "a"])
+                    part = p[i : i + (1 << 18)].astype(np.int16)
+                    at = np.arange(i, i + len(part))
+                    b, g, r = (part[:, min(c, n - 1)] for c in range(3))
+                    a = part[:, 3] if n == 4 else np.full(len(part), 255, np.int16)
+                    cols = [pa.array([row["image_id"]] * len(part)), pa.array([w] * len(part), pa.int32()), pa.array([h] * len(part), pa.int32()), pa.array((at // w).astype(np.int32)), pa.array((at % w).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols + [pa.array(c) for c in (r, g, b, a)], names=["image_id", "width", "height", "y", "x", "r", "g", "b", "a"])
 
     return read.mapInArrow(pixels, "image_id string, width int, height int, y int, x int, r short, g short, b short, a short")
 

@@ -364,8 +364,9 @@ def test_svg(spark, tmp_path):
     both = layout.combined_svg(paths, sheets).first().svg
     assert both.count("<g ") == 3 and "<script" not in both
     layout.export_layers(svgs, str(tmp_path / "out"))
-    (file,) = (tmp_path / "out" / "image_id=1" / "file=layer-1.svg").glob("*.txt")
-    assert file.read_text() == by[0]
+    assert {str(f.relative_to(tmp_path / "out")): f.read_text() for f in (tmp_path / "out").rglob("*.svg")} == {f"1/layer-{i + 1}.svg": by[i] for i in range(3)}
+    layout.export_zips(layout.zipped(svgs), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "1.zip").read_bytes() == layout.zipped(svgs).first().content
     with zipfile.ZipFile(BytesIO(layout.zipped(svgs).first().content)) as z:
         assert z.namelist() == ["layer-1.svg", "layer-2.svg", "layer-3.svg"] and z.read("layer-2.svg").decode() == by[1]
 
@@ -399,7 +400,7 @@ def test_image_folder(spark, tmp_path):
     (tmp_path / "broken.png").write_bytes(b"no image")
     found = {}
     for r in image_folder(spark, str(tmp_path)).collect():
-        found.setdefault(os.path.basename(r.image_id.replace("%20", " ")), {})[r.y, r.x] = (r.width, r.height, r.r, r.g, r.b, r.a)
+        found.setdefault(os.path.basename(r.image_id), {})[r.y, r.x] = (r.width, r.height, r.r, r.g, r.b, r.a)
     assert set(found) == {"gray.png", "with space.png", "alpha.png"}
     assert found["gray.png"] == {(0, 0): (2, 1, 7, 7, 7, 255), (0, 1): (2, 1, 200, 200, 200, 255)}
     assert found["with space.png"] == {(0, 0): (1, 2, 1, 2, 3, 255), (1, 0): (1, 2, 250, 0, 9, 255)}
