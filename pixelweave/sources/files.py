@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,11 +29,13 @@ class FilesWriter(DataSourceWriter):
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = path.rstrip("/"), overwrite, f"_files-{uuid.uuid4().hex}"
+        system, base = files_at(self.path)
+        system.create_dir(f"{base}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator) -> Staged:
         system, base = files_at(self.path)
         own, names, seen = f"{base}/{self.job}/{uuid.uuid4().hex}", [], set()
-        system.create_dir(own, recursive=True)
+        system.create_dir(own, recursive=False)  # fails once the job's folder is gone, so that a late task leaves nothing
         for i, row in enumerate(iterator):
             name = row["name"]
             if not name or name.startswith(("/", "_")) or ".." in name.split("/"):
@@ -65,8 +68,13 @@ class FilesWriter(DataSourceWriter):
 
     def abort(self, messages: list[Staged | None]) -> None:
         system, base = files_at(self.path)
-        if system.get_file_info(f"{base}/{self.job}").type.name == "Directory":
-            system.delete_dir(f"{base}/{self.job}")
+        for attempt in range(10):
+            if system.get_file_info(f"{base}/{self.job}").type.name != "Directory":
+                return
+            try:
+                system.delete_dir(f"{base}/{self.job}")
+            except OSError:  # a task that was just writing
+                time.sleep(0.1 * attempt)
 
 
 class Files(DataSource):
