@@ -688,6 +688,19 @@ def preset_for_image(spark, sf_dir):
     return stats.select("image_id", rules.pick_preset().alias("preset"))
 
 
+@query(ORACLES["component_labels"].replace("m.open, CAST", "CAST"))
+def component_labels_by_tile(spark, sf_dir):
+    """Labels of rasters cut into nine tiles each."""
+    return components.components_by_tile(ring_mask(spark, sf_dir), tile=10)
+
+
+@query(ORACLES["islands"])
+def islands_by_tile(spark, sf_dir):
+    """Islands of rasters cut into nine tiles each."""
+    found = components.islands_by_tile(ring_mask(spark, sf_dir), tile=10)
+    return found.select("image_id", "label", "size", "sum_x", "sum_y", "cx", "cy")
+
+
 # --- runs with parameters as rows
 
 ASKED = ("auto", "auto", "photo", "portrait", "poster", "lineart", "logo", "nosuch", None)
