@@ -1,6 +1,7 @@
 """Operators learn from, and keep, all of what they are given."""
 
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,29 @@ def test_names_count_as_a_whole(spark):
     assert extracted(spark, rows) == {1: "Search\n\nMethods", 2: "Search\n\nMethods", 3: "Text"}
 
 
+def test_articles_stay_and_furniture_goes(spark):
+    bodies = {
+        '<article class="post" data-comment-count="12"><p>a</p></article>': "a",
+        '<article class="post allow-comments"><p>a</p></article><p>next to it</p>': "a",
+        '<p>One</p><svg viewBox="0 0 1 1"/><p>Two</p><math/><p>Three</p>': "One\n\nTwo\n\nThree",
+        '<article><div class="search"><p>real</p></div><p class="related">too</p><section class="comments"><p>c</p></section><article class="comment"><p>d</p></article></article>': "real\n\ntoo",
+    }
+    bodies |= {f"<div {n}><p>gone</p></div><p>text</p>": "text" for n in ('class="post-comments"', 'id="comments-section"', 'class="main-navigation"', 'class="advert-box"', 'id="sidebar-right"', 'class="sidebar__inner"')}
+    bodies |= {f"<div {n}><p>text</p></div>": "text" for n in ('class="has-sidebar"', 'class="content-sidebar-wrap"', 'class="no-sidebar content"', 'id="page-content"')}
+    rows = [page(i, f"http://host{i}.x/", b) for i, b in enumerate(bodies)]
+    assert extracted(spark, rows) == dict(enumerate(bodies.values()))
+
+
+def test_deep_pages_take_little_time(spark):
+    deep = 20_000
+    for body in ("<div>" * deep + "text", "<div>a" * deep, "<div>" * deep + "</p>" * deep + "text", "<article>" * deep + "text"):
+        began = time.process_time()
+        assert html_text.parsed(body).blocks
+        assert time.process_time() - began < 2
+    (r,) = html_text.extract(spark.createDataFrame([(1, None, "<div>a" * 3000, "clash", "clash")], "page_id long, url string, html string, row string, BLOCKS string")).collect()
+    assert r.text == "\n\n".join("a" * 3000) and (r.row, r.BLOCKS) == ("clash", "clash")
+
+
 def test_no_language_drops_out(spark):
     rows = [("en", f"the cat sat on the mat with number {x}") for x in "abcdefghij"]
     rows += [("fi", "kissa istui matolla ja nukkui")] * 3_000 + [("de", "die katze sitzt auf der matte und " * 700)]
