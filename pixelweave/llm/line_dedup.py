@@ -396,15 +396,16 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """Each row with the lines left in its text, ``n_lines`` before and ``n_removed``."""
-    base = without(docs, [f.name for f in FIELDS] + ["_d", "_u", "_gone"])
-    gone = removed_lines(base, doc_id, text, threshold, hot).select(F.col("d").alias("_d"), F.col("u").alias("_u"), F.col("lines").alias("_gone"))
-    both = keyed(base, doc_id, text).join(gone, ["_d", "_u"], "left").select(*[column(c) for c in base.columns], "_gone")
-    at, by = both.columns.index("_gone"), base.columns.index(text)
+    base = without(docs, [f.name for f in FIELDS])
+    rest = [c for c in base.columns if c != text]
+    rows = base.select(F.struct(*map(column, rest)).alias("row"), column(doc_id).alias("doc_id"), column(text).alias("text"))  # so that no name of theirs meets one of ours
+    gone = removed_lines(rows, "doc_id", "text", threshold, hot).select(F.col("d").alias("_d"), F.col("u").alias("_u"), F.col("lines").alias("gone"))
+    both = keyed(rows, "doc_id", "text").join(gone, ["_d", "_u"], "left").select("row", "text", "gone")
 
     def kernel():
         def run(part: pa.RecordBatch) -> list:
             texts, n, less = [], [], []
-            for t, gone in zip(part.column(by).to_pylist(), part.column(at).to_pylist(), strict=True):
+            for t, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 lines = [] if t is None else t.split("\n")
                 n.append(len(lines))
                 less.append(len(gone or ()))
@@ -416,5 +417,5 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
 
         return run
 
-    out = attach(both, [T.StructField("_text", T.StringType()), *FIELDS], kernel, text)
-    return out.select(*[F.col("_text").alias(c) if c == text else column(c) for c in base.columns], *[f.name for f in FIELDS])
+    out = attach(both, [T.StructField("left", T.StringType()), *FIELDS], kernel, "text")
+    return out.select(*[F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in base.columns], *[f.name for f in FIELDS])

@@ -55,6 +55,20 @@ def test_edges(docs, labels, items, name):
         assert (by[1], by[2], by[3], by[None]) == ("the cat sat\non the mat", None, "", "")
 
 
+#: Names that operators use inside, and results in capitals.
+INNER = "_text _d _u _gone row gone left doc d u s n x y id _blocks _around _page _items _spans _fp _own hash host page ids piece N_LINES SCORE KEPT FP COMPONENT_ID CONTAMINATED LANG_PRED".split()
+
+
+@pytest.mark.parametrize("name", ["lines", "toxicity", "langid", "decontaminate", "rules"])
+def test_extra_columns_stay(spark, labels, items, name):
+    """Extra columns of whatever name are neither lost nor in the way, but those named as a result."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in INNER})
+    found = OPERATORS[name](df, labels, items)
+    assert found.count() == len(ROWS)
+    kept = [c for c in INNER if c in found.columns]
+    assert {*INNER} - {*kept} <= {c for c in INNER if c.isupper()} and all(r[c] == "clash" for r in found.select(kept).collect() for c in kept)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty(docs, labels, items, name):
     assert OPERATORS[name](docs.limit(0), labels.limit(0), items.limit(0)).collect() == []
