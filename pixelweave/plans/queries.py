@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.lineage import checkpointed, shared_folder
 from pixelweave.functions.numbers import from_mm, to_mm
-from pixelweave.operators import bridges, components, contours, layout, morphology, palettes, pictures, posterize, resample, rules, statistics, tone
+from pixelweave.operators import bridges, components, contours, edits, layout, morphology, palettes, pictures, posterize, resample, rules, statistics, tone
 from pixelweave.plans import compute, runs
 from pixelweave.sources.files import write_files
 from pixelweave.sources.rasters import SIDE, colors, image_folder, ring_colors, ring_rasters, vector_rasters
@@ -809,3 +809,55 @@ def png_preview(spark, sf_dir):
     shown = _as_files(pictures.preview(loops, sheets, 2 * SIDE, 2 * SIDE))
     hit = ((F.col("r") == 0x33) & (F.col("g") == 0x66) & (F.col("b") == 0x99)).cast("long")
     return shown.groupBy("image_id").agg(F.sum(hit).alias("painted"), F.sum(hit * F.col("x")).alias("sum_x"), F.sum(hit * F.col("y")).alias("sum_y"))
+
+
+# --- edits and inputs
+
+
+def edit_log(spark, sf_dir) -> DataFrame:
+    """Events as edits: what a user does to a drawing of theirs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, v = F.col("event_id"), F.col("value")
+    action = F.get(F.array(*map(F.lit, ("add", "add", "move", "delete", "undo", "undo", "redo", "add"))), (k % 8).cast("int"))
+    return e.select(F.col("user_id").alias("drawing"), F.col("ts").alias("at"), k.alias("seq"), action.alias("action"), (k % 5).cast("int").alias("place"), v.alias("x1"), (v * 2).alias("y1"), (v + 1).alias("x2"), (k % 97).cast("double").alias("y2"), F.lit(4.0).alias("width"))
+
+
+@query()
+def edit_replay(spark, sf_dir):
+    """Ties of each drawing after all edits, undone and redone ones included."""
+    return edits.replay(edit_log(spark, sf_dir)).drop("ties")
+
+
+#: Bursts of events of a user, as events lie hours apart.
+BURST = "6 hours"
+
+
+def inputs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("control"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "value")
+
+
+def _told(bursts: DataFrame) -> DataFrame:
+    """Times as the events have them, without a zone."""
+    return bursts.select("control", F.col("begun").cast("timestamp_ntz").alias("begun"), F.col("due").cast("timestamp_ntz").alias("due"), "inputs", "last.seq", "last.value")
+
+
+BURSTS = """e AS (SELECT user_id, ts, event_id, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM e),
+ b AS (SELECT user_id AS control, min(ts) AS begun, max(ts) + INTERVAL 6 HOURS AS due, count(*) AS inputs, arg_max(event_id, {'a': ts, 'b': event_id}) AS seq, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM n GROUP BY user_id, burst)"""
+
+
+@query(f"WITH {BURSTS} SELECT * FROM b")
+def settled_inputs(spark, sf_dir):
+    """The input that counts of each burst."""
+    found = edits.settled(inputs(spark.read.parquet(f"{sf_dir}/events.parquet")), BURST)
+    return _told(found)
+
+
+@query(f"WITH {BURSTS} SELECT b.* FROM b, (SELECT date_trunc('milliseconds', max(ts)) AS seen FROM events) WHERE due <= seen")
+def settled_stream(spark, sf_dir):
+    """The same over a stream of files, run to its end: bursts that are over by the last event."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    at = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    stream = edits.settled(inputs(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")), BURST)
+    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return _told(spark.read.schema(stream.schema).parquet(f"{at}/rows"))
