@@ -50,7 +50,7 @@ def plain(m):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [512, 7, 1])
+@pytest.mark.parametrize("tile", [512, 7])
 def test_loops(spark, tile):
     found = contours.contours(cells(spark), tile=tile).collect()
     for i, m in enumerate(masks()):
