@@ -765,14 +765,14 @@ def run_cut_files(spark, sf_dir):
 
 @query(f"""WITH v0 AS (SELECT p_partkey AS image_id, [40, 90, 160] AS thresholds FROM part), e AS (SELECT l_partkey AS image_id, l_orderkey * 8 + l_linenumber AS seq, CAST(l_suppkey % 5 - 1 AS INT) AS i, CASE WHEN l_linenumber <> 3 THEN CAST(l_orderkey % 256 AS INT) END AS value FROM lineitem WHERE l_linenumber < 4),
  la AS (SELECT image_id, i, arg_max(value, {{'a': seq, 'b': value}}) AS value FROM e WHERE value IS NOT NULL GROUP BY ALL)
- SELECT v0.image_id, list_transform(range(0, 3), lambda j: coalesce(list_extract(list_transform(list_filter(coalesce(n.every, []), lambda z: z.i = j), lambda z: z.value), 1), thresholds[j + 1])) AS thresholds
- FROM v0 LEFT JOIN (SELECT image_id, list({{'i': i, 'value': value}}) AS every FROM la GROUP BY image_id) n USING (image_id)""")
+ SELECT image_id, thresholds[1] AS t1, thresholds[2] AS t2, thresholds[3] AS t3 FROM (SELECT v0.image_id, list_transform(range(0, 3), lambda j: coalesce(list_extract(list_transform(list_filter(coalesce(n.every, []), lambda z: z.i = j), lambda z: z.value), 1), thresholds[j + 1])) AS thresholds
+ FROM v0 LEFT JOIN (SELECT image_id, list({{'i': i, 'value': value}}) AS every FROM la GROUP BY image_id) n USING (image_id))""")
 def threshold_edits(spark, sf_dir):
     """Thresholds after single ones were set by hand, the last word for each."""
     levels = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.array(F.lit(40), F.lit(90), F.lit(160)).alias("thresholds"))
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber < 4")
-    edits = lines.select(F.col("l_partkey").alias("image_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 5 - 1).cast("int").alias("i"), F.when(F.col("l_linenumber") != 3, F.col("l_orderkey") % 256).cast("int").alias("value"))
-    return runs.on_threshold(levels, edits)
+    changes = lines.select(F.col("l_partkey").alias("image_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), (F.col("l_suppkey") % 5 - 1).cast("int").alias("i"), F.when(F.col("l_linenumber") != 3, F.col("l_orderkey") % 256).cast("int").alias("value"))
+    return runs.on_threshold(levels, changes).select("image_id", *[F.col("thresholds")[i].alias(f"t{i + 1}") for i in range(3)])
 
 
 @query(f"""WITH {RINGS}, z AS (SELECT *, CAST(5 + image_id % 40 AS BIGINT) AS nw, CAST(5 + image_id % 31 AS BIGINT) AS nh FROM k),
