@@ -9,8 +9,9 @@ edges within the radius. Trees grow with the data, so they aren't broadcast as a
 tree meets its searches in one task. A shard beyond ``most`` is keyed once more by sub-bands of
 its other bits, which again loses no pair.
 
-Only distinct fingerprints enter the trees, and a shard returns at most one link for each of them
-(to a tree node that is connected to it), never all pairs. Components come from
+Only distinct fingerprints enter the trees, and a shard returns one link for each component that a
+fingerprint joins, never all pairs. A search passes by the subtrees whose values are all in its own
+component already, so that a shard of near copies of one text takes no quadratic time. Components come from
 :func:`pixelweave.llm._graph.components`.
 
 Cases: a null or blank text has fingerprint zero and links like any other; fewer than three words
@@ -72,53 +73,67 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFra
 
 
 class BKTree:
-    """Nodes are [value, {distance: child}]."""
+    """Values by their distance to the parent, and which of them are connected within the radius.
 
-    def __init__(self) -> None:
-        self.root: list | None = None
+    A node is [value, {distance: child}, whole]; ``whole`` says that its subtree is one component. A value
+    that already belongs to that component need not look there, so dense groups cost no pairs.
+    """
 
-    def add(self, value: int, radius: int = RADIUS) -> list[int]:
-        """Insert a value; gives the values already there that lie within the radius."""
+    def __init__(self, radius: int = RADIUS) -> None:
+        self.radius, self.root = radius, None
+        self.over: dict[int, int] = {}
+        #: Differences of an edge to a distance that a search follows, the largest first.
+        self.edges = sorted(range(-radius, radius + 1), key=lambda k: -abs(k))
+
+    def component(self, value: int) -> int:
+        over = self.over
+        while over[value] != value:
+            over[value] = over[over[value]]
+            value = over[value]
+        return value
+
+    def add(self, value: int) -> list[int]:
+        """Insert a value; gives one value of each component that it touches (all are one component from then on)."""
+        over, radius, component = self.over, self.radius, self.component
+        over[value] = own = value
         if self.root is None:
-            self.root = [value, {}]
+            self.root = [value, {}, True]
             return []
-        found, place, to_see = [], None, [self.root]
+        found, to_see = [], [self.root]
+        while to_see:
+            at = to_see.pop()
+            other = component(at[0])
+            if at[2] and other == own:
+                continue
+            d = (value ^ at[0]).bit_count()
+            if d <= radius:
+                if other != own:
+                    found.append(at[0])
+                    over[other] = own
+                if at[2]:
+                    continue
+            if at[1]:
+                for k in self.edges:  # the likeliest child is pushed last and so seen first
+                    if (child := at[1].get(d + k)) is not None:
+                        to_see.append(child)
         node, d = self.root, (value ^ self.root[0]).bit_count()
+        path = [node]
         while d in node[1]:
             node = node[1][d]
+            path.append(node)
             d = (value ^ node[0]).bit_count()
-        place = (node, d)
-        while to_see:
-            node = to_see.pop()
-            d = (value ^ node[0]).bit_count()
-            if d <= radius:
-                found.append(node[0])
-            for k, child in node[1].items():
-                if d - radius <= k <= d + radius:
-                    to_see.append(child)
-        if place[1]:
-            place[0][1][place[1]] = [value, {}]
+        if d:
+            node[1][d] = [value, {}, True]
+        for at in reversed(path):
+            same = component(at[0])
+            at[2] = (at[2] and same == own) or all(x[2] and component(x[0]) == same for x in at[1].values())
         return found
 
 
 def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that connect what lies within the radius in one shard: one at most for each value and root."""
-    tree, over = BKTree(), {}
-
-    def root(x: int) -> int:
-        while over.setdefault(x, x) != x:
-            over[x] = over[over[x]]
-            x = over[x]
-        return x
-
-    out = []
-    for v in values:
-        for near in tree.add(v, radius):
-            a, b = root(near), root(v)
-            if a != b:
-                over[max(a, b)] = min(a, b)
-                out.append((v, near))
-    return out
+    """Links that connect what lies within the radius in one shard: one at most for each value and component."""
+    tree = BKTree(radius)
+    return [(v, near) for v in values for near in tree.add(v)]
 
 
 def bands(n: int) -> int:
