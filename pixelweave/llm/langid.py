@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pixelweave.llm._common import attach, chunks, column, sampled
 
 ORDER = 4
-BITS = 12
+BITS = 16
 SPACE, EDGE = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Scales of the confidence that are tried.
@@ -47,13 +47,16 @@ FIELDS = [
 
 @cache
 def symbols() -> np.ndarray:
-    """12-bit symbol of each code point: a letter's lower case (hashed beyond the first 4,000), else space."""
+    """16-bit symbol of each code point: a letter's lower case, else space.
+
+    Every letter of the basic plane has its own symbol; those beyond share the 6,400 private numbers there.
+    """
     out = np.zeros(0x110000, np.uint16)
-    for c in range(65, 0x30000):
+    for c in range(65, 0x40000):
         s = chr(c)
         if s.isalpha():
             low = ord(s.lower()[0])
-            out[c] = low if low < 4000 else 4000 + low % 95
+            out[c] = low if low < 0x10000 else 0xE000 + low % 6400
     return out
 
 
