@@ -4,8 +4,8 @@ Features are the byte n-grams of three to six characters of the lower-cased text
 or absent. Each is scaled by its log-count ratio between toxic and clean documents; features
 whose ratio is not beyond chance are dropped, and a logistic regression over the scaled rest is
 fitted by gradient descent. Document frequencies are summed in Spark; the regression runs on the
-driver over a bounded sample (``most`` documents of each label of at most ``longest`` characters)
-of which only selected features are collected.
+driver over a bounded sample (about ``most`` documents of each label, of any length) of which only
+selected features are collected.
 
 Cases: null and empty texts have no features and the score of the intercept; null labels are left
 out, several labels of a document count as toxic if any does; without labels of both kinds every
@@ -83,7 +83,7 @@ def frequencies(rows: DataFrame) -> DataFrame:
     return rows.select("label", "text").mapInArrow(run, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", most: int = 4000, longest: int = 50_000, features: int = 4000, beyond: float = 5.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", most: int = 4000, features: int = 4000, beyond: float = 5.0) -> Model | None:
     """A model from ``labels(doc_id, <label>)`` and their documents, or nothing without both labels."""
     marks = labels.filter(column(label).isNotNull()).groupBy(column("doc_id").alias("doc_id")).agg((F.max(column(label)) > 0).cast("int").alias("label"))
     sizes = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
         return None
     share = {k: min(1.0, most / n) for k, n in sizes.items()}
     some = marks.filter(F.when(F.col("label") == 1, sampled(F.col("doc_id"), share[1])).otherwise(sampled(F.col("doc_id"), share[0])))
-    own = docs.select(column("doc_id").alias("doc_id"), column(text).alias("text")).filter(F.length("text") <= longest)
+    own = docs.select(column("doc_id").alias("doc_id"), column(text).alias("text")).filter(F.col("text").isNotNull())
     rows = stage(own.join(F.broadcast(some), "doc_id"), "toxicity")  # at most about 2 * most ids
     count = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     if len(count) < 2:
