@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelweave.functions.lineage import checkpointed, shared_folder
 from pixelweave.functions.numbers import from_mm, to_mm
 from pixelweave.operators import bridges, components, contours, edits, layout, morphology, palettes, pictures, posterize, resample, rules, statistics, tone
+from pixelweave.operators import sheets as sheets_
 from pixelweave.plans import compute, runs
 from pixelweave.sources.files import write_files
 from pixelweave.sources.rasters import SIDE, colors, image_folder, ring_colors, ring_rasters, vector_rasters
@@ -787,6 +788,40 @@ def resize_area(spark, sf_dir):
 # --- files
 
 
+def _print_sheets(spark, sf_dir):
+    """One layer for each raster, of a width in millimetres that goes by its number."""
+    mm = (100 + F.col("p_partkey") % 1200).cast("double")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("image_id"), F.lit(0).alias("layer"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), mm.alias("width_mm"), mm.alias("height_mm"), F.lit("#336699").alias("fill"))
+
+
+@query(
+    f"""WITH {MASK}, s AS (SELECT image_id, 190.0::DOUBLE / ((100 + image_id % 1200) / {SIDE}::DOUBLE) AS tw, 277.0::DOUBLE / ((100 + image_id % 1200) / {SIDE}::DOUBLE) AS th FROM (SELECT DISTINCT image_id FROM m)),
+ t AS (SELECT s.*, CAST(r AS INT) AS "row", CAST(c AS INT) AS col FROM s, range(0, 20) a(r), range(0, 20) b(c) WHERE r * th < {SIDE} - 1e-6 AND c * tw < {SIDE} - 1e-6)
+ SELECT t.image_id, "row", col, round(sum(greatest(0, least(x + 1, (col + 1) * tw) - greatest(x, col * tw)) * greatest(0, least(y + 1, ("row" + 1) * th) - greatest(y, "row" * th))), 3) AS area
+ FROM t JOIN m USING (image_id) WHERE open = 1 GROUP BY t.image_id, "row", col HAVING area > 0"""
+)
+def sheet_tiles(spark, sf_dir):
+    """Open area of each raster on each page at true size."""
+    loops = contours.contours(ring_mask(spark, sf_dir).withColumn("layer", F.lit(0)))
+    parts = sheets_.clipped(loops, sheets_.tiles(_print_sheets(spark, sf_dir), 210.0, 297.0, 10.0))
+    return parts.groupBy("image_id", "row", "col").agg(F.round(F.sum("area"), 3).alias("area")).filter("area > 0")
+
+
+@query(
+    """WITH s AS (SELECT p_partkey AS image_id, 120 + p_partkey % 1200 AS w, 144 + p_partkey % 1200 AS h FROM part), b AS (SELECT *, w <= 841 AND h <= 1189 AS own FROM s)
+ SELECT image_id, 1 + p AS page, round(CASE WHEN p = 1 AND own THEN w ELSE 210 END, 1) AS width_mm, round(CASE WHEN p = 1 AND own THEN h ELSE 297 END, 1) AS height_mm FROM b, (VALUES (0), (1)) v(p)"""
+)
+def sheet_pdf(spark, sf_dir):
+    """Print sheets as PDF files; page sizes as read back from the files."""
+    loops = contours.contours(ring_mask(spark, sf_dir).withColumn("layer", F.lit(0)))
+    files = sheets_.pdf(sheets_.pages(loops, _print_sheets(spark, sf_dir), (210.0, 297.0), marks=True))
+    text = F.decode("content", "ISO-8859-1")
+    box = lambda i: F.regexp_extract_all(text, F.lit(r"/MediaBox \[0 0 ([0-9.]+) ([0-9.]+)\]"), F.lit(i))
+    found = files.select("image_id", F.posexplode(F.arrays_zip(box(1).alias("w"), box(2).alias("h"))).alias("page", "at"))
+    mm = lambda c: F.round(F.col(f"at.{c}").cast("double") / sheets_.POINT, 1)
+    return found.select("image_id", (F.col("page") + 1).alias("page"), mm("w").alias("width_mm"), mm("h").alias("height_mm"))
+
+
 def _as_files(pictures_: DataFrame) -> DataFrame:
     """Pictures (image_id, content) written as files and read again, with their number for an id."""
     spark = pictures_.sparkSession
