@@ -99,6 +99,31 @@ def test_lm_gain_over_the_base(spark):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_windows_hold_every_id_once():
+    rng = np.random.default_rng(4)
+    texts = [rng.choice(500, n).astype("<u2") for n in (0, 3, 31, 32, 33, 64, 5_000, 1)]
+    raw = [x.tobytes() for x in texts]
+    found, n = lm_scoring.windows(raw)
+    assert n == len(found) and sorted(x.tobytes() for i in range(3) for x in lm_scoring.windows(raw, i, 3)[0]) == sorted(x.tobytes() for x in found)
+    own = found[:, lm_model.BLOCK + 1 :]
+    assert own[own != lm_model.NONE].tolist() == [i for x in texts for i in [*x.tolist(), lm_scoring.END]]
+    assert (found[:, : lm_model.BLOCK + 1] == lm_model.BEGIN).sum() == sum(1 + (len(x) + 1 > lm_model.BLOCK) for x in texts)
+
+
+def test_lm_weights_meet_every_block(spark, monkeypatch):
+    """Of more blocks than any share or least number of them would hold, every one teaches, in whatever partition it lies."""
+    met = spark.sparkContext.accumulator(0)
+
+    class Counting(lm_model.Trainer):
+        def learn(self, windows, least=0):
+            met.add(len(windows))
+
+    monkeypatch.setattr(lm_scoring, "Trainer", Counting)
+    rows = spark.range(4_000).repartition(7).selectExpr("id as doc_id", "unhex(repeat('01000200', 32 * 8)) as ids")
+    lm_scoring.train(rows)
+    assert met.value == 4_000 * 17
+
+
 def page(number, url, body):
     return (number, url, f"<html><body>{body}</body></html>")
 
