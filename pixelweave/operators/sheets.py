@@ -71,6 +71,15 @@ def clipped(loops: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select(*own, "row", "col", "loop", "p.xs", "p.ys", "p.area").filter(F.size("xs") > 2)
 
 
+def page_areas(parts: DataFrame, digits: int = 3) -> DataFrame:
+    """``area`` of the :func:`clipped` loops of each page, rounded.
+
+    An area that lies half way between two results comes out of the sums a few units of the last place off: it is
+    rounded to nine digits first, so that it goes up whatever the order of the sums.
+    """
+    return parts.groupBy(*keys(parts), "row", "col").agg(F.round(F.round(F.sum("area"), 9), digits).alias("area"))
+
+
 def _text(x: Column, y: Column, size: float, text: Column) -> Column:
     """A line of text in Helvetica; signs that PDF strings give a meaning are escaped, those beyond Latin 1 are question marks."""
     plain = F.regexp_replace(F.regexp_replace(text, r"[^\x20-\x7E\xA0-\xFF]", "?"), r"([\\()])", r"\\$1")

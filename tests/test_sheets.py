@@ -46,6 +46,13 @@ def test_slanted_sides_are_cut_where_they_cross(spark):
     assert (1, 1) not in found or found[1, 1].area == 0
 
 
+def test_areas_half_way_go_up(spark):
+    """A ring of two loops whose area on a page is 8.6875, and comes out of the sums as 8.687499999999993."""
+    rows = [(0, 0, 2, 8.687499999999993), (0, 1, 2, 10.0), (0, 1, 2, -1.3125000000000004), (0, 2, 2, 8.68749)]
+    found = {r.row: r.area for r in sheets.page_areas(spark.createDataFrame(rows, "image_id long, row int, col int, area double")).collect()}
+    assert found == {0: 8.688, 1: 8.688, 2: 8.687}
+
+
 def objects(content):
     """Objects by number, found through the file's own table of places."""
     begin = int(re.search(rb"startxref\n(\d+)\n%%EOF\n$", content)[1])
