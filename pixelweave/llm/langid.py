@@ -35,6 +35,8 @@ ORDER = 4
 BITS = 16
 SPACE, EDGE = 0, 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Languages whose texts are counted in one task.
+LANGUAGES = 8
 #: Scales of the confidence that are tried.
 SCALES = np.geomspace(0.1, 100, 31)
 FIELDS = [
@@ -84,9 +86,10 @@ def keys_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """Columns lang, key, n: n-gram counts of ``rows(lang, text)``."""
+    """Columns lang, key, n: n-gram counts of ``rows(lang, text)``. A task adds up what it reads, so it gives a row for each of its n-grams."""
 
     def run(batches):
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for part in chunks(batch, 1):
                 by: dict[str, list[str]] = {}
@@ -94,7 +97,12 @@ def counted(rows: DataFrame) -> DataFrame:
                     by.setdefault(lang, []).append(text or "")
                 for lang, texts in by.items():
                     k, n = np.unique(keys_of(texts)[0].view(np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], names=["lang", "key", "n"])
+                    if lang in total:
+                        k, at = np.unique(np.concatenate([total[lang][0], k]), return_inverse=True)
+                        n = np.bincount(at, np.concatenate([total[lang][1], n]), len(k)).astype(np.int64)
+                    total[lang] = k, n
+        for lang, (k, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], names=["lang", "key", "n"])
 
     return rows.select("lang", "text").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
@@ -223,7 +231,8 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", docs_per_langua
     shares = rows.sparkSession.createDataFrame([(name, math.ceil(1_000_000 * min(1.0, docs_per_language / max(1, n))), n >= enough) for name, n in sizes], "lang string, share long, enough boolean")
     some = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) < F.col("share")).distinct()
     kept = F.col("enough") & sampled(F.col("text"), 0.1, seed=11)
-    table = counted(some.filter(~kept)).toArrow()
+    # the same n-grams come up in every partition: the texts, a bounded number for each language, meet in a task for so many languages
+    table = counted(some.filter(~kept).coalesce(max(1, len(sizes) // LANGUAGES))).toArrow()
     names = np.array(table["lang"].to_pylist(), object)
     keys, n = table["key"].to_numpy(), table["n"].to_numpy()
     if not len(keys):

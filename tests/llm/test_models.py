@@ -67,6 +67,24 @@ def test_kneser_ney_by_definition():
             assert own[j] == pytest.approx(-sum(math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / n, rel=1e-4)
 
 
+def test_counting_makes_a_row_for_each_gram_of_a_task(spark, monkeypatch):
+    """However finely the texts are dealt, and however many batches a task reads, each n-gram of a language comes up once."""
+    rows = spark.createDataFrame([("a", f"the same words {i % 3}x") for i in range(60)] + [("b", "other ones")], "lang string, text string").distinct().repartition(40)
+    made = []
+    whole = langid.counted
+    monkeypatch.setattr(langid, "counted", lambda some: made.append(some) or whole(some))
+    model = langid.fit(rows, enough=99)
+    assert model.languages == ["a", "b"] and made[0].rdd.getNumPartitions() == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        texts = spark.createDataFrame([("a", "abab")] * 20, "lang string, text string").coalesce(1)
+        counts = {r.key: r.n for r in whole(texts).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = langid.keys_of(["abab"])[0].view("int64")
+    assert counts == {int(k): 20 * int((keys == k).sum()) for k in keys}
+
+
 def test_scripts_keep_their_letters():
     s = langid.symbols()
     for first, last in ((0x4E00, 0x9FA5), (0x3041, 0x3096), (0xAC00, 0xD7A3), (0x0531, 0x0556)):
