@@ -226,6 +226,48 @@ def test_line_dedup_at_any_threshold(spark, threshold):
     assert {r.doc_id: r.text for r in found.collect()} == brute_lines(docs, threshold)
 
 
+def test_word_hashes_in_small_pieces():
+    """Hashes by one byte after the other, words longer than a piece too."""
+    rng = np.random.default_rng(6)
+    for text in (b"", b" \n", bytes(rng.choice([9, 11, 32, 10, 97, 200, 255, 0, 31], 3_000).astype(np.uint8)), b"a " + b"xy" * (line_dedup.REACH >> 1) + b"z\nb xy"):
+        found = list(zip(*(x.tolist() for x in line_dedup.words(text))))
+        plain = []
+        for i, line in enumerate(text.split(b"\n")):
+            for w in line.split():
+                h = sum((x + 1) * pow(line_dedup.BASE, k % line_dedup.REACH + 1, 1 << 64) for k, x in enumerate(w)) & (1 << 64) - 1
+                plain.append((int(line_dedup.mixed(np.array([h], np.uint64), 0xBF58476D1CE4E5B9)[0]), i))
+        assert found == plain
+
+
+def test_word_hashes_take_less_than_tables():
+    """Words are hashed in clearly less time than looking their bytes up and summing them word by word takes."""
+    rng = np.random.default_rng(7)
+    text = bytes(np.where(rng.random(1 << 19) < 0.16, 32, rng.integers(97, 123, 1 << 19)).astype(np.uint8))
+    space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+    values = np.where(space, 0, np.arange(1, 257)).astype(np.uint64)
+
+    def by_tables():
+        for at in range(0, len(text), line_dedup.REACH):
+            b = np.frombuffer(text[at : at + line_dedup.REACH], np.uint8)
+            white = space[b]
+            first, last = ~white, ~white
+            first[1:] &= white[:-1]
+            last[:-1] &= white[1:]
+            starts = np.flatnonzero(first)
+            line_dedup.mixed(np.add.reduceat(values[b] * line_dedup.POWERS[: len(b)], starts) * line_dedup.INVERSES[starts], 0xBF58476D1CE4E5B9)
+            np.flatnonzero(last)
+
+    def least(f):
+        took = []
+        for _ in range(15):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: line_dedup.spans(text)) < 0.85 * least(by_tables)
+
+
 def test_decontamination_in_shards(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
