@@ -92,6 +92,45 @@ def test_lm_attention_by_loops():
     assert model.score(text[:-1], np.array([90]))[0] == pytest.approx(total / np.log(10), rel=0.02)
 
 
+def test_lm_gradient_by_differences():
+    """The gradient is the slope of the mean loss, over more positions than are held at once; what is held doesn't grow with the batch."""
+    rng = np.random.default_rng(8)
+    model, w = small_model(rng)
+    block, n, scale = lm_model.BLOCK, 24, 8**-0.5
+    x = rng.integers(1, len(w["e"]), (n, 2 * block))
+    x[:4, :block] = lm_model.PAD
+    y = rng.integers(-1, model.n_classes, (n, block))
+
+    def loss(w):
+        e = w["e"][x]
+        s = e[:, block:] @ w["q"] @ (e @ w["k"]).transpose(0, 2, 1) * scale + w["near"] + np.where(model.causal < 0, -1e9, 0) + np.where(x == lm_model.PAD, -1e9, 0)[:, None]
+        s = np.exp(s - s.max(2, keepdims=True))
+        h = e[:, block:] + s / s.sum(2, keepdims=True) @ (e @ w["v"])
+        z = h + np.maximum(h @ w["w1"] + w["b1"], 0) @ w["w2"]
+        logits = z @ w["c"] + w["c0"] + model.next[x[:, block:]]
+        log = logits - np.log(np.exp(logits).sum(2, keepdims=True))
+        return -np.take_along_axis(log, np.maximum(y, 0)[..., None], 2)[..., 0][y >= 0].mean()
+
+    held = {}
+    g, rows = model._gradient(w, x, y, held)
+    assert sum(v.size for v in held.values()) < n * block * model.n_classes
+    assert rows.tolist() == np.unique(x).tolist()
+    g["e"], own = np.zeros_like(w["e"]), g["e"]
+    g["e"][rows] = own
+    exact = {k: v.astype(float) for k, v in w.items()}
+    for k in w:
+        for _ in range(6):
+            at = tuple(rng.integers(0, m) for m in w[k].shape)
+            if k == "e":
+                at = (max(1, at[0]), at[1])
+            slopes = []
+            for step in (1e-5, -1e-5):
+                moved = exact[k].copy()
+                moved[at] += step
+                slopes.append(loss(exact | {k: moved}))
+            assert g[k][at] == pytest.approx((slopes[0] - slopes[1]) / 2e-5, rel=2e-3, abs=2e-6), (k, at)
+
+
 def test_lm_gain_over_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     held = lm_scoring.score(docs, fold(parts=10) != 0).filter("not training and n_tokens > 20").toPandas()
