@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import byte
 from pixelweave.operators import morphology
-from pixelweave.operators.grids import each
+from pixelweave.operators.grids import each, is_packed, mapped
 
 BRIGHT = 210
 # fixed values: radius of smoothing by level, and its range
@@ -103,12 +103,27 @@ def prepared_gray(pixels: DataFrame, width: int | Column, height: int | Column,
     return flip(out, height, horizontal=False) if vflip else out
 
 
+def lines(stack: np.ndarray, beyond: float) -> np.ndarray:
+    """Where the Sobel gradient of rasters (…, height, width) is beyond a threshold; nowhere along the border."""
+    p = stack.astype(np.int32)
+    out = np.zeros(p.shape, np.uint8)
+    if min(p.shape[-2:]) > 2:
+        across = p[..., 2:] - p[..., :-2]
+        gx = across[..., :-2, :] + 2 * across[..., 1:-1, :] + across[..., 2:, :]
+        down = p[..., 2:, :] - p[..., :-2, :]
+        gy = down[..., :-2] + 2 * down[..., 1:-1] + down[..., 2:]
+        out[..., 1:-1, 1:-1] = abs(gx) + abs(gy) > beyond
+    return out
+
+
 def edges(pixels: DataFrame, amount: float = 55, thicken: int = 0) -> DataFrame:
     """``open``: Sobel gradient beyond a threshold, inside the raster only; lines are thickened by ``thicken`` pixels."""
+    beyond = (100 - min(100, max(0, amount))) * 4 + 20
+    if is_packed(pixels, "lum"):
+        return morphology.dilate(mapped(pixels, ("lum",), ("open",), lambda lum: (lines(lum, beyond),)), thicken)
     row, col = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     lum = F.col("lum")
     part = pixels.withColumns({"dx": F.lead(lum).over(row) - F.lag(lum).over(row), "sx": F.lag(lum).over(row) + 2 * lum + F.lead(lum).over(row)})
     gx = F.lag("dx").over(col) + 2 * F.col("dx") + F.lead("dx").over(col)
     gy = F.lead("sx").over(col) - F.lag("sx").over(col)
-    beyond = (100 - min(100, max(0, amount))) * 4 + 20
     return morphology.dilate(part.select("image_id", "y", "x", F.coalesce((F.abs(gx) + F.abs(gy) > beyond).cast("int"), F.lit(0)).alias("open")), thicken)
