@@ -87,28 +87,29 @@ def column(stack: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(stack, np.uint8).tobytes())])
 
 
-def _stack(values: pa.Array, h: int, w: int) -> np.ndarray:
-    n = len(values)
-    data = values.buffers()[2]
-    if not (n * h * w and data):
-        return np.zeros((n, h, w), np.uint8)
-    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + n + 1]
-    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(n, h, w)
-
-
-def stacks(batch: pa.RecordBatch, channels: tuple[str, ...] | list[str], at_once: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """The rows of a batch in parts of one shape, and each part's channels as arrays of (rasters, height, width)."""
-    h, w = (np.asarray(batch[c]) for c in ("height", "width"))
-    if batch.num_rows and ((h != h[0]).any() or (w != w[0]).any()):
-        order = np.lexsort((w, h))
-        batch, h, w = batch.take(pa.array(order)), h[order], w[order]
-    begin = np.flatnonzero(np.append(True, (np.diff(h) != 0) | (np.diff(w) != 0))).tolist() if batch.num_rows else []
+def _bytes(values: pa.Array) -> np.ndarray:
+    """The bytes of a binary column, one value after the other."""
+    if not len(values) or not values.buffers()[2]:
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+
+
+def stacks(batch: pa.RecordBatch, channels: tuple[str, ...] | list[str], also: tuple[str, ...] = (), at_once: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The rows of a batch in parts of one shape, and one value of the columns ``also``, and each part's channels as arrays of (rasters, height, width)."""
+    if not batch.num_rows:
+        return
+    own = np.stack([np.asarray(batch[c]) for c in ("height", "width", *also)])
+    if (own != own[:, :1]).any():
+        order = np.lexsort(own[::-1])
+        batch, own = batch.take(pa.array(order)), own[:, order]
+    begin = np.flatnonzero(np.append(True, (np.diff(own) != 0).any(0))).tolist()
     for a, b in zip(begin, [*begin[1:], batch.num_rows]):
-        high, wide = int(h[a]), int(w[a])
+        high, wide = own[:2, a].tolist()
         step = max(1, (at_once or AT_ONCE) // max(1, high * wide))
         for i in range(a, b, step):
             part = batch.slice(i, min(step, b - i))
-            yield part, [_stack(part[c], high, wide) for c in channels]
+            yield part, [_bytes(part[c]).reshape(-1, high, wide) if high * wide else np.zeros((part.num_rows, high, wide), np.uint8) for c in channels]
 
 
 def mapped(rows: DataFrame, takes: tuple[str, ...], gives: tuple[str, ...], kernel: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
@@ -131,16 +132,17 @@ def pixels(rows: DataFrame, *channels: str, kind: str = "int", size: bool = Fals
 
     def run(batches):
         for batch in batches:
-            for part, arrays in stacks(batch, channels):
-                n, h, w = arrays[0].shape
-                flat = [a.reshape(-1) for a in arrays]
-                for a in range(0, n * h * w, AT_ONCE):
-                    at = np.arange(a, min(n * h * w, a + AT_ONCE))
-                    raster, cell = np.divmod(at, h * w)
-                    y, x = np.divmod(cell, w)
-                    held = [part[c].take(pa.array(raster)) for c in own]
-                    extent = [pa.array(np.full(len(at), v, np.int32)) for v in (w, h)] if size else []
-                    yield pa.RecordBatch.from_arrays([*held, *extent, pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), *(pa.array(f[a : a + AT_ONCE]).cast(to) for f in flat)], names=names)
+            h, w = (np.asarray(batch[c]).astype(np.int64) for c in ("height", "width"))
+            ends = np.cumsum(h * w)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = [_bytes(batch[c]) for c in channels]
+            for a in range(0, total, AT_ONCE):
+                at = np.arange(a, min(total, a + AT_ONCE))
+                raster = np.searchsorted(ends, at, "right")
+                y, x = np.divmod(at - (ends - h * w)[raster], w[raster])
+                held = [batch[c].take(pa.array(raster)) for c in own]
+                extent = [pa.array(v[raster].astype(np.int32)) for v in (w, h)] if size else []
+                yield pa.RecordBatch.from_arrays([*held, *extent, pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), *(pa.array(f[a : a + AT_ONCE]).cast(to) for f in flat)], names=names)
 
     extent = ["width", "height"] if size else []
     names = [*own, *extent, "y", "x", *channels]

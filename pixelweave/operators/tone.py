@@ -42,16 +42,25 @@ def clahe(pixels: DataFrame, tiles: int = 8, clip: float = 2.5) -> DataFrame:
     return each(pixels, "lum", "lum", lambda grid: equalised(grid, tiles, clip))
 
 
-def equalised(grid: np.ndarray, tiles: int, clip: float) -> np.ndarray:
-    h, w = grid.shape
+def equalised(grid: np.ndarray, tiles: int, clip: float, at_once: int = 1 << 20) -> np.ndarray:
+    """Of rasters (…, height, width), so many at a time that their tiles have ``at_once`` levels."""
+    h, w = grid.shape[-2:]
     tw, th = max(1, -(-w // tiles)), max(1, -(-h // tiles))
     nx, ny = -(-w // tw), -(-h // th)
+    stack, out, of = grid.reshape(-1, h, w), np.empty((*grid.shape,), np.int32), nx * ny * 256
+    step = max(1, at_once // max(1, of))
+    if len(stack) > step:
+        for i in range(0, len(stack), step):
+            out.reshape(-1, h, w)[i : i + step] = equalised(stack[i : i + step], tiles, clip)
+        return out
     tile = (np.arange(h) // th)[:, None] * nx + (np.arange(w) // tw)[None]
-    counts = np.bincount((tile * 256 + grid).ravel(), minlength=nx * ny * 256).reshape(-1, 256)
-    limit = np.maximum(1, np.floor(clip * counts.sum(1) / 256)).astype(np.int64)[:, None]
-    held = np.minimum(counts, limit)
-    held += (counts - held).sum(1, keepdims=True) // 256
-    to = np.minimum(255, np.floor(held.cumsum(1) * (255 / held.sum(1, keepdims=True)) + 0.5))
+    first = np.arange(len(stack))[:, None] * of
+    counts = np.bincount((first[..., None] + tile * 256 + stack).ravel(), minlength=len(stack) * of).reshape(-1, 256)
+    size = np.tile(np.bincount(tile.ravel(), minlength=nx * ny), len(stack))
+    held = np.minimum(counts, np.maximum(1, np.floor(clip * size / 256)).astype(np.int64)[:, None])
+    total = held.sum(1)
+    extra = (size - total) // 256
+    upto, scale = held.cumsum(1).ravel(), 255 / (total + 256 * extra)
 
     def between(size: int, step: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = (np.arange(size) + 0.5) / step - 0.5
@@ -60,12 +69,17 @@ def equalised(grid: np.ndarray, tiles: int, clip: float) -> np.ndarray:
         low = np.maximum(low, 0)
         return np.minimum(low, n - 1), np.minimum(n - 1, low + 1), share
 
+    def to(row: int, col: np.ndarray, level: np.ndarray) -> np.ndarray:
+        at = first + (row * nx + col) * 256 + level
+        return np.minimum(255, np.floor((upto[at] + extra[at >> 8] * (level + 1)) * scale[at >> 8] + 0.5))
+
     (y0, y1, wy), (x0, x1, wx) = between(h, th, ny), between(w, tw, nx)
-    out = np.empty_like(grid)
+    made = out.reshape(-1, h, w)
     for i in range(h):  # a row at a time, so that the blend needs little memory
-        a, b, c, d = (to[r * nx + col, grid[i]] for r in (y0[i], y1[i]) for col in (x0, x1))
+        level = stack[:, i].astype(np.int64)
+        a, b, c, d = (to(r, col, level) for r in (y0[i], y1[i]) for col in (x0, x1))
         top, low = a + (b - a) * wx, c + (d - c) * wx
-        out[i] = np.clip(np.rint(top + (low - top) * wy[i]), 0, 255)
+        made[:, i] = np.clip(np.rint(top + (low - top) * wy[i]), 0, 255)
     return out
 
 
@@ -74,28 +88,52 @@ def bilateral(pixels: DataFrame, radius: int, sigma_range: float = 32.0, sigma_s
     return each(pixels, "lum", "lum", lambda grid: smoothed(grid, radius, sigma_range, sigma_space or radius / 1.5)) if radius > 0 else pixels
 
 
-def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: float, at_once: int = 4_000_000) -> np.ndarray:
-    """Every pixel's neighbours as planes of one array, for so many rows at a time that it holds ``at_once`` numbers."""
-    h, w = grid.shape
-    side = 2 * radius + 1
+def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: float, at_once: int = 1 << 16) -> np.ndarray:
+    """Of rasters (…, height, width), so many rows at a time that they hold ``at_once`` pixels; neighbours are added up in row order."""
+    h, w = grid.shape[-2:]
+    stack, out = grid.reshape(-1, h, w).astype(np.int16), np.empty(grid.shape, np.int32)
     near = np.exp(-(np.arange(256.0) ** 2) / (2 * sigma_range * sigma_range)).astype(np.float32).astype(float)
-    near = np.append(near, 0.0)  # what lies outside weighs nothing
+    near = near[abs(np.arange(-255, 256))]
     d = np.arange(-radius, radius + 1)
-    space = np.exp(-(d[:, None] ** 2 + d[None] ** 2) / (2 * sigma_space * sigma_space)).astype(np.float32).astype(float).reshape(-1, 1, 1)
-    padded = np.full((h + 2 * radius, w + 2 * radius), -1, np.int32)
-    padded[radius : radius + h, radius : radius + w] = grid
-    out = np.empty((h, w), np.int32)
-    step = max(1, at_once // (side * side * max(1, w)))
-    for y in range(0, h, step):
-        rows = padded[y : y + min(step, h - y) + 2 * radius]
-        planes = np.lib.stride_tricks.sliding_window_view(rows, (side, side)).transpose(2, 3, 0, 1).reshape(side * side, -1, w)
-        share = space * near[np.where(planes < 0, 256, np.abs(planes - grid[y : y + step]))]
-        out[y : y + step] = np.clip(np.rint((share * planes).sum(0) / share.sum(0)), 0, 255)
+    space = np.exp(-(d[:, None] ** 2 + d[None] ** 2) / (2 * sigma_space * sigma_space)).astype(np.float32).astype(float)
+    rows = max(1, at_once // max(1, w))
+    step = max(1, at_once // max(1, w * min(h, rows)))
+    for i in range(0, len(stack), step):
+        some, made = stack[i : i + step], out.reshape(-1, h, w)[i : i + step]
+        for y in range(0, h, rows):
+            own = some[:, y : y + rows]
+            share, value = np.zeros(own.shape), np.zeros(own.shape)
+            for j, dy in enumerate(d.tolist()):
+                a, b = max(0, -dy - y), min(own.shape[1], h - dy - y)
+                for k, dx in enumerate(d.tolist()):
+                    left, right = max(0, -dx), min(w, w - dx)
+                    if a >= b or left >= right:
+                        continue
+                    there = some[:, y + a + dy : y + b + dy, left + dx : right + dx]
+                    weight = near[there - own[:, a:b, left:right] + 255]
+                    weight *= space[j, k]
+                    share[:, a:b, left:right] += weight
+                    weight *= there
+                    value[:, a:b, left:right] += weight
+            made[:, y : y + rows] = np.clip(np.rint(value / share), 0, 255)
     return out
 
 
+def grayed(r: np.ndarray, g: np.ndarray, b: np.ndarray, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> np.ndarray:
+    """:func:`prepared_gray` of rasters (…, height, width)."""
+    factor = 259 * (contrast + 255) / (255 * (259 - contrast))
+    lum = factor * ((0.2126 * r + 0.7152 * g + 0.0722 * b) - 128) + 128 + brightness
+    lum = np.clip(np.rint(255 - lum if invert else lum), 0, 255).astype(np.int32)
+    radius = SMOOTH_RADIUS[smooth]
+    lum = smoothed(lum, radius, SMOOTH_RANGE, radius / 1.5) if radius else lum
+    lum = equalised(lum, 8, 2.5) if auto_levels else lum
+    return lum[..., :: -1 if vflip else 1, :: -1 if mirror else 1]
+
+
 def prepared_gray(pixels: DataFrame, width: int | Column, height: int | Column, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> DataFrame:
-    """``lum`` by every step of the intake, in its order: gray, smoothing, local contrast, then the flips."""
+    """``lum`` by every step of the intake, in its order: gray, smoothing, local contrast, then the flips; packed rasters in one pass."""
+    if is_packed(pixels, "r"):
+        return mapped(pixels, ("r", "g", "b"), ("lum",), lambda r, g, b: (grayed(r, g, b, contrast, brightness, invert, smooth, auto_levels, mirror, vflip),))
     out = gray(pixels, contrast, brightness, invert)
     out = bilateral(out, SMOOTH_RADIUS[smooth], SMOOTH_RANGE)
     out = clahe(out) if auto_levels else out

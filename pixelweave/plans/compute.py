@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import bridges, contours, layout, tone
 from pixelweave.operators.bridges import Build
+from pixelweave.operators.grids import is_packed
 
 
 @dataclass(frozen=True)
@@ -31,9 +32,9 @@ class Look:
 
 
 def gray(pixels: DataFrame, width: int | Column, height: int | Column, look: Look) -> DataFrame:
-    """Gray pixels; contrast and brightness are controls from -100 to 100."""
+    """Gray pixels, packed where ``pixels`` are; contrast and brightness are controls from -100 to 100."""
     out = tone.prepared_gray(pixels, width, height, look.contrast * 2, look.brightness * 1.2, look.invert, look.smooth, look.auto_levels, look.mirror, look.vflip)
-    return out.select("image_id", "y", "x", "lum")
+    return out if is_packed(out, "lum") else out.select("image_id", "y", "x", "lum")
 
 
 def layers(gray_pixels: DataFrame, look: Look, levels: DataFrame | None = None) -> DataFrame:
