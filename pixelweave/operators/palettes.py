@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions.numbers import hex_channel
+from pixelweave.operators.grids import is_packed
 
 # fixed values: paints by palette
 PAINTS = {
@@ -123,11 +124,16 @@ def to_hex(color: Column) -> Column:
 
 
 def sample_color(points: DataFrame, pixels: DataFrame, width: int, height: int, mirror: bool = False, vflip: bool = False) -> DataFrame:
-    """Points (image_id, px, py) of a shown raster with ``color``, that of the pixel below in the source, whose flips are undone."""
+    """Points (image_id, px, py) of a shown raster with ``color``, that of the pixel below in the source, whose flips are undone. Of packed rasters a row meets its points, not a row for each pixel."""
     at = lambda c, n, flipped: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((n - 1 - F.col(c) if flipped else F.col(c)) + 0.5))).cast("int")
     two = lambda c: F.lower(F.lpad(F.hex(F.col(c).cast("int")), 2, "0"))
-    source = pixels.select("image_id", "y", "x", F.concat(F.lit("#"), two("r"), two("g"), two("b")).alias("color"))
     spots = points.withColumns({"x": at("px", width, mirror), "y": at("py", height, vflip)})
+    if is_packed(pixels, "r"):
+        byte = lambda c: F.lower(F.hex(F.substring(c, F.col("y") * F.col("width") + F.col("x") + 1, 1)))
+        inside = (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
+        color = F.when(inside, F.concat(F.lit("#"), byte("r"), byte("g"), byte("b")))
+        return spots.hint("merge").join(pixels.select("image_id", "width", "height", "r", "g", "b"), "image_id", "left").select(*points.columns, color.alias("color"))
+    source = pixels.select("image_id", "y", "x", F.concat(F.lit("#"), two("r"), two("g"), two("b")).alias("color"))
     return spots.join(source, ["image_id", "y", "x"], "left").select(*points.columns, "color")
 
 
