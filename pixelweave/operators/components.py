@@ -22,7 +22,15 @@ TILE = 1024
 
 
 def labelled(grid: np.ndarray, value: int) -> np.ndarray:
-    """4-connected components of the cells that equal ``value``, numbered from 1 by their first cell in row order; 0 elsewhere."""
+    """4-connected components of the cells that equal ``value``, numbered from 1 by their first cell in row order; 0 elsewhere.
+
+    Those of a stack (rasters, height, width) are numbered on from raster to raster; see :func:`own_numbers`.
+    """
+    if grid.ndim == 3:
+        n, h, w = grid.shape
+        tall = np.zeros((n, h + 1, w), np.bool_)  # a line between rasters keeps them apart
+        tall[:, :h] = grid == value
+        return labelled(tall.reshape(-1, w), True).reshape(n, h + 1, w)[:, :h]
     h, w = grid.shape
     if not h * w:
         return np.zeros((h, w), np.int64)
@@ -51,6 +59,18 @@ def labelled(grid: np.ndarray, value: int) -> np.ndarray:
     return out
 
 
+def own_numbers(label: np.ndarray) -> np.ndarray:
+    """Labels of a stack, which run on from raster to raster, numbered in each raster from 1."""
+    before = np.append(0, np.maximum.accumulate(label.reshape(len(label), -1).max(1, initial=0)))[:-1]
+    return np.where(label > 0, label - before[:, None, None], 0)
+
+
+def rasters_of(label: np.ndarray) -> np.ndarray:
+    """Of each label of a stack the raster that it lies in."""
+    ends = np.maximum.accumulate(label.reshape(len(label), -1).max(1, initial=0))
+    return np.searchsorted(ends, np.arange(int(ends[-1])) + 1) if len(label) else np.zeros(0, np.int64)
+
+
 def components(mask: DataFrame, value: int = 1) -> DataFrame:
     """``mask`` with ``label``."""
     return each(mask, "open", "label", lambda grid: labelled(grid, value))
@@ -60,16 +80,17 @@ def sizes(labels: DataFrame) -> DataFrame:
     return labels.filter("label > 0").groupBy(*keys(labels), "label").agg(F.count("*").alias("size"))
 
 
-def without_small(grid: np.ndarray, value: int, least: int) -> np.ndarray:
-    if least <= 1:
+def without_small(grid: np.ndarray, value: int, least: float | np.ndarray) -> np.ndarray:
+    """``grid`` with components of less than ``least`` cells flipped; a stack may have a least size for each raster."""
+    if not np.size(least) or np.max(least) <= 1:
         return grid
     label = labelled(grid, value)
-    small = np.bincount(label.ravel()) < least
-    small[0] = False
+    size = np.bincount(label.ravel())
+    small = np.append(False, size[1:] < (least[rasters_of(label)] if np.ndim(least) else least))
     return np.where(small[label], 1 - value, grid)
 
 
-def despeckled(grid: np.ndarray, least: int) -> np.ndarray:
+def despeckled(grid: np.ndarray, least: float | np.ndarray) -> np.ndarray:
     return without_small(without_small(grid, 1, least), 0, least)
 
 
@@ -83,13 +104,15 @@ def despeckle(mask: DataFrame, least: int) -> DataFrame:
 
 
 def island_labels(grid: np.ndarray) -> np.ndarray:
-    """Material components that touch no border, numbered anew."""
+    """Material components that touch no border, numbered anew; those of a stack on from raster to raster."""
     label = labelled(grid, 0)
     if not label.size:
         return label
-    edge = np.unique(np.concatenate([label[0], label[-1], label[:, 0], label[:, -1]]))
-    label = np.where(np.isin(label, edge), 0, label)
-    return np.searchsorted(np.unique(label[label > 0]), label) * (label > 0) + (label > 0)
+    inner = np.ones(int(label.max()) + 1, np.int64)
+    inner[0] = 0
+    for edge in (label[..., 0, :], label[..., -1, :], label[..., 0], label[..., -1]):
+        inner[edge] = 0
+    return (np.cumsum(inner) * inner)[label]
 
 
 PARTS = ("first", "size", "sum_y", "sum_x", "y1", "y2", "x1", "x2")

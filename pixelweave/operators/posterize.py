@@ -9,24 +9,38 @@ from pyspark.sql import functions as F
 
 
 def cuts(counts: np.ndarray, k: int) -> np.ndarray:
-    """``k`` cuts of 256 bins that maximise the sum of squared class sums over class sizes; ties go to the lowest."""
-    weight, total = np.append(0, counts.cumsum()).astype(float), np.append(0, (counts * np.arange(256)).cumsum()).astype(float)
+    """``k`` cuts of 256 bins that maximise the sum of squared class sums over class sizes; ties go to the lowest.
+
+    Where more than ``k`` levels occur, no class of the best cuts is empty and each ends at a level that occurs, the
+    lowest of equal places, so that these levels alone are tried.
+    """
+    level = np.flatnonzero(counts)
+    if len(level) <= k:
+        level = np.arange(256)
+    n, counts = len(level), counts[level]
+    weight, total = np.append(0, counts.cumsum()).astype(float), np.append(0, (counts * level).cumsum()).astype(float)
     w, s = weight[1:, None] - weight[None, :-1], total[1:, None] - total[None, :-1]
     gain = np.divide(s * s, w, out=np.zeros_like(s), where=w > 1e-12)  # of a class to its last bin (row) from its first (column)
     best, back = gain[:, 0], []
-    after = np.where(np.arange(255)[None] < np.arange(256)[:, None], gain[:, 1:], -np.inf)  # a class up to v (row) after the last bin u (column) before it
+    after = np.where(np.arange(n - 1)[None] < np.arange(n)[:, None], gain[:, 1:], -np.inf)  # a class up to v (row) after the last bin u (column) before it
     for m in range(2, k + 2):
         score = best[None, :-1] + after
         score[:, : m - 2] = -np.inf
         back.append(score.argmax(1))
-        best = score[np.arange(256), back[-1]]
-    out, v = np.zeros(k, np.int64), 255
+        best = score[np.arange(n), back[-1]]
+    out, v = np.zeros(k, np.int64), n - 1
     for i in range(k - 1, -1, -1):
         v = int(back[i][v])
-        out[i] = v + 1
+        out[i] = level[v] + 1
     return np.minimum(out, 255)
 
 
+def cuts_of(stack: np.ndarray, k: int) -> np.ndarray:
+    """:func:`cuts` of each raster of a stack."""
+    counts = np.bincount((np.arange(len(stack))[:, None] * 256 + stack.reshape(len(stack), -1)).ravel(), minlength=len(stack) * 256)
+    return np.array([cuts(c, k) for c in counts.reshape(-1, 256)]).reshape(len(stack), k)
+
+
 def thresholds(histogram: DataFrame, k: int) -> DataFrame:
     """Columns image_id and ``thresholds`` (k ascending levels) from ``histogram(image_id, lum, n)``."""
     bins = histogram.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lum", "n"))), lambda s: s["n"]).alias("bins"))

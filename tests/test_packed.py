@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import grids, morphology, palettes, resample, tone
+from pixelweave.operators import bridges, grids, morphology, palettes, posterize, resample, tone
+from pixelweave.operators.components import despeckled, island_labels, labelled, own_numbers
 from pixelweave.plans.queries import QUERIES
 from pixelweave.sources import rasters
 
@@ -22,7 +23,7 @@ def cells(df, *columns):
     return sorted(tuple(r) for r in df.select("image_id", "y", "x", *columns).collect())
 
 
-@pytest.mark.parametrize("name", ["erode_r1", "morph_open", "morph_close", "sobel_edges", "line_art", "gray_intake", "resize_area"])
+@pytest.mark.parametrize("name", ["erode_r1", "morph_open", "morph_close", "sobel_edges", "line_art", "gray_intake", "resize_area", "auto_bridges", "prepare_islands", "build_masks", "compute_layers"])
 def test_no_pixel_moves(spark, name):
     assert "Exchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
@@ -82,3 +83,59 @@ def test_sampled_colors_move_no_pixels(spark):
     plan = QUERIES["sample_colors"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
     assert sorted(found.collect()) == sorted(palettes.sample_color(points, rasters.ring_colors(spark, SF), 24, 24, mirror=True).collect())
+
+
+def test_stacks_of_builds():
+    """Rasters of a stack, with values of their own, are built as each alone."""
+    rng = np.random.default_rng(11)
+    lum = np.kron(rng.integers(0, 256, (9, 6, 5)), np.ones((1, 9, 9), int)).astype(np.int32)
+    n = len(lum)
+    for value in (0, 1):
+        mask = (lum < 128).astype(np.int32)
+        assert (own_numbers(labelled(mask, value)) == [labelled(m, value) for m in mask]).all()
+        assert (own_numbers(island_labels(mask)) == [island_labels(m) for m in mask]).all()
+    least = rng.integers(0, 30, n)
+    assert (despeckled(mask, least) == [despeckled(m, k) for m, k in zip(mask, least)]).all()
+    t = posterize.cuts_of(lum, 3)
+    fields = {"min_feature": rng.integers(0, 3, n).astype(float), "width": rng.integers(1, 5, n), "mm_per_px": rng.random(n) * 9, "spacing": 20.0 + np.arange(n), "bridge": rng.random(n) < 0.8, "keep_highlights": rng.random(n) < 0.5, "edge_amount": rng.integers(0, 100, n), "span": rng.integers(1, 5, n)}
+    found = bridges.stack_built(lum, t, bridges.Build(**fields))
+    ties = [layer[3].lists(n) for layer in found]
+    for i in range(n):
+        alone = bridges.built(lum[i], t[i].tolist(), bridges.Build(**{k: v[i].item() for k, v in fields.items()}))
+        assert [(int(a[i]), e, m[i].tolist(), x[i]) for (a, e, m, _), x in zip(found, ties)] == [(a, e, m.tolist(), x) for a, e, m, x in alone]
+    assert sum(len(x) for layer in ties for x in layer) > 20
+
+
+def test_cuts_try_the_levels_that_occur():
+    """The cuts of all 256 bins, ties and few levels included."""
+
+    def plain(counts, k):
+        best = {(0, -1): (0.0, ())}
+        w, s = np.append(0, counts.cumsum()).astype(float), np.append(0, (counts * np.arange(256)).cumsum()).astype(float)
+        for m in range(1, k + 2):
+            for v in range(m - 1, 256):
+                for u in [-1] if m == 1 else range(m - 2, v):
+                    d = w[v + 1] - w[u + 1]
+                    score = best[m - 1, u][0] + ((s[v + 1] - s[u + 1]) ** 2 / d if d else 0)
+                    if (m, v) not in best or score > best[m, v][0]:
+                        best[m, v] = (score, (*best[m - 1, u][1], u + 1))
+        return [min(255, c) for c in best[k + 1, 255][1][1:]]
+
+    rng = np.random.default_rng(3)
+    for levels in (1, 2, 3, 4, 9):
+        counts = np.zeros(256, int)
+        counts[rng.choice(256, levels, replace=False)] = rng.integers(1, 5, levels)
+        assert posterize.cuts(counts, 2).tolist() == plain(counts, 2), levels
+
+
+@pytest.mark.parametrize("name", ["burn_bridges", "reburn"])
+def test_burnt_cells_are_not_broadcast(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange") == 2 and "Generate" not in plan
+
+
+def test_few_ties_of_many_cells_are_not_broadcast(spark):
+    """The operator on pixels too."""
+    mask = spark.range(3).selectExpr("id as image_id", "0 as y", "0 as x", "1 as open")
+    ties = spark.range(3).selectExpr("id as image_id", "0d as x1", "0d as y1", "9d as x2", "0d as y2", "4d as width")
+    assert "Broadcast" not in bridges.burn(mask, ties)._jdf.queryExecution().executedPlan().toString()
