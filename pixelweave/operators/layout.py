@@ -106,7 +106,16 @@ def _bodies(paths: DataFrame, layers: DataFrame) -> DataFrame:
 
 def layer_svg(paths: DataFrame, layers: DataFrame, marks: bool | Column = False) -> DataFrame:
     """One SVG text for each of ``layers(image_id, layer, width, height, width_mm, height_mm, fill)``; with ``marks`` in the corners of all, or of those for which the column is true."""
-    out = _bodies(paths, layers)
+    return sheet_svg(_bodies(paths, layers), marks)
+
+
+def drawn_svg(layers: DataFrame, marks: bool | Column = False) -> DataFrame:
+    """:func:`layer_svg` of layers that have their path ``d`` with them."""
+    return sheet_svg(layers.withColumn("body", F.when(F.col("d") != "", F.format_string(PATH, "d")).otherwise("")), marks)
+
+
+def sheet_svg(out: DataFrame, marks: bool | Column = False) -> DataFrame:
+    """The SVG text of layers with a ``body``."""
     head = F.format_string(HEADER, number(F.col("width_mm")), number(F.col("height_mm")), F.col("width").cast("int"), F.col("height").cast("int"))
     corner = marks_svg(F.col("width"), F.col("height")) if marks is not False else F.lit("")
     if isinstance(marks, Column):
@@ -148,19 +157,24 @@ def _folder(column: str) -> Column:
 def zipped(svgs: DataFrame) -> DataFrame:
     """A row for each image: its layers' files ``layer-N.svg`` as one ZIP (``content``), the same bytes each time."""
 
-    def run(table):
+    def run(batches):
         import io
         import zipfile
 
         import pyarrow as pa
 
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-            for layer, svg in sorted(zip(table["layer"].to_pylist(), table["svg"].to_pylist())):
-                z.writestr(zipfile.ZipInfo(f"layer-{layer + 1}.svg"), svg)
-        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([held.getvalue()], pa.binary())})
-
-    return svgs.groupBy("image_id").applyInArrow(run, f"image_id {svgs.schema['image_id'].dataType.simpleString()}, content binary")
+        for batch in batches:
+            files = []
+            for layers in batch["layers"].to_pylist():
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    for row in layers:
+                        z.writestr(zipfile.ZipInfo(f"layer-{row['layer'] + 1}.svg"), row["svg"])
+                files.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([batch["image_id"], pa.array(files, pa.binary())], names=["image_id", "content"])
+
+    every = svgs.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("layer", "svg"))).alias("layers"))
+    return every.mapInArrow(run, f"image_id {svgs.schema['image_id'].dataType.simpleString()}, content binary")
 
 
 def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

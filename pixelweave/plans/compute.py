@@ -43,26 +43,30 @@ def layers(gray_pixels: DataFrame, look: Look, levels: DataFrame | None = None)
 
 
 def work_masks(built: DataFrame) -> DataFrame:
-    """image_id, layer, is_edge, y, x, ``open`` with the ties burnt."""
+    """image_id, layer, is_edge, y, x, ``open`` with the ties burnt; of layers with a row for each line."""
     return bridges.layer_pixels(built, "work")
 
 
 def outlines(built: DataFrame, tolerance: float = 0.0, omit: float = 0.0) -> DataFrame:
     """Outlines of the finished layers; those shorter than ``omit`` go, and corners within ``tolerance``."""
-    loops = contours.contours(bridges.open_cells(built))
+    loops = contours.contours(bridges.open_cells(built) if "y" in built.columns else built.select("image_id", "layer", "height", "width", F.col("work").alias("open")))
     return loops if tolerance <= 0 and omit <= 0 else contours.simplify(loops, tolerance, omit)
 
 
 def sheets(built: DataFrame, target_mm: float, colors: DataFrame | None = None) -> DataFrame:
     """A row for each layer: image_id, layer, width, height, width_mm, height_mm and ``fill`` (of ``colors(image_id, layer, fill)``, else black)."""
-    out = built.filter("y = 0").select("image_id", "layer", "width", "height", F.lit(float(target_mm)).alias("width_mm"), (F.lit(float(target_mm)) / F.col("width") * F.col("height")).alias("height_mm"))
+    one = built.filter("y = 0") if "y" in built.columns else built  # packed layers have a row each
+    path = ["d"] if "d" in built.columns else []
+    out = one.select("image_id", "layer", "width", "height", F.lit(float(target_mm)).alias("width_mm"), (F.lit(float(target_mm)) / F.col("width") * F.col("height")).alias("height_mm"), *path)
     if colors is None:
         return out.withColumn("fill", F.lit("#111111"))
     return out.join(colors.select("image_id", "layer", "fill"), ["image_id", "layer"], "left")
 
 
 def cut_files(built: DataFrame, target_mm: float, marks: bool = False, colors: DataFrame | None = None, tolerance: float = 0.0, omit: float = 0.0) -> DataFrame:
-    """One SVG for each image and layer."""
+    """One SVG for each image and layer; packed layers are drawn where they are."""
+    if "y" not in built.columns:
+        return layout.drawn_svg(sheets(contours.drawn(built, "work", tolerance, omit), target_mm, colors), marks)
     return layout.layer_svg(contours.contour_paths(outlines(built, tolerance, omit)), sheets(built, target_mm, colors), marks)
 
 
