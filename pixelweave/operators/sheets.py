@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +32,23 @@ def tiles(sheets: DataFrame, page_w: float, page_h: float, margin: float) -> Dat
     return out.select(*keys(sheets), "row", "col", *[v.alias(k) for k, v in ends.items()])
 
 
-def half(x: np.ndarray, y: np.ndarray, edge: float, sign: int) -> tuple[np.ndarray, np.ndarray]:
-    """Corners of a closed line where ``x`` is on one side of an edge; where a side crosses the edge, a corner is added."""
+def half(x: np.ndarray, y: np.ndarray, size: np.ndarray, edge: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Corners of closed lines, ``size`` of each one after the other, where ``x`` is on one side of the line's edge, and how many; where a side crosses the edge, a corner is added."""
     if not len(x):
-        return x, y
+        return x, y, size
+    ends = np.cumsum(size)
+    back = np.arange(len(x)) - 1
+    back[(ends - size)[size > 0]] = ends[size > 0] - 1
+    edge = np.repeat(edge, size)
     depth = (x - edge) * sign
-    before = np.roll(depth, 1)
+    before = depth[back]
     inside = depth >= 0
     cross = inside != (before >= 0)
     share = before / np.where(cross, before - depth, 1)
-    at = np.roll(y, 1) + (y - np.roll(y, 1)) * share
+    at = y[back] + (y - y[back]) * share
     kept = np.stack([cross, inside], 1).ravel()  # the crossing lies before the corner
-    return np.stack([np.full(len(x), edge), x], 1).ravel()[kept], np.stack([at, y], 1).ravel()[kept]
+    left = np.append(0, np.cumsum(cross.astype(np.int64) + inside))
+    return np.stack([edge, x], 1).ravel()[kept], np.stack([at, y], 1).ravel()[kept], left[ends] - left[ends - size]
 
 
 def clipped(loops: DataFrame, pages: DataFrame) -> DataFrame:
@@ -56,16 +60,22 @@ def clipped(loops: DataFrame, pages: DataFrame) -> DataFrame:
     own = keys(loops)
     low, high = ({c: f(f"{c}s") for c in ("x", "y")} for f in (F.array_min, F.array_max))
     meets = (low["x"] < F.col("x1")) & (high["x"] > F.col("x0")) & (low["y"] < F.col("y1")) & (high["y"] > F.col("y0"))
-    out = loops.select(*own, "loop", "xs", "ys").join(pages, own).filter(meets)
-
-    @F.pandas_udf("xs array<double>, ys array<double>, area double")
-    def cut(xs: pd.Series, ys: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y, left, top, right, bottom in zip(xs, ys, x0, y0, x1, y1):
-            x, y = half(*half(x, y, left, 1), right, -1)
-            y, x = half(*half(y, x, top, 1), bottom, -1)
-            rows.append((x, y, float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum() / 2)))
-        return pd.DataFrame(rows, columns=["xs", "ys", "area"])
+    # loops look as few as their rasters to the planner, which must not broadcast them
+    out = loops.select(*own, "loop", "xs", "ys").join(pages.hint("merge"), own).filter(meets)
+
+    @F.arrow_udf("xs array<double>, ys array<double>, area double")
+    def cut(xs: pa.Array, ys: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        size = np.asarray(xs.value_lengths()).astype(np.int64)
+        x, y = (np.asarray(c.flatten()) for c in (xs, ys))
+        left, top, right, bottom = map(np.asarray, (x0, y0, x1, y1))
+        x, y, size = half(*half(x, y, size, left, 1), right, -1)
+        y, x, size = half(*half(y, x, size, top, 1), bottom, -1)
+        ends = np.cumsum(size)
+        on = np.arange(len(x)) + 1
+        on[ends[size > 0] - 1] = (ends - size)[size > 0]
+        area = np.bincount(np.repeat(np.arange(len(size)), size), x * y[on] - x[on] * y, len(size)) / 2
+        at = pa.array(np.append(0, ends).astype(np.int32))
+        return pa.StructArray.from_arrays([*(pa.ListArray.from_arrays(at, pa.array(c)) for c in (x, y)), pa.array(area)], names=["xs", "ys", "area"])
 
     out = out.withColumn("p", cut("xs", "ys", "x0", "y0", "x1", "y1"))
     return out.select(*own, "row", "col", "loop", "p.xs", "p.ys", "p.area").filter(F.size("xs") > 2)
@@ -145,7 +155,7 @@ def pages(loops: DataFrame, sheets: DataFrame, fallback: tuple[float, float], ma
         F.concat(F.lit("1 0 0 RG 0.4 w\n"), *corner) if marks else F.lit(""), F.lit("Q\n"),
         crop_marks(x, y, w, h), _text(F.lit(margin), F.lit(margin + 5), 9, title), scale_bar(x, y + h + 6, F.greatest(F.lit(20.0), F.least(F.lit(100.0), F.round(w)))),
     )
-    layers = sized.join(drawn, ["image_id", "layer"], "left").join(count, "image_id").select("image_id", order.alias("page"), "sheet_w", "sheet_h", content.alias("content"))
+    layers = sized.join(drawn.hint("merge"), ["image_id", "layer"], "left").join(count.hint("merge"), "image_id").select("image_id", order.alias("page"), "sheet_w", "sheet_h", content.alias("content"))
     entry = lambda e, i: F.concat(_color(e["fill"]), F.format_string("\n%.3f %.3f 5.5 4.6 re f\n0 g\n", F.lit(margin), margin + 18 + i * 6), _text(F.lit(margin + 8), margin + 21.4 + i * 6, 9.5, F.concat(F.format_string("%d. ", i + 1), F.coalesce(e["name"], F.lit("")))))
     head = _text(F.lit(margin), F.lit(margin + 5), 14, F.format_string("%d layers, %d x %d mm", F.size("every"), F.round("w").cast("long"), F.round("h").cast("long")))
     cover = count.select("image_id", F.lit(0).alias("page"), F.lit(float(fallback[0])).alias("sheet_w"), F.lit(float(fallback[1])).alias("sheet_h"), F.concat(head, F.array_join(F.transform("every", entry), ""), scale_bar(F.lit(margin), F.lit(float(fallback[1]) - margin - 8), F.lit(100.0))).alias("content"))
@@ -155,10 +165,9 @@ def pages(loops: DataFrame, sheets: DataFrame, fallback: tuple[float, float], ma
 def pdf(rows: DataFrame) -> DataFrame:
     """A row for each image of :func:`pages`: ``content``, the PDF file of its pages in order, the same bytes each time."""
 
-    def run(table: pa.Table) -> pa.Table:
-        import zlib
+    import zlib
 
-        drawn = sorted(zip(*(table[c].to_pylist() for c in ("page", "sheet_w", "sheet_h", "content"))))
+    def file(drawn: list[tuple]) -> bytes:
         objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(drawn))) + b"] /Count %d >>" % len(drawn)]
         objects.append(b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>")
         for i, (_, w, h, text) in enumerate(drawn):
@@ -173,9 +182,16 @@ def pdf(rows: DataFrame) -> DataFrame:
         begin = len(out)
         out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(places) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
         out += b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(places) + 1, begin)
-        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([bytes(out)], pa.binary())})
+        return bytes(out)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                files = [file([tuple(p.values()) for p in batch["pages"][i].as_py()])]
+                yield pa.RecordBatch.from_arrays([batch["image_id"].slice(i, 1), pa.array(files, pa.binary())], names=["image_id", "content"])
 
-    return rows.groupBy("image_id").applyInArrow(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, content binary")
+    every = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("page", "sheet_w", "sheet_h", "content"))).alias("pages"))
+    return every.mapInArrow(run, f"image_id {rows.schema['image_id'].dataType.simpleString()}, content binary")
 
 
 def export_pdfs(files: DataFrame, path: str, overwrite: bool = True) -> None:
