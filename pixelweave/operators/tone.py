@@ -119,11 +119,17 @@ def smoothed(grid: np.ndarray, radius: int, sigma_range: float, sigma_space: flo
     return out
 
 
-def grayed(r: np.ndarray, g: np.ndarray, b: np.ndarray, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> np.ndarray:
-    """:func:`prepared_gray` of rasters (…, height, width)."""
+def weighed(r: np.ndarray, g: np.ndarray, b: np.ndarray, contrast: float | np.ndarray = 0, brightness: float | np.ndarray = 0, invert: bool | np.ndarray = False) -> np.ndarray:
+    """:func:`gray` of rasters (…, height, width); the values may be arrays with one for each raster."""
+    contrast, brightness, invert = (v[:, None, None] if np.ndim(v) else v for v in (contrast, brightness, invert))
     factor = 259 * (contrast + 255) / (255 * (259 - contrast))
     lum = factor * ((0.2126 * r + 0.7152 * g + 0.0722 * b) - 128) + 128 + brightness
-    lum = np.clip(np.rint(255 - lum if invert else lum), 0, 255).astype(np.int32)
+    return np.clip(np.rint(np.where(invert, 255 - lum, lum)), 0, 255).astype(np.int32)
+
+
+def grayed(r: np.ndarray, g: np.ndarray, b: np.ndarray, contrast: float = 0, brightness: float = 0, invert: bool = False, smooth: int = 0, auto_levels: bool = True, mirror: bool = False, vflip: bool = False) -> np.ndarray:
+    """:func:`prepared_gray` of rasters (…, height, width)."""
+    lum = weighed(r, g, b, contrast, brightness, invert)
     radius = SMOOTH_RADIUS[smooth]
     lum = smoothed(lum, radius, SMOOTH_RANGE, radius / 1.5) if radius else lum
     lum = equalised(lum, 8, 2.5) if auto_levels else lum

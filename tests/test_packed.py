@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import bridges, contours, grids, morphology, palettes, posterize, resample, tone
+from pixelweave.operators import bridges, contours, grids, morphology, palettes, posterize, resample, statistics, tone
 from pixelweave.operators.components import despeckled, island_labels, labelled, own_numbers
 from pixelweave.plans.queries import QUERIES
 from pixelweave.sources import rasters
@@ -23,7 +23,7 @@ def cells(df, *columns):
     return sorted(tuple(r) for r in df.select("image_id", "y", "x", *columns).collect())
 
 
-@pytest.mark.parametrize("name", ["erode_r1", "morph_open", "morph_close", "sobel_edges", "line_art", "gray_intake", "resize_area", "auto_bridges", "prepare_islands", "build_masks", "compute_layers", "mask_contours", "cut_files"])
+@pytest.mark.parametrize("name", ["erode_r1", "morph_open", "morph_close", "sobel_edges", "line_art", "gray_intake", "resize_area", "auto_bridges", "prepare_islands", "build_masks", "compute_layers", "mask_contours", "cut_files", "preset_for_image"])
 def test_no_pixel_moves(spark, name):
     assert "Exchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
@@ -128,10 +128,11 @@ def test_cuts_try_the_levels_that_occur():
         assert posterize.cuts(counts, 2).tolist() == plain(counts, 2), levels
 
 
-@pytest.mark.parametrize("name", ["sheet_tiles", "sheet_pdf", "zipped_files"])
-def test_loops_are_not_broadcast(spark, name):
+@pytest.mark.parametrize(("name", "small"), [("sheet_tiles", 0), ("sheet_pdf", 0), ("zipped_files", 0), ("run_params", 2), ("run_summary", 0), ("run_cut_files", 0)])
+def test_loops_are_not_broadcast(spark, name, small):
+    """But the tables of presets and materials are."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "FlatMapGroups" not in plan and "ExistingRDD" not in plan
+    assert "FlatMap" not in plan and plan.count("BroadcastExchange") == small
 
 
 def test_outlines(spark):
@@ -159,3 +160,24 @@ def test_few_ties_of_many_cells_are_not_broadcast(spark):
     mask = spark.range(3).selectExpr("id as image_id", "0 as y", "0 as x", "1 as open")
     ties = spark.range(3).selectExpr("id as image_id", "0d as x1", "0d as y1", "9d as x2", "0d as y2", "4d as width")
     assert "Broadcast" not in bridges.burn(mask, ties)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corners_of_many_loops():
+    """Loops are simplified together as each alone."""
+    rng = np.random.default_rng(4)
+    o = contours.outlined(np.kron(rng.integers(0, 2, (20, 14, 15)), np.ones((1, 2, 1), int)))
+    tolerance = rng.choice([0.0, 0.4, 0.8, 1.4, 3.0, 30.0], len(o.loop))
+    found = np.split(contours.fewer_corners(o, tolerance), o.ends[:-1])
+    own = [contours.simplified(y, x, t) for y, x, t in zip(np.split(o.ys, o.ends[:-1]), np.split(o.xs, o.ends[:-1]), tolerance)]
+    assert all((a == b).all() for a, b in zip(found, own)) and len(own) > 200 and sum(map(sum, own)) < len(o.xs)
+
+
+def test_probes(spark):
+    """Figures of packed images are those of their pixels; images that are nowhere solid have no signals."""
+    df = frame(spark, "r", 256).withColumns({"g": (F.col("r") * 7 + F.col("x")) % 256, "b": (F.col("r") * 3 + F.col("y")) % 256, "a": F.when(F.col("image_id") < 2, 3).otherwise(F.col("r"))})
+    shapes = spark.createDataFrame([(i, *s) for i, s in enumerate(SHAPES)], "image_id long, height int, width int")
+    df = df.join(shapes, "image_id")
+    stats = statistics.image_stats(tone.gray(df)).join(statistics.color_signals(df, F.col("width"), F.col("height")), "image_id", "left")
+    columns = list(statistics.PROBED)
+    a, b = (sorted((r.image_id, *(v if v is None else round(v, 9) for v in r[1:])) for r in m.select("image_id", *columns).collect()) for m in (stats, statistics.probed(grids.packed(df, *"rgba"))))
+    assert a == b and a[0][-1] is None and a[-1][-1] is not None
