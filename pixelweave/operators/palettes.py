@@ -113,9 +113,14 @@ def default_colors(layers: DataFrame, count: str = "layers") -> DataFrame:
     """A row for each layer (``layer`` from 0, ``hex``) of rows with a number of layers: light gray to nearly black."""
     n = F.greatest(F.col(count), F.lit(1))
     out = layers.withColumn("layer", F.explode(F.sequence(F.lit(0), n - 1)))
-    light = F.floor(82 - 68 * F.col("layer") / F.greatest(n - 1, F.lit(1)) + 0.5)
+    return out.withColumn("hex", tone_hex(F.col("layer"), n))
+
+
+def tone_hex(layer: Column, layers: Column) -> Column:
+    """The gray of one of a number of layers."""
+    light = F.floor(82 - 68 * layer / F.greatest(layers - 1, F.lit(1)) + 0.5)
     part = F.lower(F.lpad(F.hex(F.floor(light * 255 / 100 + 0.5).cast("int")), 2, "0"))
-    return out.withColumn("hex", F.when(n <= 1, "#1a1a1a").otherwise(F.concat(F.lit("#"), part, part, part)))
+    return F.when(layers <= 1, "#1a1a1a").otherwise(F.concat(F.lit("#"), part, part, part))
 
 
 def to_hex(color: Column) -> Column:

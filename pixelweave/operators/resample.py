@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelweave.functions.numbers import half_up
-from pixelweave.operators.grids import column, is_packed, keys, schema_of, stacks
+from pixelweave.operators.grids import column, is_packed, schema_of, stacks
 
 
 def fitted(most: Column | int) -> tuple[Column, Column]:
@@ -36,7 +37,7 @@ def resized(stack: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def _resized(rows: DataFrame, width: Column, height: Column, channels: tuple[str, ...]) -> DataFrame:
-    own = keys(rows)
+    own = [f.name for f in rows.schema.fields if f.name not in ("height", "width") and not isinstance(f.dataType, T.BinaryType)]
 
     def run(batches):
         for batch in batches:
@@ -60,7 +61,7 @@ def resize_area(pixels: DataFrame, width: Column | int, height: Column | int, ch
     up. Along a row first, then along a column; each step adds up overlaps of neighbours within
     partial sums. Images that keep their size pass by. Rows without a place, size or new size go,
     as do other columns; where a place is repeated, its rows count together. A null value counts as 0.
-    Packed rasters stay packed.
+    Packed rasters stay packed and keep other columns.
     """
     number = lambda v: F.lit(v) if isinstance(v, int) else v
     if is_packed(pixels, channels[0]):
