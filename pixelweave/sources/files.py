@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,7 +23,8 @@ def files_at(path: str):
 
 @dataclass
 class Staged(WriterCommitMessage):
-    names: list[tuple[str, str]]  # where a file lies, and its name
+    folder: str
+    names: list[str]  # of the files 0, 1, … in the folder
 
 
 class FilesWriter(DataSourceWriter):
@@ -45,24 +48,26 @@ class FilesWriter(DataSourceWriter):
             seen.add(name)
             with system.open_output_stream(f"{own}/{i}") as f:
                 f.write(bytes(row["content"]))
-            names.append((f"{own}/{i}", name))
-        return Staged(names)
+            names.append(name)
+        return Staged(own, names)
 
     def commit(self, messages: list[Staged | None]) -> None:
         system, base = files_at(self.path)
-        staged = [x for m in messages if m for x in m.names]
-        names = [name for _, name in staged]
+        names = [name for m in messages if m for name in m.names]
         try:
             if len({*names}) < len(names):
-                twice = next(n for n in names if names.count(n) > 1)
+                twice = next(n for n, k in Counter(names).items() if k > 1)
                 raise ValueError(f"two rows are named {twice!r}")
-            there = [n for n, i in zip(names, system.get_file_info([f"{base}/{n}" for n in names])) if i.type.name != "NotFound"] if names else []
-            if there and not self.overwrite:
-                raise FileExistsError(f"{there[0]!r} is there already")
-            for folder in sorted({f"{base}/{n}".rpartition("/")[0] for n in names}):
-                system.create_dir(folder, recursive=True)
-            for at, name in staged:
-                system.move(at, f"{base}/{name}")
+            with ThreadPoolExecutor(16) as pool:  # a file takes a few calls to the store, and there may be a million
+                if not self.overwrite:
+                    parts = [[f"{base}/{n}" for n in names[a : a + 1000]] for a in range(0, len(names), 1000)]
+                    for found in pool.map(system.get_file_info, parts):
+                        if there := next((i.path for i in found if i.type.name != "NotFound"), None):
+                            raise FileExistsError(f"{there.removeprefix(f'{base}/')!r} is there already")
+                for folder in sorted({f"{base}/{n}".rpartition("/")[0] for n in names}):
+                    system.create_dir(folder, recursive=True)
+                move = lambda m: [system.move(f"{m.folder}/{i}", f"{base}/{name}") for i, name in enumerate(m.names)]
+                list(pool.map(move, [m for m in messages if m]))
         finally:
             self.abort(messages)
 
